@@ -1,0 +1,203 @@
+"""The one step of scoring that stays in Python: the best mapping between two variable sets.
+
+Spark decodes, compares and counts; this helper sees the triples of one pair of graphs and
+returns how many of them the best one-to-one mapping of variables brings together.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections import Counter
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Ship this module inside the function, so executors need no installed package.
+register_pickle_by_value(sys.modules[__name__])
+
+SEPARATOR = "\x1f"
+
+
+def best_alignment(ref, pred, search_limit=None):
+    """``(matched triples, proven best)`` for two collections of triple texts."""
+    ref, pred = set(ref), set(pred)
+    if ref == pred:
+        return len(ref), True
+    problem = _Problem(_split(ref), _split(pred))
+    return problem.solve(search_limit)
+
+
+def _split(texts):
+    """Facts on one variable, and labelled arrows between two."""
+    facts, arrows = {}, []
+    for text in sorted(texts):
+        source, role, target, kind = text.split(SEPARATOR)
+        own = facts.setdefault(source, set())
+        if kind == "e" and source != target:
+            arrows.append((source, role, target))
+        else:
+            own.add((role, "" if kind == "e" else target, kind))
+    for source, _, target in arrows:
+        facts.setdefault(target, set())
+    return facts, arrows
+
+
+class _Problem:
+    def __init__(self, ref, pred):
+        ref_facts, ref_arrows = ref
+        pred_facts, pred_arrows = pred
+        self.goals = list(ref_facts)
+        number = {v: j for j, v in enumerate(self.goals)}
+        self.ref_arrows = {(number[s], role, number[t]) for s, role, t in ref_arrows}
+        self.ref_near = self._near(len(self.goals), self.ref_arrows)
+        names = self._walk_order(pred_facts, pred_arrows)
+        number = {v: i for i, v in enumerate(names)}
+        self.pred_near = self._near(
+            len(names), {(number[s], role, number[t]) for s, role, t in pred_arrows}
+        )
+        self.own = [
+            [len(pred_facts[v] & ref_facts[g]) for g in self.goals] for v in names
+        ]
+
+    @staticmethod
+    def _walk_order(facts, arrows):
+        """Variables so that each stands next to earlier ones where the graph allows it."""
+        near = {v: [] for v in facts}
+        for s, _, t in arrows:
+            near[s].append(t)
+            near[t].append(s)
+        order, seen = [], set()
+        for start in sorted(facts, key=lambda v: (-len(near[v]), v)):
+            queue = [start]
+            for v in queue:
+                if v not in seen:
+                    seen.add(v)
+                    order.append(v)
+                    queue.extend(near[v])
+        return order
+
+    @staticmethod
+    def _near(n, arrows):
+        """Per variable: list of (direction and role, other variable)."""
+        near = [[] for _ in range(n)]
+        for s, role, t in sorted(arrows):
+            near[s].append(((">", role), t))
+            near[t].append((("<", role), s))
+        return near
+
+    def gain(self, i, j, chosen):
+        """Triples won by mapping i to j, given what is mapped already."""
+        won = self.own[i][j]
+        for (way, role), other in self.pred_near[i]:
+            goal = chosen[other]
+            if goal is not None and goal >= 0:
+                arrow = (j, role, goal) if way == ">" else (goal, role, j)
+                won += arrow in self.ref_arrows
+        return won
+
+    def ceiling(self, start, chosen, free):
+        """No mapping of the variables from ``start`` on can win more than this.
+
+        A free pair may win its own facts, its arrows to mapped variables, and half of
+        each arrow its two ends could share with variables that are still free.
+        """
+        total = 0.0
+        open_roles = {
+            j: Counter(w for w, o in self.ref_near[j] if o in free) for j in free
+        }
+        for i in range(start, len(self.own)):
+            wanted = Counter(w for w, o in self.pred_near[i] if o >= start)
+            best = 0.0
+            for j in free:
+                shared = sum(min(n, open_roles[j][w]) for w, n in wanted.items())
+                best = max(best, self.gain(i, j, chosen) + shared / 2)
+            total += best
+        return total
+
+    def improve(self, chosen):
+        """Hill-climb from ``chosen`` by moves and swaps; returns its total."""
+
+        def total(c):
+            partial = [None] * len(c)
+            won = 0
+            for i, j in enumerate(c):
+                if j >= 0:
+                    won += self.gain(i, j, partial)
+                    partial[i] = j
+            return won
+
+        best, moved = total(chosen), True
+        while moved:
+            moved = False
+            for i in range(len(chosen)):
+                for j in range(len(self.goals)):
+                    if chosen[i] == j:
+                        continue
+                    trial = list(chosen)
+                    if j in trial:
+                        trial[trial.index(j)] = chosen[i]
+                    trial[i] = j
+                    won = total(trial)
+                    if won > best:
+                        best, moved = won, True
+                        chosen[:] = trial
+        return best
+
+    def solve(self, limit):
+        n, m = len(self.own), len(self.goals)
+        chosen = [None] * n
+        free = set(range(m))
+        greedy = [-1] * n
+        won = 0
+        for i in range(n):
+            j = max(free, key=lambda g: (self.gain(i, g, chosen), -g), default=-1)
+            if j >= 0:
+                won += self.gain(i, j, chosen)
+                free.discard(j)
+            chosen[i] = greedy[i] = j
+        top = int(self.ceiling(0, [None] * n, set(range(m))) + 1e-9)
+        if won >= top:
+            return won, True
+        best = max(won, self.improve(greedy))
+        if best >= top:
+            return best, True
+        return self._search(best, limit)
+
+    def _search(self, best, limit):
+        """Depth first over variables in walk order, cut by the ceiling."""
+        n = len(self.own)
+        chosen = [None] * n
+        free = set(range(len(self.goals)))
+        steps = 0
+        # Per level: the candidates left to try and what was won above.
+        stack = [[None, 0]]
+        while stack:
+            level = len(stack) - 1
+            todo, won = stack[-1]
+            if todo is None:
+                steps += 1
+                if limit is not None and steps > limit:
+                    return best, False
+                if level == n:
+                    best = max(best, won)
+                    todo = []
+                elif won + int(self.ceiling(level, chosen, free) + 1e-9) <= best:
+                    todo = []
+                else:
+                    todo = sorted((self.gain(level, j, chosen), -j) for j in free)
+                    todo = [(0, None), *todo]
+                stack[-1][0] = todo
+            if level < n and chosen[level] is not None:
+                if chosen[level] >= 0:
+                    free.add(chosen[level])
+                chosen[level] = None
+            if not todo:
+                stack.pop()
+                continue
+            gained, minus = todo.pop()
+            if minus is None:
+                chosen[level] = -1
+            else:
+                chosen[level] = -minus
+                free.discard(-minus)
+            stack.append([None, won + gained])
+        return best, True

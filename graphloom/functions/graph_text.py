@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,44 +150,70 @@ def walk_steps(graph: Column | str) -> Column:
 # Steps per inner fold.  An array grows by copying, so one fold over a graph of n steps
 # would copy n * n entries; folds of this size keep the work close to linear.
 _STEPS_PER_FOLD = 64
+_SEEN = "array<struct<source: string, depth: int>>"
 
 
-def walk_sources(steps: Column) -> Column:
-    """Fold the steps over a stack of open variables.
+def walk_sources(steps: str) -> Column:
+    """Fold the step column over a stack of open variables.
 
     Gives ``(stack, seen)``: the variables still open at the end, and for every step the
     variable it hangs from with its depth (null source at the root or outside any node).
     """
-    no_names = F.array().cast("array<string>")
-    none_seen = F.array().cast("array<struct<source:string,depth:int>>")
-    no_parts = F.array().cast("array<array<struct<source:string,depth:int>>>")
-
-    def advance(acc: Column, step: Column) -> Column:
-        stack = acc["stack"]
-        here = F.struct(F.get(stack, F.lit(0)).alias("source"), F.size(stack).alias("depth"))
-        after = (
-            F.when(step["var"] != "", F.array_prepend(stack, step["var"]))
-            .when(step["atom"] != "", stack)
-            .otherwise(F.slice(stack, F.lit(2), F.greatest(F.size(stack) - 1, F.lit(0))))
-        )
-        return F.struct(after.alias("stack"), F.array_append(acc["seen"], here).alias("seen"))
-
-    def fold_part(acc: Column, start: Column) -> Column:
-        return F.aggregate(
-            F.slice(steps, start, F.lit(_STEPS_PER_FOLD)),
-            F.struct(acc["stack"].alias("stack"), none_seen.alias("seen")),
-            advance,
-            lambda part: F.struct(
-                part["stack"].alias("stack"),
-                F.array_append(acc["parts"], part["seen"]).alias("parts"),
-            ),
+    return F.expr(
+        f"""
+        aggregate(
+          sequence(1, greatest(size({steps}), 1), {_STEPS_PER_FOLD}),
+          named_struct('stack', cast(array() AS array<string>),
+                       'parts', cast(array() AS array<{_SEEN}>)),
+          (acc, start) -> aggregate(
+            slice({steps}, start, {_STEPS_PER_FOLD}),
+            named_struct('stack', acc.stack, 'seen', cast(array() AS {_SEEN})),
+            (fold, step) -> named_struct(
+              'stack', CASE
+                WHEN step.var <> '' THEN array_prepend(fold.stack, step.var)
+                WHEN step.atom <> '' THEN fold.stack
+                ELSE slice(fold.stack, 2, greatest(size(fold.stack) - 1, 0)) END,
+              'seen', array_append(
+                fold.seen,
+                named_struct('source', get(fold.stack, 0), 'depth', size(fold.stack)))),
+            fold -> named_struct('stack', fold.stack,
+                                 'parts', array_append(acc.parts, fold.seen))),
+          acc -> named_struct('stack', acc.stack, 'seen', flatten(acc.parts)))
+        """
+    )
+
+
+def triples_of(steps: str, seen: str, pointed_at: str, non_inverse_roles: Sequence[str]) -> Column:
+    """Triples ``(depth, source, role, target, kind, inverted)`` of a walk, in text order.
+
+    ``pointed_at`` holds the variables that occur as an atom.
+    """
+
+    def triple(depth, source, role, target, kind, inverted="false") -> str:
+        return (
+            f"named_struct('depth', {depth}, 'source', {source}, 'role', {role}, "
+            f"'target', {target}, 'kind', '{kind}', 'inverted', {inverted})"
         )
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(_STEPS_PER_FOLD)),
-        F.struct(no_names.alias("stack"), no_parts.alias("parts")),
-        fold_part,
-        lambda acc: F.struct(
-            acc["stack"].alias("stack"), F.flatten(acc["parts"]).alias("seen")
-        ),
+    def edge(target: str) -> str:
+        turned = "endswith(step.role, '-of')"
+        if non_inverse_roles:
+            kept = ", ".join("'" + r.replace("'", "\\'") + "'" for r in non_inverse_roles)
+            turned += f" AND step.role NOT IN ({kept})"
+        plain = "substring(step.role, 1, length(step.role) - 3)"
+        swapped = triple("at.depth", target, plain, "at.source", "edge", "true")
+        straight = triple("at.depth", "at.source", "step.role", target, "edge")
+        return f"CASE WHEN {turned} THEN {swapped} ELSE {straight} END"
+
+    node = triple("at.depth + 1", "step.var", "':instance'", "step.concept", "instance")
+    attribute = triple("at.depth", "at.source", "step.role", "step.atom", "attribute")
+    return F.expr(
+        f"""
+        flatten(zip_with({steps}, {seen}, (step, at) -> CASE
+          WHEN step.var <> '' AND step.role <> '' THEN array({edge("step.var")}, {node})
+          WHEN step.var <> '' THEN array({node})
+          WHEN step.atom = '' THEN slice(array({attribute}), 1, 0)
+          WHEN array_contains({pointed_at}, step.atom) THEN array({edge("step.atom")})
+          ELSE array({attribute}) END))
+        """
     )

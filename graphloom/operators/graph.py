@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import graph_text as G
-from graphloom.functions.text import as_column
 
 INSTANCE = ":instance"
 WIKI = ":wiki"
@@ -36,22 +35,22 @@ def decode_graphs(
     text, steps, walk, pointed_at = (
         f"__{triples}_{part}" for part in ("text", "steps", "walk", "pointed_at")
     )
-    out = df.withColumn(text, G.drop_alignments(G.drop_comments(graph_column)))
-    out = out.withColumn(text, F.when(G.tokens_legal(text), F.col(text)))
+    normal = G.drop_alignments(G.drop_comments(graph_column))
+    out = df.withColumn(text, F.when(G.tokens_legal(normal), normal))
     out = out.withColumn(steps, G.walk_steps(text))
-    out = out.withColumn(walk, G.walk_sources(F.col(steps)))
-    seen = F.col(walk)["seen"]
-    one_root = (F.size(F.col(walk)["stack"]) == 0) & ~F.exists(
-        F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0))),
-        lambda s: s["source"].isNull(),
+    # Variables that are pointed at, mostly few.  A column of its own: inside a lambda it
+    # would be worked out per triple.
+    out = out.withColumns(
+        {walk: G.walk_sources(steps), pointed_at: F.expr(f"array_intersect({steps}.var, {steps}.atom)")}
+    )
+    one_root = F.expr(
+        f"size({walk}.stack) = 0 AND "
+        f"NOT exists(slice({walk}.seen, 2, size({walk}.seen)), at -> at.source IS NULL)"
     )
     out = out.withColumn(decoded, F.coalesce(one_root, F.lit(False)))
-    # Variables that are pointed at, mostly few.  A column of its own: inside the lambda
-    # below it would be worked out per triple.
-    out = out.withColumn(pointed_at, F.array_intersect(F.col(steps)["var"], F.col(steps)["atom"]))
-    built = _triples(F.col(steps), seen, F.col(pointed_at), non_inverse_roles)
-    out = out.withColumn(triples, F.when(F.col(decoded), built))
-    return pin_columns(out.drop(text, steps, walk, pointed_at), decoded, triples)
+    built = G.triples_of(steps, f"{walk}.seen", pointed_at, non_inverse_roles)
+    out = out.select(*df.columns, decoded, F.when(F.col(decoded), built).alias(triples))
+    return pin_columns(out, decoded, triples)
 
 
 def pin_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -65,43 +64,6 @@ def pin_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*names))))
 
 
-def _triples(
-    steps: Column, seen: Column, pointed_at: Column, non_inverse_roles: Sequence[str]
-) -> Column:
-    def triple(depth, source, role, target, kind, inverted=False) -> Column:
-        return F.struct(
-            depth.alias("depth"),
-            source.alias("source"),
-            role.alias("role"),
-            target.alias("target"),
-            F.lit(kind).alias("kind"),
-            F.lit(inverted).alias("inverted"),
-        )
-
-    def edge(here: Column, role: Column, target: Column) -> Column:
-        turned = role.endswith("-of")
-        if non_inverse_roles:
-            turned = turned & ~role.isin(*non_inverse_roles)
-        plain = F.substring(role, F.lit(1), F.length(role) - 3)
-        return F.when(
-            turned, triple(here["depth"], target, plain, here["source"], "edge", True)
-        ).otherwise(triple(here["depth"], here["source"], role, target, "edge"))
-
-    def emit(step: Column, here: Column) -> Column:
-        role, var, atom = step["role"], step["var"], step["atom"]
-        node = triple(here["depth"] + 1, var, F.lit(INSTANCE), step["concept"], "instance")
-        attribute = triple(here["depth"], here["source"], role, atom, "attribute")
-        return (
-            F.when((var != "") & (role != ""), F.array(edge(here, role, var), node))
-            .when(var != "", F.array(node))
-            .when(atom == "", F.slice(F.array(attribute), 1, 0))
-            .when(F.array_contains(pointed_at, atom), F.array(edge(here, role, atom)))
-            .otherwise(F.array(attribute))
-        )
-
-    return F.flatten(F.zip_with(steps, seen, emit))
-
-
 def explode_triples(df: DataFrame, triples: str = "triples") -> DataFrame:
     """One row per triple next to the other columns; undecodable rows give none.
 
@@ -113,9 +75,9 @@ def explode_triples(df: DataFrame, triples: str = "triples") -> DataFrame:
     return rows.select(*kept, F.col("pos"), *fields)
 
 
-def without_wiki(triples: Column | str) -> Column:
+def without_wiki(triples: str) -> Column:
     """Nested triples without the role ``:wiki`` (exact name)."""
-    return F.filter(as_column(triples), lambda t: t["role"] != WIKI)
+    return F.expr(f"filter({triples}, t -> t.role <> '{WIKI}')")
 
 
 def remove_wiki_triples(triple_rows: DataFrame) -> DataFrame:
@@ -123,15 +85,14 @@ def remove_wiki_triples(triple_rows: DataFrame) -> DataFrame:
     return triple_rows.filter(F.col("role") != WIKI)
 
 
-def node_concepts(triples: Column | str) -> Column:
+def node_concepts(triples: str) -> Column:
     """Concepts of a graph's nodes in text order."""
-    nodes = F.filter(as_column(triples), lambda t: t["kind"] == "instance")
-    return F.transform(nodes, lambda t: t["target"])
+    return F.expr(f"filter({triples}, t -> t.kind = 'instance').target")
 
 
-def top_concept(triples: Column | str) -> Column:
-    """Concept of the root node."""
-    return F.get(node_concepts(triples), F.lit(0))
+def top_concept(triples: str) -> Column:
+    """Concept of the root node, which is the first triple."""
+    return F.expr(f"get({triples}, 0).target")
 
 
 def normalize_graphs(df: DataFrame, graph_column: str, remove_wiki: bool = True) -> DataFrame:

@@ -12,18 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import graph_text as G
-from graphloom.functions.text import as_column, newlines_to_blanks, op_number
+from graphloom.functions.text import newlines_to_blanks
 from graphloom.operators.graph import decode_graphs
 
 # The order of the checks in the full chain.
 CHECKS = ("parentheses", "decodes", "parses", "frames", "and_or")
 
 
-def variables_unique(triples: Column | str) -> Column:
+def variables_unique(triples: str) -> Column:
     """True when no variable is declared twice."""
-    nodes = F.filter(as_column(triples), lambda t: t["kind"] == "instance")
-    declared = F.transform(nodes, lambda t: t["source"])
-    return F.size(declared) == F.size(F.array_distinct(declared))
+    declared = f"filter({triples}, t -> t.kind = 'instance').source"
+    return F.expr(f"size({declared}) = size(array_distinct({declared}))")
 
 
 def wiki_removable(graph: Column | str) -> Column:
@@ -31,34 +30,32 @@ def wiki_removable(graph: Column | str) -> Column:
     return ~G.outside_quotes(graph).rlike(r'(?<![^\s()"]):wiki\s*\(')
 
 
-def connectives_numbered(triples: Column | str) -> Column:
+def connectives_numbered(triples: str) -> Column:
     """The ``and``/``or`` check on decoded triples.
 
     Nodes count in text order and the first one that is not in order decides: a single
     ``:op2`` passes the whole graph, fewer than two ops or ops other than 1..n fail it.
     An ``:op`` role without a number fails.
     """
-    triples = as_column(triples)
-    nodes = F.filter(triples, lambda t: (t["kind"] == "instance") & t["target"].isin("and", "or"))
-
-    def verdict(node: Column) -> Column:
-        ops = F.transform(
-            F.filter(
-                triples, lambda t: (t["source"] == node["source"]) & t["role"].startswith(":op")
-            ),
-            lambda t: op_number(t["role"]),
-        )
-        n = F.size(ops)
-        return (
-            F.when(F.exists(ops, lambda o: o.isNull()), "fail")
-            .when((n == 1) & (F.get(ops, F.lit(0)) == 2), "pass")
-            .when(n < 2, "fail")
-            .when(ops != F.sequence(F.lit(1), F.greatest(n, F.lit(1))), "fail")
-            .otherwise("next")
-        )
-
-    decisive = F.filter(F.transform(nodes, verdict), lambda v: v != "next")
-    return F.coalesce(F.get(decisive, F.lit(0)), F.lit("pass")) == "pass"
+    return F.expr(
+        f"""
+        coalesce(get(filter(
+          transform(
+            -- the ops of every and/or node
+            transform(
+              filter({triples}, t -> t.kind = 'instance' AND t.target IN ('and', 'or')),
+              node -> transform(
+                filter({triples}, t -> t.source = node.source AND startswith(t.role, ':op')),
+                t -> try_cast(substring(t.role, 4) AS int))),
+            ops -> CASE
+              WHEN exists(ops, o -> o IS NULL) THEN 'fail'
+              WHEN ops = array(2) THEN 'pass'
+              WHEN size(ops) < 2 THEN 'fail'
+              WHEN ops <> sequence(1, size(ops)) THEN 'fail'
+              ELSE 'next' END),
+          verdict -> verdict <> 'next'), 0), 'pass') = 'pass'
+        """
+    )
 
 
 def flag_valid(df: DataFrame, graph_column: str, flag: str = "valid") -> DataFrame:
@@ -93,24 +90,17 @@ def filter_valid(df: DataFrame, graph_column: str, observation=None) -> DataFram
 
 def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples") -> DataFrame:
     """``keys, predicate, label``: every ``:ARG`` edge with the concept it leaves."""
-    arrows = F.filter(
-        F.col(triples), lambda t: (t["kind"] == "edge") & t["role"].startswith(":ARG")
-    )
-    nodes = F.filter(F.col(triples), lambda t: t["kind"] == "instance")
-    pairs = F.flatten(
-        F.transform(
-            arrows,
-            lambda e: F.transform(
-                F.filter(nodes, lambda n: n["source"] == e["source"]),
-                lambda n: F.struct(
-                    n["target"].alias("predicate"),
-                    F.substring(e["role"], 2, 1 << 30).alias("label"),
-                ),
-            ),
-        )
+    pairs = F.expr(
+        f"""
+        array_distinct(flatten(transform(
+          filter({triples}, t -> t.kind = 'edge' AND startswith(t.role, ':ARG')),
+          edge -> transform(
+            filter({triples}, t -> t.kind = 'instance' AND t.source = edge.source),
+            node -> named_struct('predicate', node.target, 'label', substring(edge.role, 2))))))
+        """
     )
     # The pairs of a graph repeat often; distinct ones are enough for a verdict.
-    return decoded.select(*keys, F.inline(F.array_distinct(pairs)))
+    return decoded.select(*keys, F.inline(pairs))
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

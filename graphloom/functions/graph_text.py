@@ -127,67 +127,84 @@ _ATOM = r'"[^"]*"|(?!/(?![^\s()"]))[^\s()":][^\s()"]*'
 _VARIABLE = r'"[^"]*"|[^\s()":/][^\s()"/]*'
 _STEP = rf'(?:^|(:[^\s()"]*))\s*(?:\(\s*({_VARIABLE})\s*/\s*({_ATOM})|({_ATOM}))|\)'
 
+# A marked text has a record per step, closed by _END; what no step covers stays behind it.
+_RECORD, _FIELD, _END = "\x1e", "\x1f", "\x1d"
+_ROLE, _VAR, _CONCEPT, _VALUE = range(4)  # fields of a record; all empty for ')'
 
-def tokens_legal(graph: Column | str) -> Column:
+
+def mark_steps(graph: Column | str) -> Column:
+    """The text rewritten in one pass to a record of fields per step of the walk."""
+    plain = F.translate(as_column(graph), _RECORD + _FIELD + _END, "   ")
+    fields = _FIELD.join(f"${k}" for k in range(1, 5))
+    return F.regexp_replace(plain, _STEP, _RECORD + fields + _FIELD + _END)
+
+
+def steps_legal(graph: Column | str, marked: Column | str) -> Column:
     """True when quotes pair up and the walk's steps cover the whole text."""
-    graph = as_column(graph)
+    graph, marked = as_column(graph), as_column(marked)
     return (
         (_occurrences(graph, '"') % 2 == 0)
         & graph.rlike(r"^\s*\(")
-        & ~F.regexp_replace(graph, _STEP, "").rlike(r"\S")
+        & ~marked.rlike(rf"{_END}\s*[^\s{_RECORD}]")
     )
 
 
-def walk_steps(graph: Column | str) -> Column:
-    """Array of ``(role, var, concept, atom)`` steps; all four empty-but-role for ``)``."""
-    graph = as_column(graph)
-    names = ("role", "var", "concept", "atom")
-    return F.arrays_zip(
-        *[F.regexp_extract_all(graph, F.lit(_STEP), k).alias(n) for k, n in enumerate(names, 1)]
+def walk_steps(marked: str) -> Column:
+    """Array of steps, each an array of its fields.  Text before the first record is blank."""
+    return F.expr(
+        f"transform(slice(split({marked}, '{_RECORD}'), 2, length({marked})), "
+        f"record -> split(record, '{_FIELD}'))"
     )
 
 
-# Steps per inner fold.  An array grows by copying, so one fold over a graph of n steps
-# would copy n * n entries; folds of this size keep the work close to linear.
-_STEPS_PER_FOLD = 64
-_SEEN = "array<struct<source: string, depth: int>>"
+# Steps per inner fold.  A text grows by copying, so one fold over a graph of n steps would
+# copy n * n characters; folds of this size keep the work close to linear.
+_STEPS_PER_FOLD = 256
 
 
 def walk_sources(steps: str) -> Column:
-    """Fold the step column over a stack of open variables.
+    """Fold the steps over a stack of open variables.
 
-    Gives ``(stack, seen)``: the variables still open at the end, and for every step the
-    variable it hangs from with its depth (null source at the root or outside any node).
+    Gives ``(depth, sources, depths)``: the open nodes left at the end, and for every step
+    the variable it hangs from (empty outside any node) and how deep it stands.  Both are
+    collected as text, which grows much faster than an array does, and split at the end.
     """
+    var, atom = f"step[{_VAR}]", f"step[{_VALUE}]"
+    seen = (
+        f"'sources', concat(fold.sources, get(fold.stack, 0), '{_FIELD}'), "
+        f"'depths', concat(fold.depths, fold.depth, '{_FIELD}')"
+    )
     return F.expr(
         f"""
         aggregate(
           sequence(1, greatest(size({steps}), 1), {_STEPS_PER_FOLD}),
-          named_struct('stack', cast(array() AS array<string>),
-                       'parts', cast(array() AS array<{_SEEN}>)),
+          named_struct('stack', array(''), 'depth', 0, 'sources', '', 'depths', ''),
           (acc, start) -> aggregate(
             slice({steps}, start, {_STEPS_PER_FOLD}),
-            named_struct('stack', acc.stack, 'seen', cast(array() AS {_SEEN})),
-            (fold, step) -> named_struct(
-              'stack', CASE
-                WHEN step.var <> '' THEN array_prepend(fold.stack, step.var)
-                WHEN step.atom <> '' THEN fold.stack
-                ELSE slice(fold.stack, 2, greatest(size(fold.stack) - 1, 0)) END,
-              'seen', array_append(
-                fold.seen,
-                named_struct('source', get(fold.stack, 0), 'depth', size(fold.stack)))),
-            fold -> named_struct('stack', fold.stack,
-                                 'parts', array_append(acc.parts, fold.seen))),
-          acc -> named_struct('stack', acc.stack, 'seen', flatten(acc.parts)))
+            named_struct('stack', acc.stack, 'depth', acc.depth, 'sources', '', 'depths', ''),
+            (fold, step) -> CASE
+              WHEN {var} <> '' THEN named_struct(
+                'stack', array_prepend(fold.stack, {var}), 'depth', fold.depth + 1, {seen})
+              WHEN {atom} <> '' THEN named_struct(
+                'stack', fold.stack, 'depth', fold.depth, {seen})
+              ELSE named_struct(
+                'stack', if(fold.depth > 0, slice(fold.stack, 2, size(fold.stack)), fold.stack),
+                'depth', fold.depth - 1, {seen}) END,
+            fold -> named_struct(
+              'stack', fold.stack, 'depth', fold.depth,
+              'sources', concat(acc.sources, fold.sources),
+              'depths', concat(acc.depths, fold.depths))),
+          acc -> named_struct(
+            'depth', acc.depth,
+            'sources', split(acc.sources, '{_FIELD}'), 'depths', split(acc.depths, '{_FIELD}')))
         """
     )
 
 
-def triples_of(steps: str, seen: str, pointed_at: str, non_inverse_roles: Sequence[str]) -> Column:
-    """Triples ``(depth, source, role, target, kind, inverted)`` of a walk, in text order.
-
-    ``pointed_at`` holds the variables that occur as an atom.
-    """
+def triples_of(steps: str, walk: str, non_inverse_roles: Sequence[str] = ()) -> Column:
+    """Triples ``(depth, source, role, target, kind, inverted)`` of a walk, in text order."""
+    role, var, concept, atom = (f"step[{k}]" for k in (_ROLE, _VAR, _CONCEPT, _VALUE))
+    here, depth = f"get({walk}.sources, i)", f"cast(get({walk}.depths, i) AS int)"
 
     def triple(depth, source, role, target, kind, inverted="false") -> str:
         return (
@@ -196,24 +213,29 @@ def triples_of(steps: str, seen: str, pointed_at: str, non_inverse_roles: Sequen
         )
 
     def edge(target: str) -> str:
-        turned = "endswith(step.role, '-of')"
+        turned = f"endswith({role}, '-of')"
         if non_inverse_roles:
             kept = ", ".join("'" + r.replace("'", "\\'") + "'" for r in non_inverse_roles)
-            turned += f" AND step.role NOT IN ({kept})"
-        plain = "substring(step.role, 1, length(step.role) - 3)"
-        swapped = triple("at.depth", target, plain, "at.source", "edge", "true")
-        straight = triple("at.depth", "at.source", "step.role", target, "edge")
+            turned += f" AND {role} NOT IN ({kept})"
+        plain = f"substring({role}, 1, length({role}) - 3)"
+        swapped = triple(depth, target, plain, here, "edge", "true")
+        straight = triple(depth, here, role, target, "edge")
         return f"CASE WHEN {turned} THEN {swapped} ELSE {straight} END"
 
-    node = triple("at.depth + 1", "step.var", "':instance'", "step.concept", "instance")
-    attribute = triple("at.depth", "at.source", "step.role", "step.atom", "attribute")
+    node = triple(f"{depth} + 1", var, "':instance'", concept, "instance")
+    attribute = triple(depth, here, role, atom, "attribute")
+    # Variables that occur as an atom too, mostly few.  transform() over one element gives
+    # them a name: inside the lambda they would be worked out at every step.
+    pointed_at = (
+        f"array_intersect(transform({steps}, s -> s[{_VAR}]), transform({steps}, s -> s[{_VALUE}]))"
+    )
     return F.expr(
         f"""
-        flatten(zip_with({steps}, {seen}, (step, at) -> CASE
-          WHEN step.var <> '' AND step.role <> '' THEN array({edge("step.var")}, {node})
-          WHEN step.var <> '' THEN array({node})
-          WHEN step.atom = '' THEN slice(array({attribute}), 1, 0)
-          WHEN array_contains({pointed_at}, step.atom) THEN array({edge("step.atom")})
-          ELSE array({attribute}) END))
+        get(transform(array({pointed_at}), pointed_at -> flatten(transform({steps}, (step, i) -> CASE
+          WHEN {var} <> '' AND {role} <> '' THEN array({edge(var)}, {node})
+          WHEN {var} <> '' THEN array({node})
+          WHEN {atom} = '' THEN slice(array({attribute}), 1, 0)
+          WHEN array_contains(pointed_at, {atom}) THEN array({edge(atom)})
+          ELSE array({attribute}) END))), 0)
         """
     )

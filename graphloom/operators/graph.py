@@ -32,25 +32,25 @@ def decode_graphs(
     A role ``:R-of`` that points at a variable is turned round and marked ``inverted``,
     unless it is listed in ``non_inverse_roles``.
     """
-    text, steps, walk, pointed_at = (
-        f"__{triples}_{part}" for part in ("text", "steps", "walk", "pointed_at")
-    )
-    normal = G.drop_alignments(G.drop_comments(graph_column))
-    out = df.withColumn(text, F.when(G.tokens_legal(normal), normal))
-    out = out.withColumn(steps, G.walk_steps(text))
-    # Variables that are pointed at, mostly few.  A column of its own: inside a lambda it
-    # would be worked out per triple.
-    out = out.withColumns(
-        {walk: G.walk_sources(steps), pointed_at: F.expr(f"array_intersect({steps}.var, {steps}.atom)")}
+    text, marked, steps, walk = (
+        f"__{triples}_{part}" for part in ("text", "marked", "steps", "walk")
     )
+    out = df.withColumn(text, G.drop_alignments(G.drop_comments(graph_column)))
+    out = out.withColumn(marked, G.mark_steps(text))
+    legal = F.when(G.steps_legal(text, marked), F.col(marked))
+    out = out.select(*df.columns, legal.alias(marked)).withColumn(steps, G.walk_steps(marked))
+    out = out.withColumn(walk, G.walk_sources(steps))
+    # The root alone hangs from nothing, so only the first source is empty; the last one is
+    # what follows the last separator.
     one_root = F.expr(
-        f"size({walk}.stack) = 0 AND "
-        f"NOT exists(slice({walk}.seen, 2, size({walk}.seen)), at -> at.source IS NULL)"
+        f"{walk}.depth = 0 AND array_position({walk}.depths, '0') = 1 "
+        f"AND NOT exists(slice({walk}.depths, 2, size({walk}.depths) - 2), d -> d IN ('0', '-1'))"
     )
     out = out.withColumn(decoded, F.coalesce(one_root, F.lit(False)))
-    built = G.triples_of(steps, f"{walk}.seen", pointed_at, non_inverse_roles)
-    out = out.select(*df.columns, decoded, F.when(F.col(decoded), built).alias(triples))
-    return pin_columns(out, decoded, triples)
+    built = F.when(F.col(decoded), G.triples_of(steps, walk, non_inverse_roles))
+    return pin_columns(
+        out.select(*df.columns, decoded, built.alias(triples)), decoded, triples
+    )
 
 
 def pin_columns(df: DataFrame, *names: str) -> DataFrame:

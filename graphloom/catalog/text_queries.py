@@ -463,9 +463,9 @@ def pad_truncate(spark, sf_dir):
     )
 
 
-def echo_model():
-    """Stands in for a model: repeats the prompt and answers with the prompt's length."""
-    return lambda prompts: [f"{p}(s / size :value {len(p)}) " for p in prompts]
+# Stands in for a model: repeats the prompt and answers with the prompt's length.  A lambda
+# travels with the job, so executors need no installed package.
+echo_model = lambda: lambda prompts: [f"{p}(s / size :value {len(p)}) " for p in prompts]
 
 
 @query(

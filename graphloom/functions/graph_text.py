@@ -79,7 +79,7 @@ def linearize(graph: Column | str) -> Column:
 
 # --- canonical text ------------------------------------------------------------
 
-_ALIGNMENT = r'("[^"]*")|~(?:[A-Za-z]\.?)?[0-9]+(?:,[0-9]+)*(?=[\s()]|$)'
+_ALIGNMENT = r'("[^"]*")|~(?:[A-Za-z]\.?)?[0-9]+(?:,[0-9]+)*(?=[\s()/]|$)'
 _WIKI = r'("[^"]*")|(?<![^\s()"]):wiki(?![^\s()"])\s*(?:"[^"]*"|[^\s()"]+)'
 _TOKEN = r'"[^"]*"|[()]|[^\s()"]+'
 
@@ -122,10 +122,11 @@ def _spaced_slash(text: Column) -> Column:
 # --- decoding ------------------------------------------------------------------
 
 # One match per step of the walk: [role] node opening | role atom | ')'.  Only the root
-# goes without a role.  A lone '/' and a text that starts with ':' are no atoms.
+# goes without a role, and a role gives nothing back to the atom behind it.  A lone '/' and
+# a text that starts with ':' are no atoms.
 _ATOM = r'"[^"]*"|(?!/(?![^\s()"]))[^\s()":][^\s()"]*'
 _VARIABLE = r'"[^"]*"|[^\s()":/][^\s()"/]*'
-_STEP = rf'(?:^|(:[^\s()"]*))\s*(?:\(\s*({_VARIABLE})\s*/\s*({_ATOM})|({_ATOM}))|\)'
+_STEP = rf'(?:^|(:[^\s()"]*+))\s*(?:\(\s*({_VARIABLE})\s*/\s*({_ATOM})|({_ATOM}))|\)'
 
 # A marked text has a record per step, closed by _END; what no step covers stays behind it.
 _RECORD, _FIELD, _END = "\x1e", "\x1f", "\x1d"

@@ -32,7 +32,8 @@ def read_graph_blocks(
     A record ends at a blank line after a graph; a last graph without one is left out
     unless ``keep_unterminated``.  A record without its own id or sentence takes over the
     file's previous one, or null with ``reset_fields``.  Graphs that follow each other
-    under one sentence add up: the second record holds both.
+    under one sentence add up: the second record holds both.  A sentence line inside a
+    graph drops the lines before it, so the record may be left with an empty graph.
     """
     lines = _classified(read_lines(spark, paths))
     in_block = Window.partitionBy("file", "block").orderBy("place")
@@ -90,7 +91,6 @@ def read_graph_blocks(
             F.max(at_end).alias("end"),
             F.max_by(F.struct("id", "sentence"), F.struct("block", "place")).alias("latest"),
         )
-        .filter(F.size("lines") > 0)
     )
     under_sentence = Window.partitionBy("file", "snt_no").orderBy("pos")
     all_lines = F.flatten(

@@ -220,6 +220,17 @@ def concept_counts(spark, sf_dir):
     return ST.concept_counts(decoded_orders(spark, sf_dir))
 
 
+@query(
+    "inspect_graphs",
+    f"""WITH {_SPACED} SELECT gid, {_text_sql("( ", " )")} AS encoded FROM whole
+ORDER BY gid LIMIT 1000""",
+)
+def inspect_graphs(spark, sf_dir):
+    graphs = order_graphs(spark, sf_dir)
+    encoded = graphs.select("gid", G.encode_graph("graph", remove_wiki=False).alias("encoded"))
+    return ST.inspect_rows(encoded, ["gid"])
+
+
 # --- words of whole documents as graphs ----------------------------------------------
 
 
@@ -452,7 +463,7 @@ def aligned_scores(spark, sf_dir):
 @query("neighbourhood_scores", f"WITH {_AROUND} SELECT {_SCORE_COLUMNS} FROM scores")
 def neighbourhood_scores(spark, sf_dir):
     pairs = scored_pairs(spark, sf_dir)
-    return _rounded(SC.neighbourhood_overlap(pairs, "ref", "pred", ["gid"], rounds=1))
+    return _rounded(SC.score_pairs(pairs, "ref", "pred", method="overlap", rounds=1))
 
 
 _PLAIN_PARTS = f"""{_PLAIN}, spaced_items AS (SELECT gid, string_agg(':op' || i || ' ( p' || i ||

@@ -13,7 +13,7 @@ from graphloom.operators import corpus as C
 from graphloom.operators import indexing as I
 from graphloom.operators import infer as M
 from graphloom.operators.stats import value_counts
-from graphloom.plans.corpus_build import training_table
+from graphloom.plans.corpus_build import evaluation_set, training_table
 from graphloom.plans.generation import generate_graphs, prepare_sentences
 from graphloom.session import fresh_path
 from graphloom.sources import tables as S
@@ -336,11 +336,32 @@ def gold_synth_union(spark, sf_dir):
     )
     rows = training_table(
         tagged_documents(spark, sf_dir), synthetic, train_language="EN", gold_amount=100,
-        synthetic_amount=30, gold_keys=("id",), seed=7,
+        synthetic_amount=30, synthetic_order=("sentence",), gold_keys=("id",), seed=7,
     )
     return rows.select("id", F.md5("sentence").alias("text_md5"), "amr_graph", "split", "lang", "part")
 
 
+@query(
+    "evaluation_sets",
+    f"""WITH {_TAGGED}, synth AS (SELECT text, row_number() OVER (ORDER BY text) AS rn FROM benchmark)
+SELECT 'gold' AS name, md5(sentence) AS text_md5 FROM tagged WHERE split = 'test' AND lang = 'HU'
+UNION ALL SELECT 'held_out', md5(text) FROM synth WHERE rn > 25""",
+)
+def evaluation_sets(spark, sf_dir):
+    synthetic = table(spark, sf_dir, "benchmark").select(
+        F.col("text").alias("sentence"), F.lit("(b / benchmark)").alias("generated_amr")
+    )
+    gold = evaluation_set("gold", corpus=tagged_documents(spark, sf_dir))
+    held_out = evaluation_set(
+        "held_out", synthetic=synthetic, order=("sentence",), held_out_offset=25
+    )
+    named = [
+        df.select(F.lit(name).alias("name"), F.md5("sentence").alias("text_md5"))
+        for name, df in (("gold", gold), ("held_out", held_out))
+    ]
+    return named[0].unionByName(named[1])
+
+
 @query(
     "prompt_train",
     f"""SELECT doc_id, md5({_PROMPT_HEAD} || text || {_PROMPT_MIDDLE} || lang || '</s>') AS text_md5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.constants import ALL_LANGUAGES, LANGUAGES, SPLIT_RANK
 from graphloom.functions.text import as_column
+from graphloom.session import materialize
 
 CORPUS_COLUMNS = ("id", "sentence", "amr_graph", "split", "lang")
 CORPUS_SCHEMA = ", ".join(f"{c} string" for c in CORPUS_COLUMNS)
@@ -138,9 +139,20 @@ def exact_sample(
     return pool.orderBy(draw, *keys).limit(n)
 
 
-def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int | str) -> DataFrame:
-    """All rows in random order, the same for the same ``(seed, keys)``."""
-    return df.orderBy(draw_key(seed, keys), *keys)
+def shuffle_rows(
+    df: DataFrame, keys: Sequence[str], seed: int | str, *, unique: bool = True
+) -> DataFrame:
+    """All rows in random order.
+
+    With keys that tell rows apart the order is the same for the same ``(seed, keys)``.
+    Copies of one key would sort into one task; with ``unique=False`` every row gets a
+    number of its own first, written once so that it stays when a task runs again, and
+    copies are spread like all other rows.
+    """
+    if unique:
+        return df.orderBy(draw_key(seed, keys), *keys)
+    numbered = materialize(df.withColumn("__copy", F.monotonically_increasing_id()), "numbered")
+    return numbered.orderBy(draw_key(seed, [*keys, "__copy"])).drop("__copy")
 
 
 def union_with_synthetic(gold: DataFrame | None, synthetic: DataFrame | None, spark=None) -> DataFrame:

@@ -27,3 +27,8 @@ def concept_counts(decoded: DataFrame, triples: str = "triples") -> DataFrame:
     """How often each concept occurs over all nodes of all graphs."""
     nodes = decoded.select(F.explode(node_concepts(triples)).alias("concept"))
     return value_counts(nodes, "concept", "concept")
+
+
+def inspect_rows(df: DataFrame, order: list[str], n: int = 1000) -> DataFrame:
+    """The first ``n`` rows for reading; a top-n per task, never a full sort."""
+    return df.orderBy(*order).limit(n)

@@ -103,10 +103,20 @@ def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples"
     return decoded.select(*keys, F.inline(pairs))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave the join to the
+def checked_broadcast(
+    df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20
+) -> DataFrame:
+    """Broadcast ``df`` when it is small by rows and by bytes, else leave the join to the
     optimizer (a shuffle join whose hot keys adaptive execution splits)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = (
+        df.limit(max_rows + 1)
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
+        )
+        .first()
+    )
+    return F.broadcast(df) if size.rows <= max_rows and size.bytes <= max_bytes else df
 
 
 def frame_violations(

@@ -68,13 +68,15 @@ def training_table(
     use_gold: bool = True,
     gold_amount: int | None = None,
     synthetic_amount: int | None = None,
-    synthetic_order: tuple[str, ...] = ("sentence",),
+    synthetic_order: tuple[str, ...] = ("source_file", "row_order"),
     gold_keys: tuple[str, ...] = ("sentence", "lang"),
     seed: int | str = 0,
     held_out_offset: int = HELD_OUT_OFFSET,
 ) -> DataFrame:
     """Gold rows (shuffled, capped) and synthetic rows (the first of the file), shuffled
     together as ``train``, with the dev rows as ``validation`` in the column ``part``.
+    ``synthetic_order`` is the order of the synthetic file, as ``read_csv(with_order=True)``
+    gives it; it must tell rows apart.
 
     A synthetic amount beyond ``held_out_offset`` would train on held-out rows: an error.
     """
@@ -93,8 +95,12 @@ def training_table(
         if synthetic_amount is not None:
             indexed = with_row_index(synthetic, synthetic_order, "__idx")
             synthetic = head_rows(indexed, synthetic_amount, "__idx").drop("__idx")
+        synthetic = synthetic.drop("source_file", "row_order")
     union = union_with_synthetic(gold, synthetic, corpus.sparkSession)
-    mixed = shuffle_rows(union.withColumn("part", F.lit("train")), list(gold_keys[:1]), seed)
+    # Generated sentences may repeat without bound.
+    mixed = shuffle_rows(
+        union.withColumn("part", F.lit("train")), list(gold_keys[:1]), seed, unique=synthetic is None
+    )
     return mixed.unionByName(
         dev.withColumn("part", F.lit("validation")), allowMissingColumns=True
     )
@@ -114,7 +120,7 @@ def evaluation_set(
     *,
     corpus: DataFrame | None = None,
     synthetic: DataFrame | None = None,
-    order: tuple[str, ...] = ("sentence",),
+    order: tuple[str, ...] = ("source_file", "row_order"),
     language: str = "HU",
     held_out_offset: int = HELD_OUT_OFFSET,
 ) -> DataFrame:
@@ -129,5 +135,5 @@ def evaluation_set(
 
 
 def read_generated(spark: SparkSession, path: str) -> DataFrame:
-    """A generated CSV under the corpus names."""
-    return synthetic_rows(read_csv(spark, path))
+    """A generated CSV under the corpus names, with its row order."""
+    return synthetic_rows(read_csv(spark, path, with_order=True))

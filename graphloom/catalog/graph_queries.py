@@ -280,11 +280,14 @@ def paren_repair(spark, sf_dir):
 
 @query(
     "paren_valid",
-    f"""WITH {FACTS_SQL} SELECT gid, CASE gid % 7 WHEN 6 THEN NULL ELSE gid % 7 NOT IN (1, 2) END
-  AS balanced FROM facts""",
+    f"""WITH {FACTS_SQL} SELECT gid, CASE WHEN gid % 7 = 6 THEN 'no text'
+  WHEN gid % 7 IN (1, 2) THEN 'false' ELSE 'true' END AS balanced FROM facts""",
 )
 def paren_valid(spark, sf_dir):
-    return damaged_graphs(spark, sf_dir).select("gid", G.parens_balanced("graph").alias("balanced"))
+    return damaged_graphs(spark, sf_dir).select(
+        "gid",
+        F.coalesce(G.parens_balanced("graph").cast("string"), F.lit("no text")).alias("balanced"),
+    )
 
 
 @query("valid_filter", f"WITH {FACTS_SQL} SELECT gid FROM facts WHERE gid % 7 = 0")
@@ -454,10 +457,11 @@ def overlap_scores(spark, sf_dir):
 @query(
     "aligned_scores",
     f"""WITH {_ALIGNED} SELECT {_SCORE_COLUMNS},
-  CASE WHEN parsable THEN true END AS exact FROM scores""",
+  parsable AS exact FROM scores""",
 )
 def aligned_scores(spark, sf_dir):
-    return _rounded(SC.score_pairs(scored_pairs(spark, sf_dir), "ref", "pred"), "exact")
+    scored = SC.score_pairs(scored_pairs(spark, sf_dir), "ref", "pred")
+    return _rounded(scored.withColumn("exact", F.coalesce("exact", F.lit(False))), "exact")
 
 
 @query("neighbourhood_scores", f"WITH {_AROUND} SELECT {_SCORE_COLUMNS} FROM scores")

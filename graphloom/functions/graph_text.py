@@ -135,7 +135,9 @@ _ROLE, _VAR, _CONCEPT, _VALUE = range(4)  # fields of a record; all empty for ')
 
 def mark_steps(graph: Column | str) -> Column:
     """The text rewritten in one pass to a record of fields per step of the walk."""
-    plain = F.translate(as_column(graph), _RECORD + _FIELD + _END, "   ")
+    graph = as_column(graph)
+    marks = _RECORD + _FIELD + _END
+    plain = F.when(graph.rlike(f"[{marks}]"), F.translate(graph, marks, "   ")).otherwise(graph)
     fields = _FIELD.join(f"${k}" for k in range(1, 5))
     return F.regexp_replace(plain, _STEP, _RECORD + fields + _FIELD + _END)
 
@@ -150,10 +152,13 @@ def steps_legal(graph: Column | str, marked: Column | str) -> Column:
     )
 
 
+_TO_END = 1 << 30  # longer than any array
+
+
 def walk_steps(marked: str) -> Column:
     """Array of steps, each an array of its fields.  Text before the first record is blank."""
     return F.expr(
-        f"transform(slice(split({marked}, '{_RECORD}'), 2, length({marked})), "
+        f"transform(slice(split({marked}, '{_RECORD}'), 2, {_TO_END}), "
         f"record -> split(record, '{_FIELD}'))"
     )
 
@@ -189,7 +194,7 @@ def walk_sources(steps: str) -> Column:
               WHEN {atom} <> '' THEN named_struct(
                 'stack', fold.stack, 'depth', fold.depth, {seen})
               ELSE named_struct(
-                'stack', if(fold.depth > 0, slice(fold.stack, 2, size(fold.stack)), fold.stack),
+                'stack', if(fold.depth > 0, slice(fold.stack, 2, {_TO_END}), fold.stack),
                 'depth', fold.depth - 1, {seen}) END,
             fold -> named_struct(
               'stack', fold.stack, 'depth', fold.depth,

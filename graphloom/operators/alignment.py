@@ -41,6 +41,40 @@ def _split(texts):
     return facts, arrows
 
 
+def _best_assignment(prices):
+    """Largest sum of one price per row in columns of their own (Hungarian method)."""
+    if len(prices) > len(prices[0]):
+        prices = [list(column) for column in zip(*prices)]
+    n, m = len(prices), len(prices[0])
+    row_offset, column_offset = [0.0] * (n + 1), [0.0] * (m + 1)
+    row_of = [0] * (m + 1)  # 1-based, 0 for a free column
+    for row in range(1, n + 1):
+        row_of[0], column = row, 0
+        slack, came_from, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[column]:
+            done[column] = True
+            here, step, following = row_of[column], float("inf"), 0
+            for j in range(1, m + 1):
+                if done[j]:
+                    continue
+                cost = -prices[here - 1][j - 1] - row_offset[here] - column_offset[j]
+                if cost < slack[j]:
+                    slack[j], came_from[j] = cost, column
+                if slack[j] < step:
+                    step, following = slack[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    row_offset[row_of[j]] += step
+                    column_offset[j] -= step
+                else:
+                    slack[j] -= step
+            column = following
+        while column:
+            row_of[column] = row_of[came_from[column]]
+            column = came_from[column]
+    return sum(prices[row_of[j] - 1][j - 1] for j in range(1, m + 1) if row_of[j])
+
+
 class _Problem:
     def __init__(self, ref, pred):
         ref_facts, ref_arrows = ref
@@ -94,53 +128,80 @@ class _Problem:
                 won += arrow in self.ref_arrows
         return won
 
-    def ceiling(self, start, chosen, free):
+    def ceiling(self, start, chosen, free, enough):
         """No mapping of the variables from ``start`` on can win more than this.
 
         A free pair may win its own facts, its arrows to mapped variables, and half of
-        each arrow its two ends could share with variables that are still free.
+        each arrow its two ends could share with variables that are still free.  The best
+        assignment under these prices is the ceiling; where the sum of the rows' best is
+        not above ``enough``, that coarser ceiling does.
         """
-        total = 0.0
+        if not free:
+            return 0
         open_roles = {
             j: Counter(w for w, o in self.ref_near[j] if o in free) for j in free
         }
+        prices = []
         for i in range(start, len(self.own)):
             wanted = Counter(w for w, o in self.pred_near[i] if o >= start)
-            best = 0.0
-            for j in free:
-                shared = sum(min(n, open_roles[j][w]) for w, n in wanted.items())
-                best = max(best, self.gain(i, j, chosen) + shared / 2)
-            total += best
-        return total
+            prices.append(
+                [
+                    self.gain(i, j, chosen)
+                    + sum(min(n, open_roles[j][w]) for w, n in wanted.items()) / 2
+                    for j in free
+                ]
+            )
+        coarse = int(sum(max(row) for row in prices) + 1e-9)
+        return coarse if coarse <= enough else int(_best_assignment(prices) + 1e-9)
 
     def improve(self, chosen):
         """Hill-climb from ``chosen`` by moves and swaps; returns its total."""
-
-        def total(c):
-            partial = [None] * len(c)
-            won = 0
-            for i, j in enumerate(c):
-                if j >= 0:
-                    won += self.gain(i, j, partial)
-                    partial[i] = j
-            return won
-
-        best, moved = total(chosen), True
+        won, placed = 0, [-1] * len(chosen)
+        for i, j in enumerate(chosen):
+            if j >= 0:
+                won += self.gain(i, j, placed)
+                placed[i] = j
+        holder = {j: i for i, j in enumerate(chosen) if j >= 0}
+        moved = True
         while moved:
             moved = False
             for i in range(len(chosen)):
                 for j in range(len(self.goals)):
                     if chosen[i] == j:
                         continue
-                    trial = list(chosen)
-                    if j in trial:
-                        trial[trial.index(j)] = chosen[i]
-                    trial[i] = j
-                    won = total(trial)
-                    if won > best:
-                        best, moved = won, True
-                        chosen[:] = trial
-        return best
+                    other = holder.get(j)
+                    change = self._change(chosen, i, j, other)
+                    if change > 0:
+                        left = chosen[i]
+                        holder.pop(left, None)
+                        chosen[i], holder[j] = j, i
+                        if other is not None:
+                            chosen[other] = left
+                            if left >= 0:
+                                holder[left] = other
+                        won, moved = won + change, True
+        return won
+
+    def _change(self, chosen, i, j, other):
+        """What is won when i moves to j and the variable there takes i's place."""
+        left = chosen[i]
+        chosen[i] = -1
+        if other is not None:
+            chosen[other] = -1
+
+        def together(mine, its):
+            won = self.gain(i, mine, chosen) if mine >= 0 else 0
+            if other is not None and its >= 0:
+                chosen[i] = mine
+                won += self.gain(other, its, chosen)
+                chosen[i] = -1
+            return won
+
+        change = together(j, left) - together(left, j)
+        chosen[i] = left
+        if other is not None:
+            chosen[other] = j
+        return change
 
     def solve(self, limit):
         n, m = len(self.own), len(self.goals)
@@ -154,7 +215,7 @@ class _Problem:
                 won += self.gain(i, j, chosen)
                 free.discard(j)
             chosen[i] = greedy[i] = j
-        top = int(self.ceiling(0, [None] * n, set(range(m))) + 1e-9)
+        top = self.ceiling(0, [None] * n, set(range(m)), won)
         if won >= top:
             return won, True
         best = max(won, self.improve(greedy))
@@ -180,7 +241,7 @@ class _Problem:
                 if level == n:
                     best = max(best, won)
                     todo = []
-                elif won + int(self.ceiling(level, chosen, free) + 1e-9) <= best:
+                elif won + self.ceiling(level, chosen, free, best - won) <= best:
                     todo = []
                 else:
                     todo = sorted((self.gain(level, j, chosen), -j) for j in free)

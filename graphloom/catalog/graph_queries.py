@@ -186,7 +186,7 @@ SELECT token, count(*) AS count FROM (SELECT unnest(string_split(line, ' ')) AS
 GROUP BY token""",
 )
 def linear_tokens(spark, sf_dir):
-    tokens = order_graphs(spark, sf_dir).select(F.explode(G.linear_tokens("graph")).alias("token"))
+    tokens = order_graphs(spark, sf_dir).select(F.explode_outer(G.linear_tokens("graph")).alias("token"))
     return ST.value_counts(tokens, "token", "token")
 
 

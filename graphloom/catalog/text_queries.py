@@ -94,7 +94,7 @@ def first_sentence_clean(spark, sf_dir):
     f"WITH {_SENTENCES} SELECT sentence, count(*) AS count FROM sentences GROUP BY sentence",
 )
 def sentence_split_counts(spark, sf_dir):
-    rows = documents(spark, sf_dir).select(F.explode(X.split_sentences("text")).alias("sentence"))
+    rows = documents(spark, sf_dir).select(F.explode_outer(X.split_sentences("text")).alias("sentence"))
     return value_counts(rows, "sentence", "sentence")
 
 

@@ -25,7 +25,9 @@ def top_concept_counts(decoded: DataFrame, triples: str = "triples") -> DataFram
 
 def concept_counts(decoded: DataFrame, triples: str = "triples") -> DataFrame:
     """How often each concept occurs over all nodes of all graphs."""
-    nodes = decoded.select(F.explode(node_concepts(triples)).alias("concept"))
+    # An outer generator, because for an inner one the optimizer works the array out in a
+    # filter too; the nulls it adds are not counted.
+    nodes = decoded.select(F.explode_outer(node_concepts(triples)).alias("concept"))
     return value_counts(nodes, "concept", "concept")
 
 

@@ -99,8 +99,10 @@ def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples"
             node -> named_struct('predicate', node.target, 'label', substring(edge.role, 2))))))
         """
     )
-    # The pairs of a graph repeat often; distinct ones are enough for a verdict.
-    return decoded.select(*keys, F.inline(pairs))
+    # The pairs of a graph repeat often; distinct ones are enough for a verdict.  An outer
+    # generator, because for an inner one the optimizer works the pairs out in a filter too.
+    rows = decoded.select(*keys, F.inline_outer(pairs))
+    return rows.filter(F.col("predicate").isNotNull())
 
 
 def checked_broadcast(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import decode_ids, encode_texts
+from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
+from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.token_files import token_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,11 +30,59 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = scan_benchmark(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    hits = F.size("hit_words").cast("long")
+    return seen.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        is_contaminated(hits, F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of every document, read back."""
     read = token_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_token_files": op8_token_files}
-CHECKS: dict[str, str] = {}
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+_TOPK_SQL = """
+WITH good AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS at,
+         CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+  FROM good
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.at = c.at AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+  GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_token_files": op8_token_files,
+    "op9_exact_topk": op9_exact_topk,
+}
+#: The others have no SQL here: tests hold them against plain code on small tables.
+CHECKS = {"op9_exact_topk": _TOPK_SQL}

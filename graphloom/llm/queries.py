@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
+from graphloom.llm.language_id import predict_language
 from graphloom.llm.token_files import token_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +47,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose remainder by 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    train = docs.filter(remainder(5) != 0)
+    seen = predict_language(docs.select("doc_id", "text"), train, WORD_BPE)
+    return seen.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of every document, read back."""
     read = token_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -81,6 +95,7 @@ QUALIFY row_number() OVER w <= 5
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op6_language_id": op6_language_id,
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
 }

@@ -10,6 +10,7 @@ from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.language_id import predict_language
+from graphloom.llm.quality import score_quality
 from graphloom.llm.token_files import token_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +32,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def taught_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may teach: those of documents that are not held out."""
+    return table(spark, sf_dir, "labels").filter(remainder(4) != 2)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = score_quality(docs, taught_labels(spark, sf_dir))
+    return seen.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,11 +65,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def remainder(n: int) -> Column:
-    """crc32 of the document's id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose remainder by 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -94,6 +107,7 @@ QUALIFY row_number() OVER w <= 5
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
     "op8_token_files": op8_token_files,

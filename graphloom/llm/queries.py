@@ -10,6 +10,7 @@ from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.language_id import predict_language
+from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.quality import score_quality
 from graphloom.llm.token_files import token_round_trip
 
@@ -49,6 +50,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents."""
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,6 +114,7 @@ QUALIFY row_number() OVER w <= 5
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
     "op8_token_files": op8_token_files,

@@ -34,10 +34,11 @@ from graphloom.llm.decontaminate import mixed, window_hashes, word_codes
 from graphloom.session import materialize
 
 WORDS, LIKE = 5, 75  # words in a shingle; the least similarity in hundredths
+TURNS = 3  # rounds of first comparisons; what they miss is found later
 KEYS = 4  # minimal hashes that vote for a set's group
 BROADCAST_ROWS = 400_000  # some 100 bytes each; longer tables are joined by a shuffle
 PER_LOT = 128  # sets compared with a group in one piece of work
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 
 
 def token_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -74,12 +75,6 @@ def prefix_length(n, like: int = LIKE):
     return n - least_overlap(n, like) + _depth(n)
 
 
-def prefix_need(n, like: int = LIKE):
-    """At least this many prefix tokens are shared with any partner, which has no fewer tokens
-    than ``least_overlap(n)`` and shares the lesser depth of the two."""
-    return _depth(least_overlap(n, like))
-
-
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n, digest, keys`` of ``docs(doc_id, text)``: one row per row."""
     seeds = mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
@@ -114,41 +109,48 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id")
 
 
-def _votes(sets: DataFrame, like: int) -> DataFrame:
-    """``q, m``: each set and the set it most looks like, by shared minimal hashes."""
-    keys = sets.select("rn", "n", F.posexplode("keys").alias("k", "key"))
+def _votes(sets: DataFrame, like: int, turn: int) -> DataFrame:
+    """``q, m, g``: each set and the set of another group it most looks like, by minimal hashes
+    they share; another ``turn`` proposes other sets."""
+    keys = sets.select("rn", "n", "grp", F.posexplode("keys").alias("k", "key"))
     first = keys.groupBy("k", "key").agg(
-        F.min(F.struct("rn", "n")).alias("m"), F.count(F.lit(1)).alias("size")
-    )
-    met = keys.join(first.filter("size > 1"), ["k", "key"]).filter("rn <> m.rn")
-    fits = met.filter(
-        (F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * like)
+        F.min_by(F.struct("rn", "n", "grp"), F.xxhash64("rn", F.lit(turn))).alias("m"),
+        (F.min("grp") != F.max("grp")).alias("apart"),
     )
+    met = keys.join(first.filter("apart").drop("apart"), ["k", "key"]).filter("grp <> m.grp")
+    fits = met.filter(F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * like)
     counted = fits.groupBy(F.col("rn").alias("q"), F.col("m.rn").alias("m")).count()
     best = counted.groupBy("q").agg(F.max(F.struct("count", -F.col("m"))).alias("best"))
-    return best.select("q", (-F.col("best.col2")).alias("m"))
+    return best.select("q", (-F.col("best.col2")).alias("m"), (-F.col("best.col2")).alias("g"))
+
+
+def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``sets`` with ``grp``: the component by ``links``, or the set itself."""
+    own = sets.drop("grp").join(components(links).withColumnRenamed("node", "rn"), "rn", "left")
+    own = own.withColumn("grp", F.coalesce("component", "rn")).drop("component")
+    return materialize(own, "groups")
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, like: int) -> DataFrame:
-    """``a, b``: the pairs ``q, m, g`` (query, member, its group) that link.
+def verified(
+    docs: DataFrame, sets: DataFrame, queries: DataFrame, members: DataFrame, like: int
+) -> DataFrame:
+    """``a, b``: the pairs of a query and a member of a group that link, from ``queries(q, g)``
+    and ``members(m, g)``.
 
-    Members of a group and its queries meet in lots of about ``PER_LOT`` queries.  A query is
+    A group's members and its queries meet in lots of about ``PER_LOT`` queries.  A query is
     compared with members only if its overlap with the union of their tokens is large enough.
     """
-    sizes = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PER_LOT).alias("lots"))
-    dealt = pairs.join(sizes, "g").select(
-        "q", "m", "g", F.pmod(F.xxhash64("q"), F.col("lots")).alias("lot")
-    )
-    members = dealt.select(F.col("m").alias("rn"), "g", "lot").distinct()
-    members = members.select("*", F.lit(0).alias("role"), F.array().cast("array<long>").alias("wanted"))
-    queries = dealt.groupBy(F.col("q").alias("rn"), "g", "lot").agg(
-        F.lit(1).alias("role"), F.collect_list("m").alias("wanted")
+    sizes = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PER_LOT).alias("lots"))
+    queries = queries.join(sizes, "g").select(
+        F.col("q").alias("rn"), "g", F.pmod(F.xxhash64("q"), F.col("lots")).alias("lot"), F.lit(1).alias("role")
     )
+    lots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")
+    members = members.join(sizes, "g").select(F.col("m").alias("rn"), "g", lots, F.lit(0).alias("role"))
     known = sets.select("rn", F.col("rep").alias("doc_id"), "digest")
     wanted = materialize(members.unionByName(queries).join(known, "rn"), "destinations")
 
     def tokens(batches):
-        names = ["g", "lot", "role", "rn", "wanted", "tokens"]
+        names = ["g", "lot", "role", "rn", "tokens"]
         for batch in batches:
             for part in slices(batch, 0):
                 digests, sets = as_bytes(part.column(1)), token_sets(as_bytes(part.column(0)))
@@ -158,15 +160,15 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, like: int) -> D
                 out = pa.RecordBatch.from_arrays([*part.columns[2:], value], names=names)
                 yield out.filter(right)
 
-    schema = "g long, lot long, role int, rn long, wanted array<long>, tokens binary"
-    rows = _with_texts(docs, wanted).select("text", "digest", "g", "lot", "role", "rn", "wanted")
+    schema = "g long, lot long, role int, rn long, tokens binary"
+    rows = _with_texts(docs, wanted).select("text", "digest", "g", "lot", "role", "rn")
     spread = rows.mapInArrow(tokens, schema).repartition("g", "lot")
 
     def compare(batches):
         here, members, union = None, {}, None
         for batch in batches:
             left, right = [], []
-            for g, lot, role, rn, ms, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, lot, role, rn, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 mine = np.frombuffer(raw, np.uint64)
                 if (g, lot) != here:
                     here, members, union = (g, lot), {}, None
@@ -177,9 +179,9 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, like: int) -> D
                     union = np.unique(np.concatenate(list(members.values())))
                 if union is None or _shared(mine, union) * 100 < like * len(mine):
                     continue
-                for m in ms:
-                    other = members.get(m)
-                    if other is None:
+                for m, other in members.items():
+                    small, large = sorted((len(mine), len(other)))
+                    if m == rn or 100 * small < like * large:
                         continue
                     both = _shared(mine, other)
                     if 100 * both >= like * (len(mine) + len(other) - both):
@@ -247,7 +249,7 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
                         kept = tokens[: length(len(tokens))]
                         held.append((rn, grp, kept))
                         size += len(kept)
-                if size > 2 * BUCKET_TOKENS:
+                if size > BUCKET_TOKENS:
                     yield from close()
                     held, size = [], 0
         if held:
@@ -283,24 +285,26 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
     wanted = sets.select(F.col("rep").alias("doc_id"), "digest", "rn", "grp")
     rows = _with_texts(docs, wanted).select("text", "digest", "rn", "grp")
     schema = "bucket int, sets binary, counts binary, low binary, high binary"
-    blocks = rows.mapInArrow(pack, schema).repartition(buckets, "bucket")
+    blocks = rows.mapInArrow(pack, schema).repartitionById(buckets, "bucket")
     return blocks.mapInArrow(count, "rn long, shared long").groupBy("rn").agg(
         F.sum("shared").alias("shared")
     )
 
 
-def _still_open(docs: DataFrame, sets: DataFrame, length, need) -> DataFrame:
+def _still_open(docs: DataFrame, sets: DataFrame, length, need) -> DataFrame:  # functions of n
     """The rows of ``sets`` whose shared tokens reach ``need(n)``, written to a table."""
     total = sets.agg(F.sum("n")).first()[0] or 0
+    total = length(int(total))  # near enough for the sum of the prefixes
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, total // BUCKET_TOKENS + 1)
+    buckets = max(least, int(total) // BUCKET_TOKENS + 1)
     counts = _outside_counts(docs, sets, length, buckets)
     kept = sets.join(counts, "rn").filter(F.col("shared") >= need(F.col("n")))
     return materialize(kept.drop("shared"), "open-sets")
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
-    """``q, m, g``: pairs of sets of different groups that share one of their rarest tokens."""
+def _candidates(docs: DataFrame, sets: DataFrame, like: int) -> tuple[DataFrame, DataFrame]:
+    """``q, g`` and ``m, g``: sets with the groups that hold one of their rarest tokens, and the
+    groups' members, in parts."""
     wanted = sets.select(F.col("rep").alias("doc_id"), "digest", "rn", "grp")
 
     def tokens(batches):
@@ -331,19 +335,21 @@ def _candidates(docs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
     seen = seen.withColumn("most", F.floor((F.col("n") - F.col("alone")) * 100 / like) - F.col("alone"))
     prefix = seen.filter(F.col("apart") & (F.col("place") <= F.col("n") - least_overlap_column(like) + 1))
     prefix = materialize(prefix.select("token", "rn", "grp", "n", "most"), "open-prefixes")
-    # Of two linked sets one has a ``most`` of at least its own size: the left side.
-    a = prefix.filter("most >= n").select(*[F.col(c).alias(f"a_{c}") for c in prefix.columns])
-    b = prefix.select(*[F.col(c).alias(f"b_{c}") for c in prefix.columns])
-    met = a.join(b, F.col("a_token") == F.col("b_token")).filter(
-        "a_grp <> b_grp AND b_n <= a_most AND a_n <= b_most AND (b_most < b_n OR a_rn < b_rn)"
+    # A group meets queries in parts of about 64 members.
+    sizes = sets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / 64).alias("parts"))
+    members = sets.join(sizes, "grp").select(
+        F.col("rn").alias("m"), F.xxhash64("grp", F.pmod(F.xxhash64("rn"), F.col("parts"))).alias("g")
     )
-    met = met.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * like)
-    pairs = met.select(F.col("a_rn").alias("q"), F.col("b_rn").alias("m"), F.col("b_grp").alias("grp"))
-    pairs = materialize(pairs.distinct(), "open-pairs")
-    sizes = pairs.groupBy("grp").agg(F.ceil(F.approx_count_distinct("m") / 64).alias("parts"))
-    return pairs.join(sizes, "grp").select(
-        "q", "m", F.xxhash64("grp", F.pmod(F.xxhash64("m"), F.col("parts"))).alias("g")
+    members = materialize(members, "open-members")
+    rows = prefix.join(members, prefix["rn"] == members["m"]).groupBy("token", "g").agg(
+        F.first("grp").alias("b_grp"), F.min("n").alias("b_n"), F.max("most").alias("b_most")
+    )
+    # Of two linked sets one has a ``most`` of at least its own size: the query.
+    met = prefix.filter("most >= n").join(rows, "token").filter(
+        (F.col("grp") != F.col("b_grp")) & (F.col("b_n") <= F.col("most")) & (F.col("n") <= F.col("b_most"))
     )
+    queries = materialize(met.select(F.col("rn").alias("q"), "g").distinct(), "open-queries")
+    return queries, members
 
 
 def least_overlap_column(like: int):
@@ -366,13 +372,15 @@ def near_copies(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
     sets = materialize(sets.withColumn("rn", F.monotonically_increasing_id()), "sets")
-    alike = _votes(sets, like).withColumn("g", F.col("m"))
-    links = materialize(verified(docs, sets, materialize(alike, "votes"), like), "first-links")
-    grouped = sets.drop("keys").join(
-        components(links).withColumnRenamed("node", "rn"), "rn", "left"
-    )
-    grouped = materialize(grouped.withColumn("grp", F.coalesce("component", "rn")).drop("component"), "groups")
-    still = _still_open(docs, grouped, prefix_length, lambda n: 1 + F.floor(F.ceil(n * like / 100) / 8))
+    grouped, links = sets.withColumn("grp", F.col("rn")), None
+    for turn in range(TURNS):
+        alike = materialize(_votes(grouped, like, turn), "votes")
+        members = alike.select("m", "g").distinct()
+        found = materialize(verified(docs, sets, alike.select("q", "g"), members, like), "links")
+        links = found if links is None else links.union(found)
+        grouped = _grouped(sets, links)
+    still = grouped.drop("keys")
+    still = _still_open(docs, still, prefix_length, lambda n: 1 + F.floor(F.ceil(n * like / 100) / 8))
     left = still.count()
     while left:
         still = _still_open(docs, still, lambda n: n, lambda n: F.ceil(n * like / 100))
@@ -380,11 +388,8 @@ def near_copies(
         if left > 0.9 * before:
             break
     if left:
-        pairs = materialize(_candidates(docs, still, like), "candidates")
-        links = links.union(verified(docs, sets, pairs, like))
-        grouped = sets.join(components(links).withColumnRenamed("node", "rn"), "rn", "left").withColumn(
-            "grp", F.coalesce("component", "rn")
-        )
+        queries, members = _candidates(docs, still, like)
+        grouped = _grouped(sets, links.union(verified(docs, sets, queries, members, like)))
     smallest = grouped.groupBy("grp").agg(F.min("rep").alias("component_id"))
     classes = grouped.join(smallest, "grp").select("digest", "component_id")
     # The same id with several texts: its smallest component holds for all of them.

@@ -10,6 +10,7 @@ from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.language_id import predict_language
+from graphloom.llm.lm_score import score_texts
 from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.quality import score_quality
 from graphloom.llm.token_files import token_round_trip
@@ -79,6 +80,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, learned from those whose remainder by 7 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(7) == 2
+    scored = score_texts(docs, docs.filter(~held_out), WORD_BPE)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of every document, read back."""
     read = token_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -117,6 +126,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
+    "op7_lm_score": op7_lm_score,
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
 }

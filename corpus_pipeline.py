@@ -8,18 +8,55 @@ Parquet below the shared folder and reads them again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encode_texts
-from graphloom.llm.queries import WORD_BPE
+from graphloom.llm.decontaminate import drop_contaminated
+from graphloom.llm.ngram_join import near_copies
+from graphloom.llm.quality import score_quality
+from graphloom.llm.queries import WORD_BPE, table, taught_labels
+from graphloom.llm.secrets import scan_secrets
 from graphloom.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier predicts as good."""
+    scored = score_quality(docs, taught_labels(spark, sf_dir))
+    return scored.filter("predicted = 1").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    first = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that do not hold too much of the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and the length told anew."""
+    seen = scan_secrets(docs).withColumn("text", F.col("redacted"))
+    return seen.withColumn(
+        "n_chars",
+        F.when(F.exists("findings", lambda c: c["secret"]), F.length("text").cast("long")).otherwise(F.col("n_chars")),
+    ).select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """The token ids of what is left, as little-endian unsigned 32-bit integers in ``ids``."""
     return encode_texts(docs, WORD_BPE)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality", quality),
+    ("near copies", one_of_each_group),
+    ("decontamination", decontaminate),
+    ("secrets", redact_secrets),
+    ("encode", encode),
+]
 #: No SQL gives scores, merges and ids; the stages are tested against plain code.
 ORACLE_SQL = None
 
@@ -27,5 +64,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import decode_ids, encode_texts
+from graphloom.llm.chat import format_turns, link_calls
 from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.language_id import predict_language
 from graphloom.llm.lm_score import score_texts
 from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.quality import score_quality
+from graphloom.llm.secrets import scan_secrets
 from graphloom.llm.token_files import token_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +74,66 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def derived_calls(turns: DataFrame) -> DataFrame:
+    """A call for each assistant turn: it asks for the turn's first word.  The table has no calls
+    of its own, so arguments, faults and needs come from the turns themselves."""
+    asked = turns.filter("role = 'assistant'")
+    limit = F.length("text")
+    word = F.to_json(F.struct(F.split_part("text", F.lit(" "), F.lit(1)).alias("query")))
+    word = F.left(word, F.length(word) - 1)
+    number = F.when(limit % 7 == 0, F.concat(F.lit('"'), limit, F.lit('"'))).otherwise(limit.cast("string"))
+    need = F.concat(F.lit(',"after":{"$call":"c'), "conv_id", F.lit("-"), F.col("turn") - 2, F.lit('"}'))
+    arguments = F.concat(
+        word, F.lit(',"limit":'), number, F.when(F.col("turn") % 4 == 3, need).otherwise(""), F.lit("}"),
+    )
+    return asked.select(
+        "conv_id", "turn", F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("call_id"),
+        F.lit("search").alias("name"), arguments.alias("arguments"),
+    )
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a line, with the calls of assistant turns linked to the user's next turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    results = turns.filter("role = 'user'").select(
+        "conv_id", "turn", F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") - 1).alias("call_id"),
+        F.col("text").alias("content"),
+    )
+    tools = spark.createDataFrame(
+        [("search", {"query": "string", "limit": "integer", "after": "object"}, ["query", "limit"])],
+        "name string, fields map<string,string>, required array<string>",
+    )
+    return format_turns(turns, link_calls(derived_calls(turns), results, tools))
+
+
+_CHAT_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id,
+         length(text) % 7 <> 0 AS valid,
+         CASE WHEN turn % 4 = 3 THEN '"after":{"$call":"c' || conv_id || '-' || (turn - 2) || '"},' ELSE '' END
+         || '"limit":' || CASE WHEN length(text) % 7 = 0 THEN '"' || length(text) || '"' ELSE '' || length(text) END
+         || ',"query":' || CAST(to_json(split_part(text, ' ', 1)) AS VARCHAR) AS arguments,
+         CASE WHEN turn % 4 = 3 THEN turn - 2 END AS need
+  FROM conversations WHERE role = 'assistant'
+), deep AS (
+  SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.need)
+                   THEN 1 ELSE 0 END AS depth,
+         (SELECT min(u.turn) FROM conversations u
+          WHERE u.role = 'user' AND u.conv_id = c.conv_id AND u.turn = c.turn + 1) AS result_turn
+  FROM calls c
+)
+SELECT t.conv_id, t.turn, t.role, d.call_id, CAST(d.depth AS INTEGER) AS depth,
+       coalesce(d.valid, FALSE) AS valid, d.result_turn IS NOT NULL AS linked,
+       '{"content":' || CAST(to_json(t.text) AS VARCHAR) || ',"role":"' || t.role || '"'
+       || CASE WHEN d.call_id IS NULL THEN '' ELSE
+            ',"tool_call":{"arguments":{' || d.arguments || '},"depth":' || d.depth || ',"id":"' || d.call_id
+            || '","name":"search"' || CASE WHEN d.result_turn IS NULL THEN '' ELSE ',"result_turn":' || d.result_turn END
+            || ',"valid":' || CASE WHEN d.valid THEN 'true' ELSE 'false' END || '}' END
+       || ',"turn":' || t.turn || '}' AS line
+FROM conversations t LEFT JOIN deep d ON t.conv_id = d.conv_id AND t.turn = d.turn
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose remainder by 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -100,6 +162,20 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document, with a digest of the redacted text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    seen = scan_secrets(docs)
+    secrets = F.filter("findings", lambda c: c["secret"])
+    return seen.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(secrets).cast("long").alias("n_secrets"),
+        F.array_max(F.transform("findings", lambda c: c["score"])).alias("top_score"),
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 _TOPK_SQL = """
 WITH good AS (
   SELECT vec_id, embedding FROM embeddings
@@ -125,10 +201,12 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
+    "op5_chat": op5_chat,
     "op6_language_id": op6_language_id,
     "op7_lm_score": op7_lm_score,
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
+    "op10_secrets": op10_secrets,
 }
 #: The others have no SQL here: tests hold them against plain code on small tables.
-CHECKS = {"op9_exact_topk": _TOPK_SQL}
+CHECKS = {"op5_chat": _CHAT_SQL, "op9_exact_topk": _TOPK_SQL}

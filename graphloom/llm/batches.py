@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -97,14 +97,14 @@ def gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class PieceCache:
-    """Encodes texts by way of their distinct ASCII-white-space chunks.
+    """Encodes lists of items, such as the chunks of texts, by way of their distinct items.
 
-    ``encode(chunks)`` returns (flat ids, ids per chunk) and must not depend on neighbours.
-    Results are kept over batches in the worker; past ``limit`` chunks the store starts anew,
+    ``encode(items)`` returns (flat ids, ids per item) and must not depend on neighbours.
+    Results are kept over batches in the worker; past ``limit`` items the store starts anew,
     so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit=500_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit=250_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -130,11 +130,15 @@ class PieceCache:
         self.used += len(ids)
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids of all texts, ids per text)."""
+        """(flat ids of all texts, ids per text); items are the chunks between ASCII white space."""
+        return self.lists(t.split() for t in texts)
+
+    def lists(self, lists: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids of all lists, ids per list)."""
         if len(self.table) > self.limit:
             self.clear()
         known = len(self.table)
-        parts = [numbered(self.table, t.split()) for t in texts]
+        parts = [numbered(self.table, items) for items in lists]
         if len(self.table) > known:
             self._add(list(islice(self.table, known, None)), known)
         words = np.concatenate(parts) if parts else np.zeros(0, np.int64)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import PieceCache, append_columns, as_bytes, gather, numbering, starts_of
+from graphloom.llm.batches import PieceCache, append_columns, as_bytes, gather, starts_of
 
 _NONE = np.int32(2**31 - 1)
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -69,7 +69,6 @@ class Bpe:
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + _WORD_END] for c in letters], np.int32)
-        self._special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -78,6 +77,16 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], _NONE)
 
+    def raw_or_words(self, items: list) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per item) of words, or of raw chunks in tuples."""
+        cut = [
+            [i] if isinstance(i, bytes) else [w.encode() for w in _WORD.findall(normal_form(i[0].decode()))]
+            for i in items
+        ]
+        ids, per_word = self.words([w for c in cut for w in c])
+        bounds = starts_of(np.fromiter(map(len, cut), np.int64, len(cut)))
+        return ids, np.diff(starts_of(per_word)[bounds])
+
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per word) of non-empty words."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -130,45 +139,45 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return np.concatenate(done_symbols)[order], np.bincount(word, minlength=len(words))
 
-    def chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids per chunk) of raw text chunks that end at ASCII white space."""
-        table = numbering()
-        flat, counts = [], []
-        for chunk in chunks:
-            text = chunk.decode()
-            if "<|" in text and self._special.search(text):
-                found = self._pieces_with_specials(text)
-            else:
-                found = [w.encode() for w in _WORD.findall(normal_form(text))]
-            counts.append(len(found))
-            flat.extend(map(table.__getitem__, found))
-        words = [w for w in table if isinstance(w, bytes)]
-        ids, per_word = self.words(words)
-        # Numbers of special tokens stand among the words' numbers, in the order of the table.
-        plain = np.fromiter((isinstance(w, bytes) for w in table), bool, len(table))
-        size = np.ones(len(table), np.int64)
-        size[plain] = per_word
-        begins = np.zeros(len(table), np.int64)
-        begins[plain] = starts_of(per_word)[:-1]
-        extra = np.array([w for w in table if not isinstance(w, bytes)], np.int32)
-        begins[~plain] = len(ids) + np.arange(len(extra))
-        flat = np.array(flat, np.int64)
-        size_flat = size[flat]
-        bounds = starts_of(np.array(counts, np.int64))
-        return (
-            gather(np.concatenate([ids, extra]), begins[flat], size_flat),
-            np.diff(starts_of(size_flat)[bounds]),
-        )
-
-    def _pieces_with_specials(self, text: str) -> list[bytes | int]:
-        """Words as bytes and special tokens, which are found in the raw text, as their ids."""
-        out: list[bytes | int] = []
-        at = 0
-        for m in self._special.finditer(text):
-            out += [w.encode() for w in _WORD.findall(normal_form(text[at : m.start()]))]
-            out.append(self.specials[m.group()])
+
+def chunk_cache(words, specials: dict[str, int]) -> PieceCache:
+    """A store for raw chunks of texts over a store for their words.
+
+    ``words(list of bytes)`` encodes normalised words.  Special tokens stand in the raw text.  A
+    chunk whose normal form is not stable goes to ``words`` as it is, in a tuple.
+    """
+    special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
+
+    def plain(text: str) -> list:
+        form = normal_form(text)
+        if not form.isascii() and normal_form(form) != form:
+            return [(text.encode(),)]
+        return [w.encode() for w in _WORD.findall(form)]
+
+    def cut(chunk: bytes) -> list:
+        text = chunk.decode()
+        if "<|" not in text:
+            return plain(text)
+        out, at = [], 0
+        for m in special.finditer(text):
+            out += [*plain(text[at : m.start()]), specials[m.group()]]
             at = m.end()
-        return out + [w.encode() for w in _WORD.findall(normal_form(text[at:]))]
+        return out + plain(text[at:])
+
+    def encode(items: list) -> tuple[np.ndarray, np.ndarray]:
+        """Words, special ids as numbers and raw chunks in tuples, in any order."""
+        known = np.fromiter((isinstance(i, int) for i in items), bool, len(items))
+        ids, per_word = words([i for i in items if not isinstance(i, int)])
+        size = np.ones(len(items), np.int64)
+        size[~known] = per_word
+        begins = np.zeros(len(items), np.int64)
+        begins[~known] = starts_of(per_word)[:-1]
+        begins[known] = len(ids) + np.arange(known.sum())
+        extra = np.array([i for i in items if isinstance(i, int)], np.int32)
+        return gather(np.concatenate([ids, extra]), begins, size), size
+
+    inner = PieceCache(encode)
+    return PieceCache(lambda chunks: inner.lists(map(cut, chunks)))
 
 
 _KEPT: dict = {}
@@ -197,7 +206,11 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
     data = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        cache = kept(("bpe", path), lambda: PieceCache(Bpe(data.value).chunks))
+        def cache_of():
+            bpe = Bpe(data.value)
+            return chunk_cache(bpe.raw_or_words, bpe.specials)
+
+        cache = kept(("bpe", path), cache_of)
 
         def work(columns):
             flat, counts = cache.texts(as_bytes(columns[0]))

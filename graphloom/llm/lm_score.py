@@ -31,7 +31,7 @@ FREQUENT = 150_000  # words of some 100 bytes in a task
 TRAIN_EVERY, ROUNDS, STEPS, BATCH, RATE = 32, 2, 300, 128, 0.1
 WINDOWS_PER_TASK = 30_000
 ADDERS = 8
-KEPT = 500_000
+KEPT = 250_000
 END = b" "  # no word between white space can be this
 
 

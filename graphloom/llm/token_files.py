@@ -14,9 +14,11 @@ another in ascending document order.  A document with more ids is a block of its
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm import rans
 from graphloom.llm.batches import PieceCache, append_columns, as_bytes, slices, starts_of
-from graphloom.llm.bpe import kept, read_vocabulary
+from graphloom.llm.bpe import chunk_cache, kept, read_vocabulary
 from graphloom.session import fresh_path, materialize
 
 BLOCK_IDS = 1 << 18
@@ -37,8 +39,8 @@ _BLOCK = (
 )
 
 
-def library_chunks(data: bytes):
-    """Encode raw chunks with the ``tokenizers`` library: (flat ids, ids per chunk)."""
+def library_cache(data: bytes) -> PieceCache:
+    """A store of chunks whose words the ``tokenizers`` library encodes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -46,19 +48,29 @@ def library_chunks(data: bytes):
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        ids = [e.ids for e in found]
+    def encode(items: list) -> tuple[np.ndarray, np.ndarray]:
+        texts = [(i if isinstance(i, bytes) else i[0]).decode() for i in items]
+        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for part in ids for i in part), np.int32, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
-    return encode
+    specials = {a["content"]: a["id"] for a in json.loads(data).get("added_tokens", [])}
+    return chunk_cache(encode, specials)
+
+
+_PACK = pa.Codec("zstd", 1)
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """Ids as a compressed value for tables between two steps; the first byte tells the width."""
+    """Ids as a compressed value for tables between two steps: width and size stand in front."""
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
-    return bytes([wide]) + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+    raw = ids.astype("<u4" if wide else "<u2").tobytes()
+    return bytes([wide]) + len(raw).to_bytes(8, "little") + _PACK.compress(raw, asbytes=True)
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    raw = _PACK.decompress(value[9:], int.from_bytes(value[1:9], "little"), asbytes=True)
+    return np.frombuffer(raw, "<u4" if value[0] else "<u2")
 
 
 def tokenize(
@@ -66,13 +78,13 @@ def tokenize(
 ) -> DataFrame:
     """Append ``n_ids`` and the compressed ids of ``text`` with ``end_id`` behind them.
 
-    The vocabulary must cut words at ASCII white space, so that chunks can be encoded once
-    per worker wherever they stand.  Null counts as empty.
+    The vocabulary must be one of word ends that drops white space, so that the library needs
+    to see each word once per worker, wherever it stands.  Null counts as empty.
     """
     data = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        cache = kept(("library", path), lambda: PieceCache(library_chunks(data.value)))
+        cache = kept(("library", path), lambda: library_cache(data.value))
 
         def work(columns):
             flat, counts = cache.texts(as_bytes(columns[0]))
@@ -89,10 +101,6 @@ def tokenize(
     return append_columns(df, [text], fields, make)
 
 
-def unpacked(value: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(value[1:]), "<u4" if value[0] else "<u2")
-
-
 def id_counts(df: DataFrame, packed_ids: str = "packed") -> DataFrame:
     """``symbol, n`` over all rows: counted per task, then added up."""
 

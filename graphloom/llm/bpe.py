@@ -140,7 +140,7 @@ class Bpe:
         return np.concatenate(done_symbols)[order], np.bincount(word, minlength=len(words))
 
 
-def chunk_cache(words, specials: dict[str, int]) -> PieceCache:
+def chunk_cache(words, specials: dict[str, int], chunks=100_000, kept_words=100_000) -> PieceCache:
     """A store for raw chunks of texts over a store for their words.
 
     ``words(list of bytes)`` encodes normalised words.  Special tokens stand in the raw text.  A
@@ -176,8 +176,8 @@ def chunk_cache(words, specials: dict[str, int]) -> PieceCache:
         extra = np.array([i for i in items if isinstance(i, int)], np.int32)
         return gather(np.concatenate([ids, extra]), begins, size), size
 
-    inner = PieceCache(encode)
-    return PieceCache(lambda chunks: inner.lists(map(cut, chunks)))
+    inner = PieceCache(encode, kept_words)
+    return PieceCache(lambda new: inner.lists(map(cut, new)), chunks)
 
 
 _KEPT: dict = {}

@@ -50,12 +50,15 @@ def library_cache(data: bytes) -> PieceCache:
 
     def encode(items: list) -> tuple[np.ndarray, np.ndarray]:
         texts = [(i if isinstance(i, bytes) else i[0]).decode() for i in items]
-        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = []
+        for at in range(0, len(texts), 4096):  # the library's own results are large
+            found = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+            ids += [e.ids for e in found]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
     specials = {a["content"]: a["id"] for a in json.loads(data).get("added_tokens", [])}
-    return chunk_cache(encode, specials)
+    return chunk_cache(encode, specials, 600_000, 400_000)
 
 
 _PACK = pa.Codec("zstd", 1)

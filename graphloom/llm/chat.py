@@ -100,6 +100,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     required = F.coalesce("required", F.array().cast("array<string>"))
     valid = (
         F.col("canonical").startswith("{")
+        & F.col("fields").isNotNull()
         & (F.size(F.array_except(required, F.map_keys(given))) == 0)
         & F.forall(F.map_entries(given), lambda e: _typed(e["value"], F.col("fields")[e["key"]]))
     )

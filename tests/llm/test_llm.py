@@ -1,0 +1,254 @@
+"""The training-text operators on small tables with every kind of awkward row."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from graphloom.llm import rans
+from graphloom.llm.attention_lm import Model
+from graphloom.llm.bpe import decode_ids, encode_texts
+from graphloom.llm.chat import link_calls
+from graphloom.llm.decontaminate import remove_spans, scan_benchmark
+from graphloom.llm.exact_topk import exact_topk
+from graphloom.llm.language_id import predict_language
+from graphloom.llm.lm_score import score_texts
+from graphloom.llm.ngram_join import near_copies
+from graphloom.llm.quality import isotonic, score_quality
+from graphloom.llm.secrets import scan_secrets
+from graphloom.llm.token_files import token_round_trip
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    None, "", " \n\t", "a", "A b C d", "a<|endoftext|>b", "it's ΑΣ é é 日本 ½ 🎉", "zzz" * 4000,
+    "the cat sat " * 3000, "the cat sat on the mat and looked at the moon for a long time today",
+    "the cat sat on the mat and looked at the moon for a long time today", "x\x00y\x01   q",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "text", "n_words") for i, t in enumerate(TEXTS)]
+    rows += [rows[4], (None, "orphan words", None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string, n_words string")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+def test_bpe_equals_the_library(docs, empty):
+    library = Tokenizer.from_file(WORD_BPE)
+    rows = decode_ids(encode_texts(docs, WORD_BPE), WORD_BPE).collect()
+    assert len(rows) == len(TEXTS) + 2
+    for r in rows:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids
+        assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    assert encode_texts(empty, WORD_BPE).count() == 0
+
+
+def test_token_files(docs, empty):
+    library = Tokenizer.from_file(WORD_BPE)
+    rows = token_round_trip(docs.filter("doc_id IS NOT NULL"), WORD_BPE).orderBy("start").collect()
+    start = 0
+    for r in rows:
+        ids = [*library.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+        assert (r["start"], r["n_tokens"]) == (start, len(ids))
+        assert zlib.crc32(r["ids"]) == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    assert token_round_trip(empty, WORD_BPE).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 257, 70_000])
+def test_rans_round_trip(n):
+    ids = np.random.default_rng(n).geometric(0.01, n)
+    table = rans.Table(rans.scaled(np.bincount(ids, minlength=5)))
+    c = rans.encode(ids, table)
+    assert rans.decode(n, c["lanes"], c["words"], c["states"], c["offsets"], table).tolist() == ids.tolist()
+
+
+def test_near_copies_equal_brute_force(spark, empty):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(1000, ""), (1001, "A b C d"), (1002, "a B c D"), (None, "a b c d")]
+    for i in range(120):
+        w = base[: rng.randrange(60, 91)] if i % 3 else passage + [f"o{rng.randrange(99)}" for _ in range(i % 14)]
+        if i % 3 == 2:
+            w[rng.randrange(50)] = "changed"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            w = t.lower().split()
+            sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    above = {i: i for i in sets}
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                above[y] = x
+    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found}
+    assert got.pop(None) == (1, None)
+    assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+    assert near_copies(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    bench = spark.createDataFrame(
+        [(1, TEXTS[9]), (2, "CAT sat"), (3, None), (4, "..."), (None, "moon")], "item_id long, text string"
+    )
+    for chunk in (1 << 20, 2):
+        rows = {r["doc_id"]: r for r in scan_benchmark(docs, bench, chunk_windows=chunk).collect()}
+        assert rows[9]["hit_words"] == list(range(16)) and rows[9]["items"] == [1, 2]
+        assert rows[0]["n_words"] == 0 and rows[0]["hit_words"] == [] and rows[4]["items"] == []
+    cut = {r["doc_id"]: r["text"] for r in remove_spans(docs, bench).collect()}
+    assert cut[0] is None and cut[9].strip() == "" and cut[4] == "A b C d"
+    assert scan_benchmark(docs, bench.filter("false")).count() == len(TEXTS) + 2
+    assert scan_benchmark(empty, bench).count() == 0
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(200)]
+    rows += [(500, None), (501, [None] * 12), (502, [float("nan")] * 12), (503, rows[3][1]), (None, rows[4][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_topk(df, df.filter("vec_id % 50 = 0"), 5).collect()
+    whole = {i: np.floor(256 * np.float32(v).astype(float)).astype(int) for i, v in rows[:200] + [rows[203]]}
+    for q in (0, 50, 100, 150):
+        best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
+        mine = sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [(s, i) for _, s, i in mine] == best
+    assert exact_topk(df.filter("false"), df, 5).count() == 0
+
+
+def test_language(spark, docs, empty):
+    train = spark.createDataFrame(
+        [("the house and the garden", "en")] * 9 + [("das haus und der garten", "de")] * 9 + [("x", None)],
+        "text string, lang string",
+    )
+    rows = {r["doc_id"]: r for r in predict_language(docs, train, WORD_BPE).collect()}
+    assert rows[9]["lang_pred"] == "en" and 0 <= rows[9]["score"] <= 1
+    assert rows[0]["lang_pred"] == rows[2]["lang_pred"] == "und"
+    assert {r["lang_pred"] for r in predict_language(docs, train.filter("false"), WORD_BPE).collect()} == {"und"}
+    assert predict_language(empty, train, WORD_BPE).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 12)] + [(99, 1), (3, None)], "doc_id long, quality int")
+    rows = score_quality(docs, labels).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    assert {r["score"] for r in score_quality(docs, labels.filter("false")).collect()} == {0.5}
+    assert score_quality(empty, labels).count() == 0
+    assert isotonic(np.ones(4), np.array([0.0, 1, 0, 1])).tolist() == [0, 0.5, 0.5, 1]
+
+
+def test_lm_scores(docs, empty):
+    rows = score_texts(docs, docs.filter("doc_id < 9"), WORD_BPE).collect()
+    counts = {}
+    for t in TEXTS[:9] + [TEXTS[4]]:
+        for w in [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]:
+            counts[w] = counts.get(w, 0) + 1
+    total, distinct = sum(counts.values()), len(counts)
+    for r in rows:
+        t = TEXTS[r["doc_id"]] if r["doc_id"] is not None else "orphan words"
+        words = [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+        base = sum(math.log10((counts.get(w, 0) + 1) / (total + distinct + 1)) for w in words)
+        assert (r["n_tokens"], r["n_known"]) == (len(words), sum(w in counts for w in words))
+        assert r["base_score"] == pytest.approx(base) and r["train_tokens"] == total and r["score"] < 0
+    assert score_texts(empty, empty, WORD_BPE).count() == 0
+
+
+def test_lm_gradients():
+    model = Model(30)
+    rng = np.random.default_rng(2)
+    model.parts = {k: v.astype(float) for k, v in model.parts.items()}
+    x, y = rng.integers(0, 31, (5, 16)), rng.integers(0, 31, (5, 8))
+    x[:, 8:] = np.minimum(x[:, 8:], 29)
+    grads = model.gradients(x, y)
+
+    def loss():
+        p = model.forward(model.tables(), x, y)["p"]
+        return -np.log(p[y != 30]).mean()
+
+    for name, g in grads.items():
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = model.parts[name][at]
+        values = []
+        for step in (1e-4, -1e-4):
+            model.parts[name][at] = old + step
+            values.append(loss())
+        model.parts[name][at] = old
+        assert g[at] == pytest.approx((values[0] - values[1]) / 2e-4, rel=1e-2)
+
+
+def test_secrets(spark, empty):
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"
+    rows = [(i, f'note token = "{key[i % 7:]}" end' if i % 2 else f"card 46558063249416{i:02d} end", None) for i in range(60)]
+    rows += [(100, None, "x"), (101, "", "x"), (102, "plain words only", "x"), (1, rows[1][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in scan_secrets(df).collect()}
+    assert got[1]["redacted"] == 'note token = "[SECRET]" end'
+    assert got[2]["redacted"] == rows[2][1] and len(got[2]["findings"]) == 1
+    assert got[100]["redacted"] is None and got[100]["findings"] == [] and got[101]["redacted"] == ""
+    assert scan_secrets(df.filter("doc_id > 99")).count() == 3
+    assert scan_secrets(df.filter("false")).count() == 0
+
+
+def test_call_links(spark):
+    calls = spark.createDataFrame(
+        [
+            (1, 1, "a", "f", '{"n": 3, "k": "x"}'),
+            (1, 3, "b", "f", '{"k": "y", "n": {"$call":"a"}}'),
+            (1, 5, "c", "f", "no json"),
+            (1, 7, "d", "g", "{}"),
+            (2, 1, "p", "f", '{"n": 1, "o": {"$call":"q"}}'),
+            (2, 2, "q", "f", '{"n": 1, "o": {"$call":"p"}}'),
+            (2, 3, None, None, None),
+        ],
+        "conv_id long, turn long, call_id string, name string, arguments string",
+    )
+    results = spark.createDataFrame(
+        [(1, 2, "a", "one"), (1, 4, "a", "late"), (1, 1, "b", "early"), (3, 1, "z", "none")],
+        "conv_id long, turn long, call_id string, content string",
+    )
+    tools = spark.createDataFrame(
+        [("f", {"n": "integer", "k": "string", "o": "object"}, ["n"])],
+        "name string, fields map<string,string>, required array<string>",
+    )
+    got = {(r["conv_id"], r["call_id"]): r for r in link_calls(calls, results, tools).collect()}
+    assert got[1, "a"]["canonical"] == '{"k":"x","n":3}' and got[1, "a"]["valid"]
+    assert got[1, "a"]["result"]["content"] == "one" and got[1, "b"]["result"] is None
+    assert [got[1, k]["depth"] for k in "ab"] == [0, 1] and got[2, "p"]["depth"] == -1
+    assert not got[1, "b"]["valid"] and not got[1, "c"]["valid"] and not got[1, "d"]["valid"]
+    assert (2, None) in got
+    assert link_calls(calls.filter("false"), results, tools).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert 0 < len(kept) < docs.count()
+    library = Tokenizer.from_file(WORD_BPE)
+    for r in kept:
+        ids = np.array(library.encode(r["text"], add_special_tokens=False).ids, "<u4")
+        assert hashlib.sha256(ids.tobytes()).digest() == hashlib.sha256(r["ids"]).digest()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.constants import BATCH_SIZE
 from graphloom.functions.text import as_column, attention_mask, mask_label_padding, pad_or_truncate
@@ -29,34 +31,38 @@ def batch_infer(
     ``load_model`` is called once per task and gives a function from a list of inputs to
     as many outputs.  With several input columns an input is a dict of their values.
     Batches have ``batch_size`` rows but for a task's last one, whatever the Arrow batches.
+    Only the inputs become Python values; other columns stay Arrow data and keep every value.
     """
     single = isinstance(inputs, str)
     names = [inputs] if single else list(inputs)
     schema = T.StructType(
         [*df.schema.fields, T.StructField(output, T._parse_datatype_string(output_type))]
     )
+    made_type = to_arrow_type(schema.fields[-1].dataType)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
 
-        def answer(batch: pd.DataFrame) -> pd.DataFrame:
-            given = batch[names[0]].tolist() if single else batch[names].to_dict("records")
+        def answer(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [batch.column(n).to_pylist() for n in names]
+            given = columns[0] if single else [dict(zip(names, v)) for v in zip(*columns)]
             made = list(model(given))
             if len(made) != len(given):
                 raise ValueError(f"model gave {len(made)} outputs for {len(given)} inputs")
-            return batch.assign(**{output: made})
+            yield from batch.append_column(output, pa.array(made, made_type)).combine_chunks().to_batches()
 
         held = None
-        for frame in frames:
-            held = frame if held is None or held.empty else pd.concat([held, frame])
-            whole = len(held) - len(held) % batch_size
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None or not held.num_rows else pa.concat_tables([held, new])
+            whole = held.num_rows - held.num_rows % batch_size
             for start in range(0, whole, batch_size):
-                yield answer(held.iloc[start : start + batch_size])
-            held = held.iloc[whole:]
-        if held is not None and len(held):
-            yield answer(held)
+                yield from answer(held.slice(start, batch_size))
+            held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from answer(held)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def score_translations(

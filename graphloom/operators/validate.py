@@ -161,7 +161,10 @@ def validate_graphs(
     else:
         bad = frame_violations(core_roles(prepared, keys), lexicon, keys, max_lexicon_rows)
         bad = bad.withColumn("__bad", F.lit(True))
-        flagged = flagged.drop("triples").join(bad, list(keys), "left")
+        # Null keys are keys too.
+        bad = bad.select(*[F.col(k).alias(f"__bad_{k}") for k in keys], "__bad")
+        same = [F.col(k).eqNullSafe(F.col(f"__bad_{k}")) for k in keys]
+        flagged = flagged.drop("triples").join(bad, same, "left")
         flagged = flagged.withColumn("frames", F.col("decoded") & F.col("__bad").isNull())
     flagged = flagged.select(
         *df.columns, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in CHECKS]

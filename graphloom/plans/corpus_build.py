@@ -79,6 +79,7 @@ def training_table(
     gives it; it must tell rows apart.
 
     A synthetic amount beyond ``held_out_offset`` would train on held-out rows: an error.
+    Without an amount the synthetic rows end at the offset.
     """
     if synthetic_amount is not None and synthetic_amount > held_out_offset:
         raise ValueError(
@@ -92,9 +93,9 @@ def training_table(
             gold = exact_sample(train, gold_amount, list(gold_keys), seed, at_most=True)
     if synthetic is not None:
         synthetic = synthetic_rows(synthetic)
-        if synthetic_amount is not None:
-            indexed = with_row_index(synthetic, synthetic_order, "__idx")
-            synthetic = head_rows(indexed, synthetic_amount, "__idx").drop("__idx")
+        amount = held_out_offset if synthetic_amount is None else synthetic_amount
+        indexed = with_row_index(synthetic, synthetic_order, "__idx")
+        synthetic = head_rows(indexed, amount, "__idx").drop("__idx")
         synthetic = synthetic.drop("source_file", "row_order")
     union = union_with_synthetic(gold, synthetic, corpus.sparkSession)
     # Generated sentences may repeat without bound.

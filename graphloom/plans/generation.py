@@ -75,10 +75,11 @@ def generate_pair_blocks(
     """Parallel files in; the model's blocks for the English side, each below a header
     with the Hungarian sentence, out."""
     pairs = zip_text_files(spark, english_path, hungarian_path, "sentence", "hu_sentence")
-    blocks = batch_infer(pairs, load_model, "sentence", "block", batch_size=batch_size)
-    # Lines of one file keep their order: rows are spread by ranges of line numbers.
-    ordered = blocks.repartitionByRange("line_no").sortWithinPartitions("line_no")
-    write_pair_blocks(ordered, output_path)
+    # Lines keep their order: rows are spread by ranges of line numbers.  The ranges are drawn from
+    # the input, so that the model, which keeps the order of rows, sees each row once.
+    ordered = pairs.repartitionByRange("line_no").sortWithinPartitions("line_no")
+    blocks = batch_infer(ordered, load_model, "sentence", "block", batch_size=batch_size)
+    write_pair_blocks(blocks, output_path)
 
 
 def evaluate_file(

@@ -13,15 +13,18 @@ from graphloom.plans.generation import generate_graphs
 
 
 def read_drops(
-    spark: SparkSession, folder: str, schema, file_format: str = "json", files_per_batch: int = 1
+    spark: SparkSession,
+    folder: str,
+    schema,
+    file_format: str = "json",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """A stream of the files that arrive in a folder."""
-    return (
-        spark.readStream.format(file_format)
-        .schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-    )
+    """A stream of the files that arrive in a folder: all that are new in one micro-batch, or
+    at most ``files_per_batch``."""
+    reader = spark.readStream.format(file_format).schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(folder)
 
 
 def generate_stream(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ from graphloom.session import materialize
 
 CORPUS_COLUMNS = ("id", "sentence", "amr_graph", "split", "lang")
 CORPUS_SCHEMA = ", ".join(f"{c} string" for c in CORPUS_COLUMNS)
+DRAW_DIGITS = 4  # leading hexadecimal digits of a draw by which a sample counts rows
 
 
 def keep_first(
@@ -118,25 +118,27 @@ def exact_sample(
 ) -> DataFrame:
     """``n`` rows drawn without replacement, the same for the same ``(seed, keys)``.
 
-    The sample is the first ``n`` rows in draw order.  Rows far behind the expected last
-    draw are filtered out first, so that the final sort sees about ``n`` rows and not ``n``
-    per task; if the filter keeps fewer than ``n``, all rows are sorted.  With ``at_most``
-    a smaller table is returned whole, otherwise it is an error.
+    The sample is the first ``n`` rows in draw order, as a set.  One pass counts rows by the
+    first digits of their draw; rows below the digits where the n-th row lies are all kept where
+    they stand, and only the rows with those very digits are sorted.  With ``at_most`` a smaller
+    table is returned whole, otherwise it is an error.
     """
     draw = draw_key(seed, keys)
-    # First 13 hex digits as a number: exact in a double.
-    fraction = F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    total = df.count()
-    if total < n and not at_most:
-        raise ValueError(f"cannot draw {n} rows out of {total}")
-    pool = df
-    if total > n:
-        share = min(1.0, (n + 8 * math.sqrt(n) + 64) / total)
-        if share < 1.0:
-            near = df.filter(fraction < share)
-            if near.count() >= n:
-                pool = near
-    return pool.orderBy(draw, *keys).limit(n)
+    digits = F.substring(draw, 1, DRAW_DIGITS)
+    # At most 16 ** DRAW_DIGITS rows, so that the one window over all of them is short.
+    counts = df.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("rows"))
+    upto = counts.withColumn("upto", F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("digits")))
+    found = upto.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
+        F.min(F.when(F.col("upto") >= n, F.struct("digits", "rows", "upto"))).alias("edge"),
+    ).first()
+    if found.total < n and not at_most:
+        raise ValueError(f"cannot draw {n} rows out of {found.total}")
+    if found.total <= n:
+        return df
+    below = found.edge["upto"] - found.edge["rows"]
+    edge = df.filter(digits == found.edge["digits"]).orderBy(draw, *keys).limit(n - below)
+    return df.filter(digits < found.edge["digits"]).unionByName(edge)
 
 
 def shuffle_rows(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import as_column, strip_unicode
+from graphloom.operators.validate import checked_broadcast
 from graphloom.session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the place in its lower 33 bits
@@ -51,6 +52,19 @@ def _prefix_sums(sizes: DataFrame, order: Sequence[str], size: str, out: str) ->
     return sizes.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0))).drop(size)
 
 
+def file_order(path: Column | str) -> Column:
+    """A text that sorts like ``path``, but with numbers by value: ``part-99999`` comes before
+    ``part-100000``."""
+    padded = F.regexp_replace(as_column(path), r"(\d+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, r"0*(\d{20,})", "$1")
+
+
+def in_file_order(order: Sequence[Column | str]) -> list[Column | str]:
+    """``order`` with file names by the numbers in them."""
+    named = [isinstance(c, str) and c == "source_file" for c in order]
+    return [x for c, path in zip(order, named, strict=True) for x in ([file_order(c), c] if path else [c])]
+
+
 def read_lines(spark, paths) -> DataFrame:
     """Text lines with ``file, block, place``: a line's file, the start of the block it was
     read from, and a number that grows inside the block.  Large files are read in blocks."""
@@ -63,16 +77,18 @@ def read_lines(spark, paths) -> DataFrame:
 
 
 def read_numbered_lines(spark, path, name: str = "line_no") -> DataFrame:
-    """``file, line_no, line``: lines numbered from 0 over all files in name order.
+    """``file, line_no, line``: lines numbered from 0 over all files in name order, numbers in
+    names by value.
 
-    Only line counts per block meet before the join; no line is sorted or shuffled to be
-    numbered.
+    Only line counts per block meet before the join.  They are written, and broadcast after a
+    check of their size, so no line is sorted or shuffled to be numbered.
     """
     lines = read_lines(spark, path)
     blocks = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("__n"), F.min("place").alias("__first")
     )
-    offsets = _prefix_sums(blocks, ["file", "block"], "__n", "__before")
+    offsets = _prefix_sums(blocks, [file_order("file"), "file", "block"], "__n", "__before")
+    offsets = checked_broadcast(materialize(offsets, "line-offsets"))
     return lines.join(offsets, ["file", "block"]).select(
         "file", (F.col("__before") + F.col("place") - F.col("__first")).alias(name), "line"
     )

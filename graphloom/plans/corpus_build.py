@@ -19,7 +19,7 @@ from graphloom.operators.corpus import (
     union_with_synthetic,
 )
 from graphloom.operators.graph import normalize_graphs
-from graphloom.operators.indexing import head_rows, tail_rows, with_row_index
+from graphloom.operators.indexing import head_rows, in_file_order, tail_rows, with_row_index
 from graphloom.sources.blocks import read_split_folders
 from graphloom.sources.tables import read_csv, read_translations
 
@@ -36,8 +36,9 @@ def build_corpus(
 
     Graphs are rewritten last, on the rows that are left.
     """
+    record_order = in_file_order(record_order)
     records = keep_first(records, ["id"], record_order)
-    translations = keep_first(translations, ["id"], translation_order).select("id", "hu_sentence")
+    translations = keep_first(translations, ["id"], in_file_order(translation_order)).select("id", "hu_sentence")
     rows = languages_to_rows(attach_translations(records, translations))
     rows = dedup_by_split(rows, ["lang_order", *record_order])
     return normalize_graphs(rows, "amr_graph", remove_wiki).select(*CORPUS_COLUMNS)
@@ -94,7 +95,7 @@ def training_table(
     if synthetic is not None:
         synthetic = synthetic_rows(synthetic)
         amount = held_out_offset if synthetic_amount is None else synthetic_amount
-        indexed = with_row_index(synthetic, synthetic_order, "__idx")
+        indexed = with_row_index(synthetic, in_file_order(synthetic_order), "__idx")
         synthetic = head_rows(indexed, amount, "__idx").drop("__idx")
         synthetic = synthetic.drop("source_file", "row_order")
     union = union_with_synthetic(gold, synthetic, corpus.sparkSession)
@@ -130,7 +131,7 @@ def evaluation_set(
     if name == "gold":
         return split_views(corpus, test_language=language)[2]
     if name == "held_out":
-        indexed = with_row_index(synthetic_rows(synthetic), order, "__idx")
+        indexed = with_row_index(synthetic_rows(synthetic), in_file_order(order), "__idx")
         return tail_rows(indexed, held_out_offset, "__idx").drop("__idx")
     raise ValueError(f"evaluation set is 'gold' or 'held_out', not {name!r}")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip_unicode
-from graphloom.operators.indexing import read_lines
+from graphloom.operators.indexing import file_order, read_lines
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -18,10 +18,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     A predicate's last line wins.  A part without ``': '`` is a label with an empty
     description.
     """
-    return parse_lexicon(read_lines(spark, path), ["file", "block", "place"])
+    return parse_lexicon(read_lines(spark, path), [file_order("file"), "file", "block", "place"])
 
 
-def parse_lexicon(lines: DataFrame, order: list[str], line: str = "line") -> DataFrame:
+def parse_lexicon(lines: DataFrame, order: list, line: str = "line") -> DataFrame:
     """The same for lines in any table, with the columns that put them in order."""
     parts = F.split(strip_unicode(line), "  ")
     arguments = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))

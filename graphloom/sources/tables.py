@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,6 @@ from pyspark.sql import types as T
 from graphloom.constants import CSV_NULL_TOKENS
 from graphloom.functions.text import pair_header
 
-# Schemas of the CSV tables.
-TRANSLATIONS_SCHEMA = "id string, sentence string, hu_sentence string"
-GENERATED_SCHEMA = "sentence string, generated_amr string"
-SYNTH_INPUT_SCHEMA = "uuid string, url string, sentence string"
-MT_PAIRS_SCHEMA = "sentence string, hu_sentence string"
-
 
 def read_csv(
     spark: SparkSession,
@@ -68,18 +63,54 @@ def read_csv(
 
 
 def read_translations(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, hu_sentence, source_file, row_order`` from the ``*.csv`` files of a folder."""
-    df = read_csv(spark, folder, TRANSLATIONS_SCHEMA, only_csv=True, with_order=True)
-    return df.drop("sentence")
-
+    """``id, hu_sentence, source_file, row_order`` from the ``*.csv`` files of a folder, whatever
+    the order of their columns and whatever others they have."""
+    wanted = "id string, hu_sentence string"
+    return read_csv_union(spark, folder, wanted, only_csv=True, with_order=True)
+
+
+def _files_by_header(spark: SparkSession, paths, only_csv: bool) -> list[list[str]]:
+    """The files with the same first line, for each such line.  The driver holds the names of the
+    files, as the scan itself does."""
+    reader = spark.read.option("pathGlobFilter", "*.csv") if only_csv else spark.read
+    at = F.col("_metadata.file_block_start")
+    lines = reader.text(paths).filter(at == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), "value"
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return [[unquote(f) for f in row.files] for row in groups.orderBy("files").collect()]
+
+
+def read_csv_union(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: str | None = None,
+    *,
+    only_csv: bool = False,
+    **options,
+) -> DataFrame:
+    """CSV files or folders put together by column name; columns a file lacks are null.
 
-def read_csv_union(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    """CSV files put together by column name; columns a file lacks are null."""
-    frames = [read_csv(spark, p, schema) for p in paths]
+    With a ``schema`` its columns are read, and no others.  The plan has one scan for each
+    different header, however many files there are.  ``options`` are those of ``read_csv``.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    frames = [read_csv(spark, files, **options) for files in _files_by_header(spark, paths, only_csv)]
+    if not frames:  # no file, or empty ones: Spark's reader decides
+        return read_csv(spark, paths, schema, only_csv=only_csv, **options)
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    if schema is None:
+        return out
+    fields = T.DataType.fromDDL(schema).fields
+    typed = [
+        (F.col(f"`{f.name}`") if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in fields
+    ]
+    order = ["source_file", "row_order"] if options.get("with_order") else []
+    return out.select(*typed, *order)
 
 
 def read_articles(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -89,7 +120,16 @@ def read_articles(spark: SparkSession, path: str, file_format: str = "parquet")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header; blanks at both ends, quotes and newlines survive a round trip."""
+    """CSV with header; blanks at both ends, quotes and newlines survive a round trip.
+
+    In a table of one column a null would be an empty line, which readers skip; there it is
+    written as a quoted empty text, which is read as null again.
+    """
+    empty = ""
+    if len(df.columns) == 1:
+        name = df.columns[0]
+        df = df.select(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).alias(name))
+        empty = '""'
     (
         df.write.mode(mode)
         .option("header", True)
@@ -97,7 +137,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
+        .option("emptyValue", empty)
         .option("nullValue", "")
         .csv(path)
     )

@@ -114,6 +114,20 @@ def test_numbered_lines_over_blocks_and_files(spark, tmp_path):
     assert sorted(got) == list(enumerate(lines))
 
 
+def test_file_numbers_count_by_value(spark, tmp_path):
+    for name in ("part-99999", "part-100000", "part-7"):
+        (tmp_path / name).write_text(name + "\n")
+    lines = I.read_numbered_lines(spark, str(tmp_path))
+    assert sorted(rows(lines, "line_no", "line")) == [(0, "part-7"), (1, "part-99999"), (2, "part-100000")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = I.read_numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_zip_needs_equal_lengths(spark, tmp_path):
     (tmp_path / "en").write_text(" one \ntwo\n")
     (tmp_path / "hu").write_text("egy\nkettő\n")
@@ -184,6 +198,12 @@ def test_exact_sample(spark):
     assert C.exact_sample(df, 20_001, ["k"], 1, at_most=True).count() == 20_000
 
 
+def test_sample_sorts_only_the_edge(spark):
+    df = spark.range(50_000).withColumnRenamed("id", "k")
+    plan = C.exact_sample(df, 30_000, ["k"], 1)._jdf.queryExecution().executedPlan().toString()
+    assert int(plan.partition("TakeOrderedAndProject(limit=")[2].partition(",")[0]) < 100
+
+
 def test_unions(spark):
     gold = spark.createDataFrame([("1", "g")], "id string, sentence string")
     synth = spark.createDataFrame([("s", "(a / b)")], "sentence string, amr_graph string")
@@ -216,6 +236,29 @@ def test_csv_round_trip_and_missing_values(spark, tmp_path):
     assert kept["2"] == "None" and kept["4"] is None
 
 
+def test_csv_of_one_column_keeps_null_rows(spark, tmp_path):
+    values = [(None,), ("a",), ("",), (' "q" ',), (None,)]
+    S.write_csv(spark.createDataFrame(values, "v string"), str(tmp_path / "t"))
+    for multi_line in (True, False):
+        got = rows(S.read_csv(spark, str(tmp_path / "t"), multi_line=multi_line), "v")
+        assert sorted(got, key=str) == sorted([(None,), ("a",), (None,), (' "q" ',), (None,)], key=str)
+
+
+def test_csv_by_name(spark, tmp_path):
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,sentence,hu_sentence\n1,one,"egy\nkettő"\n')
+    (folder / "b.csv").write_text("hu_sentence,extra,id\nhárom,x,3\n")
+    (folder / "c.csv").write_text("id,sentence,hu_sentence\n4,four,\n")
+    (folder / "d.csv").write_text("")
+    got = S.read_translations(spark, str(folder))
+    assert got.columns == ["id", "hu_sentence", "source_file", "row_order"]
+    assert sorted(rows(got, "id", "hu_sentence")) == [("1", "egy\nkettő"), ("3", "három"), ("4", None)]
+    whole = S.read_csv_union(spark, [str(folder / n) for n in ("a.csv", "b.csv", "c.csv")])
+    assert sorted(whole.columns) == ["extra", "hu_sentence", "id", "sentence"]
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+
+
 def test_corpus_from_files(spark, tmp_path):
     record = "# ::id {i}\n# ::snt {s}\n(b / boy\n  :wiki \"B\" :mod (s{n} / small))\n\n"
     for n, (split, ident, sentence) in enumerate(

@@ -44,6 +44,7 @@ def append_columns(
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``df`` with the columns that a function of Arrow arrays computes from ``inputs``.
 
@@ -64,7 +65,7 @@ def append_columns(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in slices(batch, n):
+            for part in slices(batch, n, limit):
                 work = work or make()
                 made = work(part.columns[n:])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)

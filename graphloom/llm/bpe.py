@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.batches import PieceCache, append_columns, as_bytes, gather, starts_of
 
+SLICE = 1 << 20  # bytes of texts or ids worked on at a time
 _NONE = np.int32(2**31 - 1)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 # How the vocabulary's tokenizer cuts a normalised text into words.
@@ -140,7 +141,7 @@ class Bpe:
         return np.concatenate(done_symbols)[order], np.bincount(word, minlength=len(words))
 
 
-def chunk_cache(words, specials: dict[str, int], chunks=100_000, kept_words=100_000) -> PieceCache:
+def chunk_cache(words, specials: dict[str, int], chunks=60_000, kept_words=60_000) -> PieceCache:
     """A store for raw chunks of texts over a store for their words.
 
     ``words(list of bytes)`` encodes normalised words.  Special tokens stand in the raw text.  A
@@ -221,7 +222,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
 
         return work
 
-    return append_columns(df, [text], [T.StructField(ids, T.BinaryType())], make)
+    return append_columns(df, [text], [T.StructField(ids, T.BinaryType())], make, SLICE)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -240,4 +241,4 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
         return lambda columns: [pa.array(map(one, as_bytes(columns[0])), pa.string())]
 
-    return append_columns(df, [ids], [T.StructField(text, T.StringType())], make)
+    return append_columns(df, [ids], [T.StructField(text, T.StringType())], make, SLICE)

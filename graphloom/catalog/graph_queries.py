@@ -444,9 +444,9 @@ _SCORE_COLUMNS = """gid, parsable, round(f, 6) AS smatchpp_f1, round(p, 6) AS sm
   round(r, 6) AS smatchpp_rec"""
 
 
-def _rounded(scored: DataFrame, *extra: str) -> DataFrame:
+def _rounded(scored: DataFrame) -> DataFrame:
     numbers = [F.round(c, 6).alias(c) for c in ("smatchpp_f1", "smatchpp_prec", "smatchpp_rec")]
-    return scored.select("gid", "parsable", *numbers, *extra)
+    return scored.select("gid", "parsable", *numbers)
 
 
 @query("overlap_scores", f"WITH {_OVERLAP} SELECT {_SCORE_COLUMNS} FROM scores")
@@ -454,14 +454,9 @@ def overlap_scores(spark, sf_dir):
     return _rounded(SC.score_pairs(scored_pairs(spark, sf_dir), "ref", "pred", method="overlap"))
 
 
-@query(
-    "aligned_scores",
-    f"""WITH {_ALIGNED} SELECT {_SCORE_COLUMNS},
-  parsable AS exact FROM scores""",
-)
+@query("aligned_scores", f"WITH {_ALIGNED} SELECT {_SCORE_COLUMNS} FROM scores")
 def aligned_scores(spark, sf_dir):
-    scored = SC.score_pairs(scored_pairs(spark, sf_dir), "ref", "pred")
-    return _rounded(scored.withColumn("exact", F.coalesce("exact", F.lit(False))), "exact")
+    return _rounded(SC.score_pairs(scored_pairs(spark, sf_dir), "ref", "pred"))
 
 
 @query("neighbourhood_scores", f"WITH {_AROUND} SELECT {_SCORE_COLUMNS} FROM scores")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import graph_text as G
+from graphloom.functions.arrays import bound, per_run
 from graphloom.functions.text import newlines_to_blanks
 from graphloom.operators.graph import decode_graphs
 
@@ -37,24 +38,23 @@ def connectives_numbered(triples: str) -> Column:
     ``:op2`` passes the whole graph, fewer than two ops or ops other than 1..n fail it.
     An ``:op`` role without a number fails.
     """
+    # The and/or nodes and all ops, grouped by variable; ``at`` is the node's place in the text.
+    entries = f"""filter(transform({triples}, (t, i) -> named_struct('v', t.source, 'i', i,
+        'opens', t.kind = 'instance' AND t.target IN ('and', 'or'), 'role', t.role)),
+        x -> x.opens OR startswith(x.role, ':op'))"""
+    verdict = """CASE
+        WHEN exists(ops, o -> o IS NULL) THEN 'fail'
+        WHEN ops = array(2) THEN 'pass'
+        WHEN size(ops) < 2 THEN 'fail'
+        WHEN ops <> sequence(1, size(ops)) THEN 'fail'
+        ELSE 'next' END"""
+    ops = """transform(filter(run, x -> startswith(x.role, ':op')),
+        x -> try_cast(substring(x.role, 4) AS int))"""
+    judged = bound("ops", ops, f"named_struct('at', at, 'verdict', {verdict})")
+    judged = bound("at", "get(filter(run, x -> x.opens).i, 0)", f"if(at IS NULL, NULL, {judged})")
+    verdicts = f"array_sort(array_compact({per_run(entries, 'v', judged)}))"
     return F.expr(
-        f"""
-        coalesce(get(filter(
-          transform(
-            -- the ops of every and/or node
-            transform(
-              filter({triples}, t -> t.kind = 'instance' AND t.target IN ('and', 'or')),
-              node -> transform(
-                filter({triples}, t -> t.source = node.source AND startswith(t.role, ':op')),
-                t -> try_cast(substring(t.role, 4) AS int))),
-            ops -> CASE
-              WHEN exists(ops, o -> o IS NULL) THEN 'fail'
-              WHEN ops = array(2) THEN 'pass'
-              WHEN size(ops) < 2 THEN 'fail'
-              WHEN ops <> sequence(1, size(ops)) THEN 'fail'
-              ELSE 'next' END),
-          verdict -> verdict <> 'next'), 0), 'pass') = 'pass'
-        """
+        f"coalesce(get(filter({verdicts}, j -> j.verdict <> 'next').verdict, 0), 'pass') = 'pass'"
     )
 
 
@@ -90,15 +90,14 @@ def filter_valid(df: DataFrame, graph_column: str, observation=None) -> DataFram
 
 def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples") -> DataFrame:
     """``keys, predicate, label``: every ``:ARG`` edge with the concept it leaves."""
-    pairs = F.expr(
-        f"""
-        array_distinct(flatten(transform(
-          filter({triples}, t -> t.kind = 'edge' AND startswith(t.role, ':ARG')),
-          edge -> transform(
-            filter({triples}, t -> t.kind = 'instance' AND t.source = edge.source),
-            node -> named_struct('predicate', node.target, 'label', substring(edge.role, 2))))))
-        """
-    )
+    entries = f"""transform(
+        filter({triples}, t -> t.kind = 'instance' OR t.kind = 'edge' AND startswith(t.role, ':ARG')),
+        t -> named_struct('v', t.source, 'label', if(t.kind = 'edge', substring(t.role, 2), NULL),
+                          'predicate', if(t.kind = 'edge', NULL, t.target)))"""
+    own = """flatten(transform(array_distinct(array_compact(run.label)), label ->
+        transform(concepts, c -> named_struct('predicate', c, 'label', label))))"""
+    own = bound("concepts", "array_compact(run.predicate)", own)
+    pairs = F.expr(f"array_distinct(flatten({per_run(entries, 'v', own)}))")
     # The pairs of a graph repeat often; distinct ones are enough for a verdict.  An outer
     # generator, because for an inner one the optimizer works the pairs out in a filter too.
     rows = decoded.select(*keys, F.inline_outer(pairs))

@@ -209,3 +209,23 @@ def test_damage_outside_quotes_is_repaired(spark):
     df = spark.createDataFrame([(c,) for c in cuts], "t string")
     fixed = df.select("t", G.close_open_parens("t").alias("r"))
     assert fixed.filter(~G.parens_balanced("r")).filter(F.col("t") != "(").count() == 0
+
+
+def test_checks_inside_large_graphs(spark):
+    """Core roles and connectives of thousands of nodes, a re-entrant and a repeated variable."""
+    n = 3000
+    ops = " ".join(f":op{i} (p{i} / part-{i} :ARG1 (m{i} / thing) :ARG2 a)" for i in range(1, n))
+    cases = [
+        (0, f"(a / and {ops})", True),
+        (1, f"(a / and {ops} :op7 (z / end))", False),
+        (2, "(a / and :op1 (b / x) :op2 (b / y :ARG0 a) :ARG3 b)", True),
+        (3, "(r / root :ARG0 (o / or :op2 (b / x)) :ARG1 (a / and :op1 (c / y)))", True),
+        (4, "(r / root :ARG0 (a / and :op1 (c / y)) :ARG1 (o / or :op2 (b / x)))", False),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases], "i int, g string")
+    decoded = GR.decode_graphs(df, "g")
+    flags = dict(decoded.select("i", V.connectives_numbered("triples")).collect())
+    assert flags == {i: ok for i, _, ok in cases}
+    roles = sorted(map(tuple, V.core_roles(decoded, ["i"]).filter("i IN (0, 2)").collect()))
+    large = [(0, f"part-{i}", label) for i in range(1, n) for label in ("ARG1", "ARG2")]
+    assert roles == sorted([*large, (2, "x", "ARG0"), (2, "y", "ARG0"), (2, "and", "ARG3")])

@@ -38,23 +38,37 @@ TRAPS = """# ::id t_1.1 ::date 2020-01-01
 """
 
 
-def plain_records(text):
-    """The rules restated on one file's lines: id and sentence stay, a blank line ends."""
-    out, ident, sentence, graph, reading = [], None, None, [], False
-    for line in text.splitlines():
-        if "# ::id" in line:
-            ident = line.rpartition("::id")[2].strip().partition("::date")[0].strip()
-        elif "# ::snt" in line:
-            sentence, graph = line.rpartition("::snt")[2].strip(), []
-        elif line[:1] == "(":
-            reading = True
-            graph.append(line)
-        elif reading and line.strip():
-            graph.append(line)
-        elif reading:
-            reading = False
-            out.append((ident, sentence, "\n".join(graph).strip()))
-    return out
+TRAP_RECORDS = [
+    ("t_1.1", "The boy wants to go.", '(w / want-01\n   :ARG0 (b / boy :wiki "Boy"))'),
+    ("t_1.2", "Tea and cake.", "(a / and)"),
+    ("t_1.2", "Tea and cake.", "(a / and)\n(x / second-01)"),
+    ("inside", "Without an id", "(c / cat\n   :mod (d / dog)\n)"),
+]
+
+
+def random_block_file(rng, graphs):
+    """Lines of a block file and its records, made side by side.  Some graphs inherit the id or
+    add to the graphs of the sentence before, some get a new id half-way; the last is not ended."""
+    lines, records = [], []
+    ident = sentence = None
+    shown = []
+    for n in range(graphs):
+        if rng.random() < 0.6:
+            ident = f"i{n}"
+            lines.append(f"# ::id {ident} ::date 1")
+        if rng.random() < 0.7:
+            sentence, shown = f"s{n}", []
+            lines += [f"# ::snt_hu h{n}", f"# ::snt {sentence}"]
+        lines += rng.choices(["", "   ", "# other", f"plain {n}"], k=rng.randint(0, 2))
+        body = [f"(g{n} / go-02", *rng.choices([f"  :op1 x{n}", "more", "# other"], k=rng.randint(0, 3)), ")"]
+        lines += body[:-1]
+        if rng.random() < 0.1:
+            ident = f"late{n}"
+            lines.append(f"# ::id {ident}")
+        lines += [body[-1], rng.choice(["", "  "])]
+        shown = [*shown, *body]
+        records.append((ident, sentence, "\n".join(shown)))
+    return [*lines, "(z / lost)"], records
 
 
 def read_back(spark, folder, **options):
@@ -65,9 +79,7 @@ def read_back(spark, folder, **options):
 def test_block_traps(spark, tmp_path):
     (tmp_path / "a.txt").write_text(TRAPS)
     got = read_back(spark, tmp_path)
-    assert got == plain_records(TRAPS)
-    assert [r[0] for r in got] == ["t_1.1", "t_1.2", "t_1.2", "inside"]
-    assert got[2][2] == "(a / and)\n(x / second-01)"
+    assert got == TRAP_RECORDS
     assert read_back(spark, tmp_path, keep_unterminated=True)[-1][2] == "(z / lost)"
     fresh = read_back(spark, tmp_path, reset_fields=True)
     assert fresh[2][:2] == (None, None) and fresh[1][:2] == ("t_1.2", "Tea and cake.")
@@ -77,16 +89,12 @@ def test_block_traps(spark, tmp_path):
 def test_random_block_files_in_small_blocks(spark, tmp_path, newline):
     """Files larger than a read block: what lines inherit is carried over block borders."""
     rng = random.Random(5)
-    pieces = [
-        "# ::id i{n} ::date 1", "# ::snt s{n}", "# ::snt_hu h{n}", "(g{n} / go-02", "  :op1 x{n})",
-        "", "", "   ", "# other", "plain {n}",
-    ]
     expected = []
     for k in range(6):
-        lines = [rng.choice(pieces).format(n=n) for n in range(rng.choice([0, 1, 30, 900]))]
-        text = "".join(line + newline for line in lines)
-        (tmp_path / f"f{k}.txt").write_bytes(text.encode())
-        expected += plain_records(text)
+        lines, records = random_block_file(rng, rng.choice([0, 1, 10, 200]))
+        (tmp_path / f"f{k}.txt").write_bytes("".join(line + newline for line in lines).encode())
+        expected += records
+    assert len(expected) > 200
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
     try:

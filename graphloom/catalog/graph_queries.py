@@ -226,9 +226,8 @@ def concept_counts(spark, sf_dir):
 ORDER BY gid LIMIT 1000""",
 )
 def inspect_graphs(spark, sf_dir):
-    graphs = order_graphs(spark, sf_dir)
-    encoded = graphs.select("gid", G.encode_graph("graph", remove_wiki=False).alias("encoded"))
-    return ST.inspect_rows(encoded, ["gid"])
+    first = ST.inspect_rows(order_graphs(spark, sf_dir), ["gid"])
+    return first.select("gid", G.encode_graph("graph", remove_wiki=False).alias("encoded"))
 
 
 # --- words of whole documents as graphs ----------------------------------------------

@@ -14,7 +14,7 @@ from graphloom.operators import indexing as I
 from graphloom.operators import infer as M
 from graphloom.operators.stats import value_counts
 from graphloom.plans.corpus_build import evaluation_set, training_table
-from graphloom.plans.generation import generate_graphs, prepare_sentences
+from graphloom.plans.generation import generate_graphs, generate_pair_blocks, prepare_sentences
 from graphloom.session import fresh_path
 from graphloom.sources import tables as S
 from graphloom.sources.blocks import read_graph_blocks
@@ -273,12 +273,11 @@ FROM paired""",
 def pair_blocks(spark, sf_dir):
     """Parallel text to the model, blocks to a text file, and the file read again."""
     english, hungarian = written_pairs(spark, sf_dir)
-    pairs = I.zip_text_files(spark, english, hungarian, "en", "hu_sentence")
-    blocks = M.batch_infer(
-        pairs, lambda: lambda texts: [f"(s / say-01 :size {len(t)})" for t in texts], "en", "block"
-    )
     path = fresh_path(spark, "blocks")
-    S.write_pair_blocks(blocks, path)
+    generate_pair_blocks(
+        spark, english, hungarian, path,
+        lambda: lambda texts: [f"(s / say-01 :size {len(t)})" for t in texts],
+    )
     return read_graph_blocks(spark, path).select("sentence", "amr_graph")
 
 

@@ -19,15 +19,19 @@ def random_texts(n, seed):
     return ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(n)]
 
 
-def plain_open_parens(text):
-    quoted, depth, lowest = False, 0, 0
-    for ch in text:
-        if ch == '"':
-            quoted = not quoted
-        elif not quoted and ch in "()":
-            depth += 1 if ch == "(" else -1
-            lowest = min(lowest, depth)
-    return depth, lowest
+def texts_of_known_depth(n, seed):
+    """``text, depth, lowest``: what stands outside quotes and how deep it ends and dips."""
+    rng = random.Random(seed)
+    steps = {"(": 1, ")": -1, '"(x)) y"': 0, '"("': 0, "a": 0, " : ": 0, "\n": 0, "é": 0}
+    out = []
+    for _ in range(n):
+        pieces = rng.choices(list(steps), k=rng.randint(0, 20))
+        depths = [0]
+        for piece in pieces:
+            depths.append(depths[-1] + steps[piece])
+        tail = '"((' if rng.random() < 0.1 else ""  # a quote that never closes
+        out.append(("".join(pieces) + tail, depths[-1], min(depths)))
+    return out
 
 
 def plain_linear(text):
@@ -56,10 +60,9 @@ def plain_linear(text):
 
 
 def test_parentheses_on_random_texts(spark):
-    texts = random_texts(1500, 1)
-    got = values(spark, texts, G.unmatched_open_parens("t"), G.parens_balanced("t"))
-    for text, (missing, balanced) in zip(texts, got):
-        depth, lowest = plain_open_parens(text)
+    cases = texts_of_known_depth(1500, 1)
+    got = values(spark, [c[0] for c in cases], G.unmatched_open_parens("t"), G.parens_balanced("t"))
+    for (text, depth, lowest), (missing, balanced) in zip(cases, got):
         assert missing == max(depth, 0), text
         assert balanced == ("(" in text and ")" in text and depth == 0 and lowest == 0), text
 

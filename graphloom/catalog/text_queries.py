@@ -598,3 +598,41 @@ def incremental_append(spark, sf_dir):
     S.append_batches(docs.filter("lang = 'en'"), path, first=True)
     S.append_batches(docs.filter("lang <> 'en'"), path, first=False)
     return S.read_csv(spark, path, "doc_id long, lang string")
+
+
+@query(
+    "csv_one_column",
+    "SELECT CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang FROM documents",
+)
+def csv_one_column(spark, sf_dir):
+    """A null alone on its line is still a row."""
+    path = fresh_path(spark, "one-column")
+    langs = F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang")
+    S.write_csv(table(spark, sf_dir, "documents").select(langs), path)
+    return S.read_csv(spark, path, "lang string")
+
+
+@query(
+    "infer_passthrough",
+    """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id + 9007199254740993 END AS big,
+  CAST(doc_id % 100 AS VARCHAR) || '.25' AS price,
+  CAST(DATE '2020-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR) AS day,
+  CASE WHEN doc_id % 5 <> 0 THEN coalesce(lang, '') || '|' || doc_id END AS parts,
+  CAST(length(coalesce(text, '')) AS VARCHAR) AS size FROM documents""",
+)
+def infer_passthrough(spark, sf_dir):
+    """Columns beside a model's input come back as they were."""
+    lang = F.coalesce("lang", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") + 9007199254740993).alias("big"),
+        ((F.col("doc_id") % 100) + F.lit("0.25").cast("decimal(4,2)")).cast("decimal(10,2)").alias("price"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("day"),
+        F.when(F.col("doc_id") % 5 != 0, F.array(lang, F.col("doc_id").cast("string"))).alias("parts"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    made = M.batch_infer(docs, lambda: lambda texts: [str(len(t)) for t in texts], "text", "size")
+    return made.select(
+        "doc_id", "big", F.col("price").cast("string").alias("price"),
+        F.col("day").cast("string").alias("day"), F.array_join("parts", "|").alias("parts"), "size",
+    )

@@ -18,6 +18,8 @@ from graphloom.llm.queries import WORD_BPE, table, taught_labels
 from graphloom.llm.secrets import scan_secrets
 from graphloom.session import materialize
 
+ROW = "__row"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier predicts as good."""
@@ -26,9 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    first = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """Of each group of near copies the row with the smallest id; rows without id come last.
+
+    Rows are told apart by a key of their own: ids may be null or repeat, and a unique text stays
+    whatever its id is."""
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    groups = near_copies(keyed, doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    ranked = groups.join(keyed.select(ROW, "doc_id"), ROW)
+    first = ranked.groupBy("component_id").agg(F.min_by(ROW, place).alias(ROW)).select(ROW)
+    return keyed.join(first, ROW, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,6 +281,30 @@ def test_call_links(spark):
     assert link_calls(calls.filter("false"), results, tools).count() == 0
 
 
+def test_one_of_each_group(spark):
+    """Rows without id, and ids that repeat with one text or with two."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [
+        (None, text("alone")), (None, text("twice")), (None, text("twice")),
+        (1, text("a")), (None, text("a")),
+        (2, text("b")), (2, text("b")), (2, text("b") + " more"),
+        (3, text("c")), (4, text("d")), (5, text("d")), (5, text("e")), (4, text("c")),
+        (6, ""), (7, None), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted(
+        [
+            (None, text("alone")), (None, text("twice")), (1, text("a")), (2, text("b")), (3, text("c")),
+            (4, text("d")), (5, text("e")), (6, ""), (7, None), (None, None),
+        ],
+        key=key,
+    )
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,14 +1,15 @@
 """Log-probabilities of whole texts: a word unigram, and a causal self-attention model.
 
-Word counts cover every training text.  They give the unigram score, the start of the attention
+Word counts cover every training text.  They give the unigram score and the start of the attention
 model's output table, and the part of the model that knows whole words: a word's probability is
 its count less ``DISCOUNT``, over all training tokens, plus what the discounts leave times the
 product of the attention model's probabilities of its subword ids.
 
 The ``FREQUENT`` most frequent words travel to the tasks as a table; all others meet their counts
-in a join, so no vocabulary has to fit anywhere.  The attention model trains on every
-``TRAIN_EVERY``-th window of every training text: tasks train copies, ``STEPS`` batches at least,
-and their average starts the next round.
+in a join, so no vocabulary has to fit anywhere.  The attention model trains on every window of
+every training text: tasks train copies on batches of the windows that stream by, ``STEPS`` batches
+at least, and their average starts the next round.  Long tables give each round its share of the
+windows, so that each window teaches once; short ones give every round all.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from graphloom.session import materialize
 MERGES = 4000  # subword merges of the vocabulary that the model uses
 DISCOUNT = 0.4  # taken from each word's count
 FREQUENT = 150_000  # words of some 100 bytes in a task
-TRAIN_EVERY, ROUNDS, STEPS, BATCH, RATE = 32, 2, 300, 128, 0.1
-WINDOWS_PER_TASK = 30_000
+ROUNDS, STEPS, BATCH, RATE = 4, 150, 512, 0.1
+HELD = STEPS * BATCH  # windows that a task holds, and trains on in a round if there are so many
+BLOCK = 1 << 18  # bytes of texts whose ids travel as one row
 ADDERS = 8
 KEPT = 250_000
 END = b" "  # no word between white space can be this
@@ -106,19 +108,22 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
     def cut(batches):
         cache = _encoder(path, data)
         for batch in batches:
-            for part in slices(batch, 0):
-                texts = [t.lower() for t in as_bytes(part.column(0))]
-                inputs, targets, doc = windows(*cache.texts(texts), end)
-                shift = np.array([zlib.crc32(t) for t in texts], np.int64)
-                mine = (np.arange(len(doc)) + shift[doc]) % TRAIN_EVERY == 0
-                both = np.concatenate([inputs[mine], targets[mine]], axis=1).astype(np.uint16)
+            for part in slices(batch, 0, BLOCK):
+                flat, per_text = cache.texts([t.lower() for t in as_bytes(part.column(0))])
+                n = int((-(-(np.asarray(per_text) + 1) // HALF)).sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.tobytes() for r in both], pa.binary())], names=["window"]
+                    [
+                        pa.array([np.asarray(flat).astype(np.uint16).tobytes()], pa.binary()),
+                        pa.array([np.asarray(per_text).astype(np.int64).tobytes()], pa.binary()),
+                        pa.array([n], pa.int64()),
+                    ],
+                    names=["ids", "counts", "n"],
                 )
 
-    rows = materialize(docs.select("text").mapInArrow(cut, "window binary"), "windows")
-    tasks = max(1, rows.count() // WINDOWS_PER_TASK)
-    rows = materialize(rows.repartition(tasks, F.xxhash64("window")), "windows")
+    rows = materialize(docs.select("text").mapInArrow(cut, "ids binary, counts binary, n long"), "ids")
+    many = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks, shares = max(1, many // (ROUNDS * HELD)), ROUNDS if many > ROUNDS * HELD else 1
+    rows = materialize(rows.drop("n").repartition(tasks), "ids") if many else rows.drop("n")
     for turn in range(ROUNDS):
         start = context.broadcast(model.vector())
         rate = RATE / (1 + turn)
@@ -127,15 +132,22 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
             mine = Model(end + 1)
             mine.load(start.value)
             trainer = Trainer(mine, rate)
-            raw = b"".join(v for batch in batches for v in batch.column(0).to_pylist())
-            flat = np.frombuffer(raw, np.uint16).reshape(-1, 3 * HALF)  # some WINDOWS_PER_TASK
-            seen = len(flat)
             rng = np.random.default_rng(turn)
-            while seen and trainer.steps < STEPS:
-                order = rng.permutation(seen)
-                for i in range(0, seen, BATCH):
+            seen = 0
+
+            def teach(flat, again=False):
+                order = rng.permutation(len(flat))
+                for i in range(0, len(flat), BATCH):
+                    if again and trainer.steps >= STEPS:
+                        return
                     some = flat[order[i : i + BATCH]].astype(np.int32)
                     trainer.step(some[:, : 2 * HALF], some[:, 2 * HALF :])
+
+            for held in _streamed(batches, end, turn % shares, shares):
+                seen += len(held)
+                teach(held)
+            while seen and trainer.steps < STEPS:  # then ``held`` is all there is
+                teach(held, again=True)
             value = np.append(mine.vector() * seen, seen)
             yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()])], names=["vector"])
 
@@ -145,6 +157,25 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
     return model
 
 
+def _streamed(batches, end: int, turn: int, shares: int):
+    """The windows of blocks of ids whose number has the remainder ``turn`` by ``shares``, as rows of
+    inputs and targets: ``HELD`` at a time or a little more, the last ones as they are."""
+    held, size, number = [], 0, 0
+    for batch in batches:
+        for ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            flat = np.frombuffer(ids, np.uint16).astype(np.int32)
+            inputs, targets, _ = windows(flat, np.frombuffer(counts, np.int64), end)
+            mine = (number + np.arange(len(inputs))) % shares == turn
+            number += len(inputs)
+            held.append(np.concatenate([inputs[mine], targets[mine]], axis=1).astype(np.uint16))
+            size += len(held[-1])
+            if size >= HELD:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"):
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 

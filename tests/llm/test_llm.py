@@ -8,17 +8,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import rans
-from graphloom.llm.attention_lm import Model
+from graphloom.llm.attention_lm import Model, windows
 from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.chat import link_calls
 from graphloom.llm.decontaminate import remove_spans, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.language_id import predict_language
-from graphloom.llm.lm_score import score_texts
+from graphloom.llm.lm_score import _streamed, score_texts
 from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.quality import isotonic, score_quality
 from graphloom.llm.secrets import scan_secrets
@@ -176,6 +177,21 @@ def test_lm_scores(docs, empty):
     assert score_texts(empty, empty, WORD_BPE).count() == 0
 
 
+def test_lm_trains_on_every_window():
+    """Over the rounds of shares each window of each text comes once, short texts' too."""
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 1, 7, 8, 9, 500, 3, 3], np.int64)
+    flat = rng.integers(0, 900, counts.sum())
+    whole, targets, _ = windows(flat.astype(np.int32), counts, 1000)
+    want = sorted(map(bytes, np.concatenate([whole, targets], axis=1).astype(np.uint16)))
+    block = pa.RecordBatch.from_arrays(
+        [pa.array([flat.astype(np.uint16).tobytes()]), pa.array([counts.tobytes()])], names=["ids", "counts"]
+    )
+    for shares in (1, 4):
+        got = [bytes(r) for turn in range(shares) for part in _streamed([block], 1000, turn, shares) for r in part]
+        assert sorted(got) == want
+
+
 def test_lm_gradients():
     model = Model(30)
     rng = np.random.default_rng(2)

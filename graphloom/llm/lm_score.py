@@ -1,9 +1,8 @@
 """Log-probabilities of whole texts: a word unigram, and a causal self-attention model.
 
 Word counts cover every training text.  They give the unigram score and the start of the attention
-model's output table, and the part of the model that knows whole words: a word's probability is
-its count less ``DISCOUNT``, over all training tokens, plus what the discounts leave times the
-product of the attention model's probabilities of its subword ids.
+model's output table; a word's score is the product of the attention model's probabilities of its
+subword ids, and nothing else.
 
 The ``FREQUENT`` most frequent words travel to the tasks as a table; all others meet their counts
 in a join, so no vocabulary has to fit anywhere.  The attention model trains on every window of
@@ -27,7 +26,6 @@ from graphloom.llm.bpe import Bpe, kept, read_vocabulary
 from graphloom.session import materialize
 
 MERGES = 4000  # subword merges of the vocabulary that the model uses
-DISCOUNT = 0.4  # taken from each word's count
 FREQUENT = 150_000  # words of some 100 bytes in a task
 ROUNDS, STEPS, BATCH, RATE = 4, 150, 512, 0.1
 HELD = STEPS * BATCH  # windows that a task holds, and trains on in a round if there are so many
@@ -181,7 +179,7 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str =
 
     Tokens are lower-cased (A-Z) words between ASCII white space and one end per text; null counts
     as empty.  ``base_score`` is the sum of log10((c + 1) / (N + V + 1)), ``score`` the log10
-    probability by the model.  Without training texts all counts are 0 and the model is its
+    probability by the attention model alone.  Without training texts all counts are 0 and the model is its
     random start.  Repeated rows are scored each for itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -189,7 +187,6 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str =
     counts = materialize(word_counts(learned), "word-counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    left = DISCOUNT * distinct / total if total else 1.0
     model = train(learned, counts, path)
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # a bounded number
     frequent = {bytes(r["word"]): int(r["c"]) for r in top}
@@ -222,12 +219,14 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str =
                 known = c[code] if not all_frequent else np.maximum(c[code], 0)
                 owner = np.repeat(np.arange(len(texts)), words + 1)
                 sure = known >= 0
-                p = np.maximum(known - DISCOUNT, 0) / max(total, 1) + left * 10.0**word_log
-                score = np.where(p > 1e-300, np.log10(np.maximum(p, 1e-300)), np.log10(left) + word_log)
-                sums = [
-                    np.bincount(owner[sure], v[sure], len(texts))
-                    for v in (np.log10(np.maximum(known, 0) + 1.0), score, (known > 0).astype(float))
-                ]
+                base, model_sum, seen = (
+                    np.bincount(owner[at], v[at], len(texts))
+                    for at, v in (
+                        (sure, np.log10(np.maximum(known, 0) + 1.0)),
+                        (slice(None), word_log),
+                        (sure, (known > 0).astype(float)),
+                    )
+                )
                 rest = np.flatnonzero(~sure)
                 bounds = pa.array(np.searchsorted(owner[rest], np.arange(len(texts) + 1)).astype(np.int32))
                 names = list(table)
@@ -235,39 +234,31 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str =
                     [
                         part.column(0),
                         pa.array(words + 1),
-                        *map(pa.array, sums),
+                        *map(pa.array, (base, model_sum, seen)),
                         pa.ListArray.from_arrays(
                             bounds, pa.array([names[i] for i in code[rest]], pa.binary())
                         ),
-                        pa.ListArray.from_arrays(bounds, pa.array(word_log[rest])),
                     ],
-                    names=["doc_id", "n_tokens", "base", "model", "known", "rare", "rare_log"],
+                    names=["doc_id", "n_tokens", "base", "model", "known", "rare"],
                 )
 
-    schema = (
-        "doc_id long, n_tokens long, base double, model double, known double, "
-        "rare array<binary>, rare_log array<double>"
-    )
+    schema = "doc_id long, n_tokens long, base double, model double, known double, rare array<binary>"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_log")).alias("t"))
-    rare = rare.select("row", F.col("t.rare").alias("word"), F.col("t.rare_log").alias("l"))
+    rare = rows.select("row", F.explode("rare").alias("word"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    share = F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) / max(total, 1)
-    p = share + F.lit(left) * F.pow(F.lit(10.0), F.col("l"))
     more = met.groupBy("row").agg(
         F.sum(F.log10(F.col("c") + 1.0)).alias("base2"),
-        F.sum(F.when(p > 1e-300, F.log10(p)).otherwise(F.log10(F.lit(left)) + F.col("l"))).alias("model2"),
         F.sum((F.col("c") > 0).cast("long")).alias("known2"),
     )
-    out = rows.drop("rare", "rare_log").join(more, "row", "left")
+    out = rows.drop("rare").join(more, "row", "left")
     zero = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(
         "doc_id", "n_tokens",
         zero("known", "known2").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (zero("base", "base2") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
-        zero("model", "model2").alias("score"),
+        F.col("model").alias("score"),
     )
 
 

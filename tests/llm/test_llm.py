@@ -192,6 +192,14 @@ def test_lm_trains_on_every_window():
         assert sorted(got) == want
 
 
+def test_lm_context_moves_frequent_words(spark):
+    """The same words in an order that was taught and in one that was not."""
+    docs = spark.createDataFrame([(0, "red fox blue sky " * 30), (1, "sky red blue fox " * 30)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in score_texts(docs, docs.filter("doc_id = 0"), WORD_BPE).collect()}
+    assert got[0]["base_score"] == pytest.approx(got[1]["base_score"])
+    assert got[0]["score"] > got[1]["score"] + 0.5 * got[0]["n_tokens"]
+
+
 def test_lm_gradients():
     model = Model(30)
     rng = np.random.default_rng(2)

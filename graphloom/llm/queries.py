@@ -15,6 +15,7 @@ from graphloom.llm.lm_score import score_texts
 from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.quality import score_quality
 from graphloom.llm.secrets import scan_secrets
+from graphloom.llm.substring_dedup import repeated_intervals
 from graphloom.llm.token_files import token_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -176,6 +177,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in windows of earlier documents."""
+    seen = repeated_intervals(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["begin"])
+    return seen.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _TOPK_SQL = """
 WITH good AS (
   SELECT vec_id, embedding FROM embeddings
@@ -207,6 +215,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
     "op10_secrets": op10_secrets,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 #: The others have no SQL here: tests hold them against plain code on small tables.
 CHECKS = {"op5_chat": _CHAT_SQL, "op9_exact_topk": _TOPK_SQL}

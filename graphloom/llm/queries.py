@@ -12,6 +12,7 @@ from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
 from graphloom.llm.language_id import predict_language
 from graphloom.llm.lm_score import score_texts
+from graphloom.llm.merkle import build_manifest, field_digest, fold_path, proof_digest
 from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.quality import score_quality
 from graphloom.llm.secrets import scan_secrets
@@ -177,6 +178,85 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, a tree per language, and which tampered rows it tells."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in fields]
+    leaves = docs.select(
+        "doc_id", "lang", field_digest(*map(F.col, fields)).alias("leaf"),
+        F.when(remainder(7) == 0, field_digest(*changed)).alias("tampered"),
+    )
+    made = build_manifest(leaves, "lang", ["doc_id"])
+    made = made.withColumn("folded_root", fold_path(F.coalesce("tampered", "leaf"), F.col("path")))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _told(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_told, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE numbered AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                                                     lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN crc % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS shown
+  FROM numbered
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS place FROM leaves
+  WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)
+), nodes AS (
+  SELECT lang, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2, n
+), walks AS (
+  SELECT doc_id, lang, leaf, place, 0 AS level, shown AS digest, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.place // 2, w.level + 1,
+         sha256(CASE WHEN w.place % 2 = 0 THEN w.digest || coalesce(s.digest, '') ELSE s.digest || w.digest END),
+         w.proof || coalesce(s.digest, '')
+  FROM walks w
+  JOIN nodes o ON o.lang IS NOT DISTINCT FROM w.lang AND o.level = w.level AND o.place = w.place AND o.n > 1
+  LEFT JOIN nodes s
+    ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.place = xor(w.place, 1)
+), subroots AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+  FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, place, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2
+  FROM upper_nodes WHERE n > 1 GROUP BY level, place // 2, n
+), upper_walks AS (
+  SELECT w.doc_id, w.leaf, r.subroot, r.place, 0 AS level, w.digest, w.proof
+  FROM walks w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang AND r.height = w.level
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.place // 2, w.level + 1,
+         sha256(CASE WHEN w.place % 2 = 0 THEN w.digest || coalesce(s.digest, '') ELSE s.digest || w.digest END),
+         w.proof || coalesce(s.digest, '')
+  FROM upper_walks w
+  JOIN upper_nodes o ON o.level = w.level AND o.place = w.place AND o.n > 1
+  LEFT JOIN upper_nodes s ON s.level = w.level AND s.place = xor(w.place, 1)
+)
+SELECT w.doc_id, w.leaf, w.subroot, t.digest AS root, sha256(w.proof) AS proof_sha256,
+       w.digest AS folded_root, w.digest = t.digest AS verified
+FROM upper_walks w JOIN upper_nodes t ON t.n = 1 AND t.level = w.level
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in windows of earlier documents."""
     seen = repeated_intervals(table(spark, sf_dir, "documents"))
@@ -215,7 +295,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
     "op10_secrets": op10_secrets,
+    "op12_merkle": op12_merkle,
     "op13_substring_dedup": op13_substring_dedup,
 }
 #: The others have no SQL here: tests hold them against plain code on small tables.
-CHECKS = {"op5_chat": _CHAT_SQL, "op9_exact_topk": _TOPK_SQL}
+CHECKS = {"op5_chat": _CHAT_SQL, "op9_exact_topk": _TOPK_SQL, "op12_merkle": _MERKLE_SQL}

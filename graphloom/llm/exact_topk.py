@@ -23,8 +23,8 @@ CANDIDATES, QUERIES = 4096, 512
 _BLOCK = "dim int, ids binary, rows binary, stats binary"
 
 
-def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: int = 256) -> DataFrame:
-    """``vec_id, dim, v array<bigint>``: floor(scale * x) of each component as a double.
+def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: int = 256, keep=()) -> DataFrame:
+    """``vec_id, dim, v array<bigint>`` and ``keep``: floor(scale * x) of each component as a double.
 
     Rows with a null id or vector, or with a null or non-finite component, are left out.
     """
@@ -37,6 +37,7 @@ def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: int = 256) ->
         F.col(vec_id).cast("long").alias("vec_id"),
         F.size(x).alias("dim"),
         F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"),
+        *keep,
     )
 
 

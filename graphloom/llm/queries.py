@@ -10,6 +10,7 @@ from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.chat import format_turns, link_calls
 from graphloom.llm.decontaminate import is_contaminated, scan_benchmark
 from graphloom.llm.exact_topk import exact_topk
+from graphloom.llm.hard_negatives import hard_negatives
 from graphloom.llm.language_id import predict_language
 from graphloom.llm.lm_score import score_texts
 from graphloom.llm.merkle import build_manifest, field_digest, fold_path, proof_digest
@@ -178,6 +179,42 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the label of every seventh is moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+_HARD_SQL = """
+WITH good AS (
+  SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, unnest(range(len(embedding))) AS at,
+         CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+  FROM good
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM parts a JOIN parts c ON a.at = c.at AND a.vec_id <> c.vec_id
+  WHERE a.vec_id % 100 = 0
+  GROUP BY ALL
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+       positive_score, s.score AS negative_score
+FROM positives p JOIN scored s
+  ON s.anchor_id = p.anchor_id AND s.label <> s.own
+ AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, a tree per language, and which tampered rows it tells."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -295,8 +332,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle": op12_merkle,
     "op13_substring_dedup": op13_substring_dedup,
 }
 #: The others have no SQL here: tests hold them against plain code on small tables.
-CHECKS = {"op5_chat": _CHAT_SQL, "op9_exact_topk": _TOPK_SQL, "op12_merkle": _MERKLE_SQL}
+CHECKS = {
+    "op5_chat": _CHAT_SQL,
+    "op9_exact_topk": _TOPK_SQL,
+    "op11_hard_negatives": _HARD_SQL,
+    "op12_merkle": _MERKLE_SQL,
+}

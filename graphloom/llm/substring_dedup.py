@@ -6,14 +6,15 @@ numpy, and takes the Rabin-Karp hash of every window of ``window`` words of one
 1. *Counting.*  Each block sends the distinct hashes of its windows, 32 bits of each, to the bucket
    of the hash: one packed row per block and bucket.  A bucket answers with those that two
    blocks hold.  A passage that a third of all documents share is one value per block.
-2. *First documents.*  Only windows that repeat become Spark rows: 128 bits of hash, and the
+2. *First documents.*  Only windows that repeat become Spark rows: 96 bits of hash, and the
    smallest and largest document of the block that holds it.  The smallest over all blocks
    is one window function over the hash, and an answer goes back where a larger document is.
+   Back in its block, 64 bits tell a window from the million others there.
 3. *Intervals.*  A block hashes its windows again, marks those with an answer smaller than
    their document, and merges them into maximal intervals of words to remove.
 
 The texts are shuffled once: all three steps read the same exchange.  What else travels is 4
-bytes a window and some 30 bytes for each repeated one.
+bytes a window and some 25 bytes for each repeated one.
 """
 
 from __future__ import annotations
@@ -99,8 +100,13 @@ class Texts:
         self.text = text[self.starts]  # of each window
         self.window = window
 
-    def hashes(self, which: int) -> np.ndarray:
-        return window_hashes(self.codes, self.window, _BASE[which])[self.starts]
+    def hashes(self) -> np.ndarray:
+        return window_hashes(self.codes, self.window, _BASE[0])[self.starts]
+
+    def checks(self) -> np.ndarray:
+        """32 bits of a second hash."""
+        second = window_hashes(self.codes, self.window, _BASE[1])[self.starts]
+        return (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,7 +147,7 @@ def repeated_intervals(
         """One packed row per bucket: the distinct hashes of the block's windows."""
         texts = Texts(table["text"], window)
         _, there = _ids(table["doc_id"])
-        hashes = np.unique(texts.hashes(0)[there[texts.text]])
+        hashes = np.unique(texts.hashes()[there[texts.text]])
         bucket = _bucket(hashes, buckets)
         order = np.argsort(bucket, kind="stable")
         low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
@@ -175,7 +181,7 @@ def repeated_intervals(
         texts = Texts(table["text"], window)
         ids, there = _ids(table["doc_id"])
         used = there[texts.text]
-        hashes, checks, ids = texts.hashes(0)[used], texts.hashes(1)[used], ids[texts.text[used]]
+        hashes, checks, ids = texts.hashes()[used], texts.checks()[used], ids[texts.text[used]]
         # Bucket and value in one number: where the number of buckets is below 2**32 nothing is lost.
         named = _bucket(hashes, buckets).astype(np.uint64) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
         asked = [
@@ -194,7 +200,7 @@ def repeated_intervals(
         return pa.table(
             {
                 "hash": hashes[begins].view(np.int64),
-                "check": checks[begins].view(np.int64),
+                "check": checks[begins],
                 "block": pa.array(np.full(len(begins), key[0].as_py()), pa.int32()),
                 "first": ids[begins],
                 "last": ids[ends],
@@ -205,17 +211,15 @@ def repeated_intervals(
         """The block's rows with their intervals and the words that stay."""
         texts = Texts(table["text"], window)
         ids, there = _ids(table["doc_id"])
-        known = np.rec.fromarrays([answers[c].to_numpy() for c in ("hash", "check")], names="h,c")
-        order = np.argsort(known, order=("h", "c"))
-        known, first = known[order], answers["first"].to_numpy()[order]
+        known, first = answers["hash"].to_numpy(), answers["first"].to_numpy()
+        order = np.argsort(known)
+        known, first = known[order], first[order]
         marked = np.zeros(0, np.int64)
         if len(known):
-            hashes, checks = texts.hashes(0).view(np.int64), texts.hashes(1).view(np.int64)
-            maybe = np.flatnonzero(np.isin(hashes, known["h"]) & there[texts.text])
-            seen = np.rec.fromarrays([hashes[maybe], checks[maybe]], names="h,c")
-            at = np.minimum(np.searchsorted(known, seen), len(known) - 1)
-            hit = (known[at] == seen) & (first[at] < ids[texts.text[maybe]])
-            marked = texts.starts[maybe[hit]]
+            hashes = texts.hashes().view(np.int64)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = there[texts.text] & (known[at] == hashes) & (first[at] < ids[texts.text])
+            marked = texts.starts[hit]
         steps = np.zeros(len(texts.codes) + 1, np.int64)
         np.add.at(steps, marked, 1)
         np.add.at(steps, marked + window, -1)
@@ -242,10 +246,10 @@ def repeated_intervals(
     sent = blocked.applyInArrow(send, packed).repartition(buckets, "bucket").groupBy("bucket")
     counted = sent.applyInArrow(count, "block int, bucket int, hashes binary")
     again = blocked.cogroup(counted.groupBy("block")).applyInArrow(
-        repeats, "hash long, check long, block int, first long, last long"
+        repeats, "hash long, check int, block int, first long, last long"
     )
     of_hash = Window.partitionBy("hash", "check")
-    answers = again.withColumn("first", F.min("first").over(of_hash)).filter("first < last").drop("last")
+    answers = again.withColumn("first", F.min("first").over(of_hash)).filter("first < last").drop("last", "check")
     return blocked.cogroup(answers.groupBy("block")).applyInArrow(
         remove, "doc_id long, n_words long, removed array<struct<begin:long,end:long>>, kept string"
     )

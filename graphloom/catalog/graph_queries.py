@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.catalog.order_graphs import FACTS_SQL, graph_text, order_facts, order_graphs, quantity
+from graphloom.catalog.order_graphs import FACTS_SQL, graph_text, items_text, order_facts, order_graphs, quantity
 from graphloom.catalog.registry import query
 from graphloom.functions import graph_text as G
 from graphloom.functions import text as X
@@ -387,8 +387,9 @@ def validate_chain(spark, sf_dir):
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and prediction by gid % 7: equal with other variable names, other root, no
-    polarity, other quantities, cut (repaired), broken prediction, broken reference."""
+    """Reference and prediction by gid % 7: equal with other variable names and its branches in
+    another order, other root, no polarity, other quantities, cut (repaired), broken prediction,
+    broken reference."""
     k = F.col("gid") % 7
     other = F.array_join(
         F.transform(
@@ -399,9 +400,14 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     graphs = order_graphs(spark, sf_dir)
     graph = F.col("graph")
-    renamed = F.replace(F.replace(graph, F.lit("(c / "), F.lit("(z9 / ")), F.lit(":ARG0 c)"), F.lit(":ARG0 z9)"))
+    turned = F.array_join(F.reverse(F.split(items_text(), " (?=:op)")), " ")
+    shuffled = F.concat(
+        F.lit("(o / "), F.col("root"), F.lit(' :mod "'), F.col("prio"), F.lit('" :ARG1 (z9 / and '),
+        turned, F.lit(") :polarity - :ARG2-of (s / ship-01 :ARG0 (p0 / customer :name (n / name :op1 \""),
+        F.col("cname"), F.lit('") :wiki "'), F.col("cname"), F.lit('")) :ARG0 p0)'),
+    )
     pred = (
-        F.when(k == 0, renamed)
+        F.when(k == 0, shuffled)
         .when(k == 1, graph_text(root=F.lit("other-01")))
         .when(k == 2, graph_text(polarity=F.lit("")))
         .when(k == 3, graph_text(items=other))

@@ -383,6 +383,28 @@ def validate_chain(spark, sf_dir):
     return checked.select("gid", "first_failure", "valid")
 
 
+# Filtered triples as text: by gid, the customer opens below the shipment, or the other way round.
+_ENCODED = f"""{_PLAIN}, parts AS (SELECT gid, 'c / customer :name (n / name :op1 "' || cname || '")' AS cust_text,
+  ' :ARG1 (a / and ' || listed || ')' AS both_text, root, prio FROM whole)
+SELECT gid, CASE gid % 2
+  WHEN 0 THEN '(o / ' || root || both_text || ' :ARG2-of (s / ship-01 :ARG0 (' || cust_text || '))'
+  ELSE '(o / ' || root || ' :ARG0 (' || cust_text || ' :ARG0-of (s / ship-01))' || both_text END
+  || ' :mod "' || prio || '")' AS graph FROM parts"""
+
+
+def filtered_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = GR.remove_wiki_triples(GR.explode_triples(decoded_orders(spark, sf_dir).select("gid", "triples")))
+    to_customer = (F.col("source") == "o") & (F.col("role") == ":ARG0") & (F.col("gid") % 2 == 0)
+    to_shipment = F.col("inverted") & (F.col("gid") % 2 == 1)
+    return rows.filter(~to_customer & ~to_shipment & (F.col("role") != ":polarity"))
+
+
+@query("encode_triples", f"WITH {_ENCODED}")
+def encode_triples(spark, sf_dir):
+    """Graphs written from the flat triples table after a filter."""
+    return GR.encode_triples(filtered_triples(spark, sf_dir), ["gid"])
+
+
 # --- scoring ------------------------------------------------------------------------
 
 

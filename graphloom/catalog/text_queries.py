@@ -18,6 +18,7 @@ from graphloom.plans.generation import generate_graphs, generate_pair_blocks, pr
 from graphloom.session import fresh_path
 from graphloom.sources import tables as S
 from graphloom.sources.blocks import read_graph_blocks
+from graphloom.sources.csv_blocks import read_csv_blocks
 from graphloom.streaming.incremental import generate_stream, read_drops
 
 
@@ -586,6 +587,24 @@ def csv_union(spark, sf_dir):
     return S.read_csv_union(spark, [one, two])
 
 
+@query(
+    "csv_parallel",
+    """SELECT doc_id, md5(coalesce(text, '') || '"' || chr(10) || coalesce(lang, '')) AS digest,
+  length(text) AS size, CASE WHEN lang = 'de' THEN NULL ELSE lang END AS maybe FROM documents""",
+)
+def csv_parallel(spark, sf_dir):
+    """One file with values over several lines, cut into blocks wherever they fall."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit('"\n'), F.coalesce("lang", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", text.alias("value"), F.length("text").alias("size"),
+        F.when(F.col("lang") != "de", F.col("lang")).alias("maybe"),
+    )
+    path = fresh_path(spark, "csv")
+    S.write_csv(docs.coalesce(1), path)
+    back = read_csv_blocks(spark, path, "doc_id long, value string, size int, maybe string")
+    return back.select("doc_id", F.md5("value").alias("digest"), "size", "maybe")
+
+
 @query(
     "incremental_append",
     "SELECT doc_id, lang FROM documents",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import graph_text as G
+from graphloom.functions.graph_write import writing_steps
 
 INSTANCE = ":instance"
 WIKI = ":wiki"
@@ -75,6 +76,31 @@ def explode_triples(df: DataFrame, triples: str = "triples") -> DataFrame:
     return rows.select(*kept, F.col("pos"), *fields)
 
 
+def write_graphs(df: DataFrame, triples: str = "triples", text: str = "graph") -> DataFrame:
+    """Add ``text``: the graph on one line, written from nested triples with ``pos``, ``source``,
+    ``role``, ``target``, ``kind`` and ``inverted`` in order of ``pos``.
+
+    The first node is the top.  A node opens where it did in its text if that edge is left, else by
+    the first edge that reaches it, with its role turned where the edge points the other way;
+    all other mentions are variables.  Decoding the text gives the same triples.  Null where no
+    text does: no node, a variable declared twice, parts that nothing joins, or an edge that
+    leaves an undeclared variable.
+    """
+    out = df
+    for step in writing_steps(triples):
+        out = out.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    kept = [F.col(f"`{c}`") for c in df.columns if c != text]
+    return out.select(*kept, F.inline(F.array(F.struct(F.col("__written").alias(text)))))
+
+
+def encode_triples(rows: DataFrame, keys: Sequence[str], text: str = "graph") -> DataFrame:
+    """``keys`` and ``text``: the graphs of a flat triples table such as :func:`explode_triples`
+    gives, after any filter on its rows."""
+    fields = ("pos", "source", "role", "target", "kind", "inverted")
+    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__rows"))
+    return write_graphs(whole, "__rows", text).drop("__rows")
+
+
 def without_wiki(triples: str) -> Column:
     """Nested triples without the role ``:wiki`` (exact name)."""
     return F.expr(f"filter({triples}, t -> t.role <> '{WIKI}')")

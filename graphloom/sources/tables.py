@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from graphloom.constants import CSV_NULL_TOKENS
 from graphloom.functions.text import pair_header
+from graphloom.sources.csv_blocks import read_csv_blocks, with_nulls
 
 
 def read_csv(
@@ -27,7 +28,7 @@ def read_csv(
 
     Without a schema the header names the columns and all values are text.  Texts in
     ``null_tokens`` are read as null.  A file with values that span lines is read by one
-    task; with ``multi_line=False`` large files are split.  ``with_order`` adds
+    task; with ``multi_line=False`` large files are split, and ``read_csv_blocks`` splits both.  ``with_order`` adds
     ``source_file`` and ``row_order``, which grows along the file.
     """
     reader = (
@@ -44,15 +45,7 @@ def read_csv(
         reader = reader.schema(schema)
     paths = paths if isinstance(paths, str) else list(paths)
     df = reader.csv(paths)
-    missing = [t for t in null_tokens if t]
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    blank = "" in null_tokens
-    for name in texts:
-        value = F.col(f"`{name}`")
-        is_missing = value.isin(*missing) if missing else F.lit(False)
-        if blank:
-            is_missing = is_missing | (value == "")
-        df = df.withColumn(name, F.when(~is_missing, value))
+    df = with_nulls(df, [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)], null_tokens)
     if with_order:
         df = df.select(
             "*",
@@ -66,7 +59,7 @@ def read_translations(spark: SparkSession, folder: str) -> DataFrame:
     """``id, hu_sentence, source_file, row_order`` from the ``*.csv`` files of a folder, whatever
     the order of their columns and whatever others they have."""
     wanted = "id string, hu_sentence string"
-    return read_csv_union(spark, folder, wanted, only_csv=True, with_order=True)
+    return read_csv_blocks(spark, folder, wanted, only_csv=True, with_order=True)
 
 
 def _files_by_header(spark: SparkSession, paths, only_csv: bool) -> list[list[str]]:

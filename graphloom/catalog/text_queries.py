@@ -460,6 +460,24 @@ def label_mask(spark, sf_dir):
     )
 
 
+# Two templates; the one that ends last in a text counts.
+_TEMPLATES = ("e t", "a ")
+
+
+@query(
+    "completion_mask_ids",
+    f"""WITH {_IDS}, ends AS (SELECT doc_id, greatest({", ".join(
+        f"CASE WHEN contains(text, '{t}') THEN length(text) - strpos(reverse(text), '{t[::-1]}') + 1 ELSE -1 END"
+        for t in _TEMPLATES)}) AS last FROM documents)
+SELECT i.doc_id, md5(string_agg(CASE WHEN last < 0 OR place <= last THEN '-100' ELSE CAST(id AS VARCHAR) END,
+  ' ' ORDER BY place)) AS labels_md5 FROM ids i JOIN ends e ON e.doc_id = i.doc_id GROUP BY i.doc_id""",
+)
+def completion_mask_ids(spark, sf_dir):
+    """Loss masks by a search for the response template in the ids."""
+    labels = X.completion_labels("ids", [list(map(ord, t)) for t in _TEMPLATES])
+    return document_ids(spark, sf_dir).select("doc_id", _joined(labels).alias("labels_md5"))
+
+
 @query(
     "pad_truncate",
     f"""WITH {_IDS}, slots AS (SELECT doc_id, unnest(range(1, 513)) AS place FROM documents),

@@ -122,3 +122,29 @@ def mask_prompt_ids(ids: Column | str, prompt_length: Column | str, ignore: int
     """Labels with the first ``prompt_length`` ids left out of the loss."""
     size = as_column(prompt_length)
     return F.transform(as_column(ids), lambda x, i: F.when(i < size, ignore).otherwise(x))
+
+
+def completion_labels(ids: Column | str, templates: list[list[int]], ignore: int = -100) -> Column:
+    """Labels of ``ids`` with all up to and including the last response template left out of the loss.
+
+    ``templates`` are the ids of the template as it may be cut in different places of a text; the one
+    that ends last counts.  Without a template in it a row is left out of the loss as a whole.
+    """
+    ids = as_column(ids)
+
+    def ends(template: list[int]) -> Column:
+        wanted = F.array(*map(F.lit, template))
+        # The first id decides for nearly all places.
+        return F.transform(
+            F.filter(
+                F.sequence(F.lit(0), F.size(ids) - 1),
+                lambda i: (F.get(ids, i) == template[0]) & (F.slice(ids, i + 1, len(template)) == wanted),
+            ),
+            lambda i: i + len(template),
+        )
+
+    last = F.array_max(F.concat(*[ends(t) for t in templates if t]))
+    # One-element transform: the search runs once, not for every id.
+    found = F.get(F.transform(F.array(last), lambda end: F.transform(
+        ids, lambda x, i: F.when(end.isNull() | (i < end), ignore).otherwise(x))), 0)
+    return F.when(F.size(ids) > 0, found).otherwise(ids)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,24 @@ from graphloom.functions.text import as_column, attention_mask, mask_label_paddi
 Model = Callable[[list], Sequence]
 
 
+def _worker_model(key: str, load: Callable[[], Model]) -> Model:
+    """The model of ``key`` in this Python worker, loaded if no task has done so before.
+
+    Workers live on over tasks and micro-batches; the latest models stay in a module of the worker's
+    own, which needs no installed package.
+    """
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_worker_models", types.ModuleType("_worker_models"))
+    models = store.__dict__.setdefault("models", {})
+    model = models.pop(key) if key in models else load()
+    models[key] = model  # the latest stands last
+    while len(models) > 4:  # a few, so that old ones do not fill the worker
+        models.pop(next(iter(models)))
+    return model
+
+
 def batch_infer(
     df: DataFrame,
     load_model: Callable[[], Model],
@@ -25,13 +45,16 @@ def batch_infer(
     *,
     output_type: str = "string",
     batch_size: int = BATCH_SIZE,
+    by_length: bool = False,
 ) -> DataFrame:
     """Add the model's output for every row; all input columns stay next to it.
 
-    ``load_model`` is called once per task and gives a function from a list of inputs to
-    as many outputs.  With several input columns an input is a dict of their values.
-    Batches have ``batch_size`` rows but for a task's last one, whatever the Arrow batches.
-    Only the inputs become Python values; other columns stay Arrow data and keep every value.
+    ``load_model`` is called once per Python worker, whose tasks share the model, and gives a
+    function from a list of inputs to as many outputs.  With several input columns an input is a dict
+    of their values.  Batches have ``batch_size`` rows but for a task's last one, whatever the Arrow
+    batches; with ``by_length`` inputs of like length are put in one batch, among the rows of an
+    Arrow batch, and the rows come out in their old order.  Only the inputs become Python values;
+    other columns stay Arrow data and keep every value.
     """
     single = isinstance(inputs, str)
     names = [inputs] if single else list(inputs)
@@ -39,26 +62,39 @@ def batch_infer(
         [*df.schema.fields, T.StructField(output, T._parse_datatype_string(output_type))]
     )
     made_type = to_arrow_type(schema.fields[-1].dataType)
+    key = hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
+    model_of = _worker_model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_model()
+        model = model_of(key, load_model)
+
+        def size(value) -> int:
+            return sum(len(str(v)) for v in value.values()) if isinstance(value, dict) else len(str(value))
 
-        def answer(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = [batch.column(n).to_pylist() for n in names]
+        def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [rows.column(n).to_pylist() for n in names]
             given = columns[0] if single else [dict(zip(names, v)) for v in zip(*columns)]
-            made = list(model(given))
-            if len(made) != len(given):
-                raise ValueError(f"model gave {len(made)} outputs for {len(given)} inputs")
-            yield from batch.append_column(output, pa.array(made, made_type)).combine_chunks().to_batches()
+            order = list(range(len(given)))
+            if by_length:
+                order.sort(key=lambda i: size(given[i]))
+            out = [None] * len(given)
+            for start in range(0, len(given), batch_size):
+                places = order[start : start + batch_size]
+                made = list(model([given[i] for i in places]))
+                if len(made) != len(places):
+                    raise ValueError(f"model gave {len(made)} outputs for {len(places)} inputs")
+                for i, value in zip(places, made):
+                    out[i] = value
+            yield from rows.append_column(output, pa.array(out, made_type)).combine_chunks().to_batches()
 
         held = None
         for batch in batches:
             new = pa.Table.from_batches([batch])
             held = new if held is None or not held.num_rows else pa.concat_tables([held, new])
             whole = held.num_rows - held.num_rows % batch_size
-            for start in range(0, whole, batch_size):
-                yield from answer(held.slice(start, batch_size))
-            held = held.slice(whole)
+            if whole:
+                yield from answer(held.slice(0, whole))
+                held = held.slice(whole)
         if held is not None and held.num_rows:
             yield from answer(held)
 

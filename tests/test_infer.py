@@ -19,6 +19,34 @@ def test_batches_have_the_asked_size(spark):
     assert all(str(r.id) == r.s for r in got)
 
 
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda batch: [os.getpid()] * len(batch)
+
+    df = spark.range(0, 400, numPartitions=40).withColumn("s", F.col("id").cast("string"))
+    for _ in range(2):  # the second time as another job, like a next micro-batch
+        rows = batch_infer(df, load, "s", "pid", output_type="long").collect()
+        assert len(rows) == 400
+    loads = [name.split("-")[0] for name in (p.name for p in tmp_path.iterdir())]
+    assert len(loads) == len(set(loads)) < 40
+    assert {str(r.pid) for r in rows} <= set(loads)
+
+
+def test_like_lengths_share_a_batch_and_rows_keep_their_place(spark):
+    df = spark.range(0, 96, numPartitions=1).select("id", F.repeat(F.lit("x"), (F.col("id") % 3 * 10).cast("int")).alias("s"))
+    rows = batch_infer(
+        df, lambda: lambda b: [f"{len(t)}:{max(map(len, b)) - min(map(len, b))}" for t in b], "s", "n", by_length=True
+    ).collect()
+    assert [r.id for r in rows] == list(range(96))
+    assert [r.n for r in rows] == [f"{i % 3 * 10}:0" for i in range(96)]
+
+
 def test_wrong_output_count_is_an_error(spark):
     df = spark.createDataFrame([("a",)], "s string")
     with pytest.raises(Exception, match="outputs"):

@@ -157,3 +157,17 @@ def test_completion(spark):
     texts = ["a ### R b ### R c", "no template"]
     got = values(spark, texts, X.prompt_of("t", "### R"), X.completion_of("t", "### R"))
     assert got == [("a ### R b ### R", " c"), ("no template", None)]
+
+
+def test_completion_labels(spark):
+    rows = [
+        (0, [1, 7, 8, 2, 7, 8, 3, 4]), (1, [7, 8]), (2, [1, 2, 3]), (3, []), (4, None), (5, [7, 7, 8, 9]),
+        (6, [5, 6, 1, 7, 8]), (7, [7, 8, 5, 6, 1, 2]), (8, [1, 7]),
+    ]
+    df = spark.createDataFrame(rows, "i int, ids array<int>")
+    got = {r.i: r.v for r in df.select("i", X.completion_labels("ids", [[7, 8], [5, 6, 1]]).alias("v")).collect()}
+    n = -100
+    assert got == {
+        0: [n] * 6 + [3, 4], 1: [n, n], 2: [n] * 3, 3: [], 4: None, 5: [n, n, n, 9], 6: [n] * 5, 7: [n] * 5 + [2],
+        8: [n, n],
+    }

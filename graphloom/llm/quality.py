@@ -224,12 +224,11 @@ def score_quality(
     no input of a score.  Null texts count as empty and are scored too.  ``predicted`` is 1 from
     ``THRESHOLD`` on.  Columns with the new names are replaced.
     """
-    taught = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("label"))
-    # Only labelled texts are read for the fit, and only their statistics are kept.
-    stats = docs.join(taught, F.col(f"`{doc_id}`") == F.col("__id")).select(
-        F.col(f"`{text}`").alias("text"), "label"
-    )
-    scorer = fit(materialize(with_statistics(stats, "text").drop("text"), "statistics"))
+    taught = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("label"))
+    # Statistics meet the labels, not texts: 160 bytes a document are shuffled.
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    stats = with_statistics(texts, "text").drop("text").join(taught, "id")
+    scorer = fit(materialize(stats, "statistics"))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # its size is set by FEATURES
 
     def make():

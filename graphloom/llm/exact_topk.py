@@ -3,10 +3,14 @@
 Vectors are packed into blocks.  At each resolution a vector is cut into segments and keeps each
 segment's mean and deviation.  With ``m`` the mean, ``s`` the deviation and ``w`` the length of a
 segment, the squared distance of two vectors is at least the sum of ``w ((m1-m2)^2 + (s1-s2)^2)``,
-which bounds their inner product by the sum of ``w (m1 m2 + s1 s2)``.  For each query and block
-the bounds go from coarse to fine; only rows whose bound reaches the block's k-th best exact score
-so far get an exact distance.  Every query block meets every candidate block (the query set is
-part of the question); each meeting gives at most k rows a query, which one window merges.
+which bounds their inner product by the sum of ``w (m1 m2 + s1 s2)``.  A query's floor is its k-th
+best exact score so far, over all blocks its task has seen.  For each pair of blocks the bounds go
+from coarse to fine, each a matrix product while many pairs are left; only rows whose bound
+reaches the floor get an exact distance.
+
+Every query block meets every candidate block (the query set is part of the question).  The more
+query blocks there are, the more candidate blocks one task takes one after another, so that
+rows found grow with the input; one window merges them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 from graphloom.session import materialize
 
 LEVELS = (2, 8, 32)
-CANDIDATES, QUERIES = 4096, 512
+CANDIDATES, QUERIES = 2048, 512
+LOT = 2  # least candidate blocks in a piece of work
+SPARSE = 1 / 16  # below this share of pairs single ones are cheaper than a matrix product
 _BLOCK = "dim int, ids binary, rows binary, stats binary"
 
 
@@ -88,54 +94,101 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
     return df.select("vec_id", "dim", "v").mapInArrow(pack, _BLOCK)
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-by-row integer inner products: in doubles where they are exact there."""
-    if not a.size:
-        return np.zeros(len(a), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
-        return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
-    return np.einsum("ij,ij->i", a, b)
-
-
-def best_in_block(query, query_ids, query_stats, rows, ids, stats, levels, k):
-    """(query row, candidate row, score) of the k best of a block for each query, ties included
-    by the smaller id.  ``levels`` holds the number of statistics of each resolution."""
-    n = len(ids)
-    slack = 1e-9 * (1 + np.linalg.norm(query.astype(float), axis=1)[:, None]) * (
-        1 + np.linalg.norm(rows.astype(float), axis=1)[None, :]
-    )
-    own = query_ids[:, None] == ids[None, :]
-    edges = np.concatenate([[0], np.cumsum(levels)])
-    coarse = query_stats[:, : edges[1]] @ stats[:, : edges[1]].T + slack
-    coarse[own] = -np.inf
-    # A first threshold: the exact scores of the k best coarse bounds.
-    top = min(k, n)
-    first = np.argpartition(-coarse, top - 1, axis=1)[:, :top]
-    qi = np.repeat(np.arange(len(query)), top)
-    ci = first.ravel()
-    scores = _exact(query[qi], rows[ci]).astype(np.float64)
-    scores[own[qi, ci]] = -np.inf
-    floor = scores.reshape(-1, top).min(axis=1) if n >= k else np.full(len(query), -np.inf)
-    qi, ci = np.nonzero((coarse >= floor[:, None]) & ~own)
-    for a, b in zip(edges[1:-1], edges[2:], strict=True):
-        keep = np.zeros(len(qi), bool)
-        for part in range(0, len(qi), 1 << 18):
-            q, c = qi[part : part + (1 << 18)], ci[part : part + (1 << 18)]
-            bound = np.einsum("ij,ij->i", query_stats[q, a:b], stats[c, a:b]) + slack[q, c]
-            keep[part : part + (1 << 18)] = bound >= floor[q]
-        qi, ci = qi[keep], ci[keep]
-    score = np.concatenate(
-        [np.zeros(0, np.int64)]
-        + [
-            _exact(query[qi[p : p + (1 << 16)]], rows[ci[p : p + (1 << 16)]])
-            for p in range(0, len(qi), 1 << 16)
-        ]
-    )
-    order = np.lexsort((ids[ci], -score, qi))
-    qi, ci, score = qi[order], ci[order], score[order]
-    begin = np.searchsorted(qi, qi, side="left")
-    best = np.arange(len(qi)) - begin < k
-    return qi[best], ci[best], score[best]
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer products of the rows of ``a`` with those of ``b``, in doubles where they are exact there."""
+    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2.0**53:
+        return a @ b.T
+    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+
+
+def row_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for each row of ``a`` with the one row of ``b`` beside it."""
+    if a.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2.0**53:
+        return np.einsum("ij,ij->i", a, b)
+    return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
+
+
+class Queries:
+    """A block of queries with what they have found so far."""
+
+    def __init__(self, ids, rows, stats, levels, k):
+        self.ids, self.rows, self.stats, self.k = ids, rows, stats, k
+        self.edges = np.concatenate([[0], np.cumsum(levels)])
+        self.norm = 1 + np.linalg.norm(rows.astype(float), axis=1)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id) in order
+        self.floor = np.full(len(ids), -np.inf)
+
+    def take(self, ids, rows, stats) -> None:
+        """Meet a block of candidates."""
+        slack = 1e-9 * self.norm[:, None] * (1 + np.linalg.norm(rows.astype(float), axis=1))[None, :]
+        alive = self.ids[:, None] != ids[None, :]
+        for number, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+            if number and alive.mean() < SPARSE:
+                q, c = np.nonzero(alive)
+                bound = np.einsum("ij,ij->i", self.stats[q, a:b], stats[c, a:b]) + slack[q, c]
+                alive[q, c] = bound >= self.floor[q]
+            else:
+                bound = self.stats[:, a:b] @ stats[:, a:b].T + slack
+                alive &= bound >= self.floor[:, None]
+                if not number:
+                    self._raise_floors(bound, alive, ids, rows)
+                    alive &= bound >= self.floor[:, None]
+        if alive.mean() < SPARSE:
+            q, c = np.nonzero(alive)
+            scores = np.zeros(alive.shape, np.int64)
+            scores[q, c] = row_products(self.rows[q], rows[c])
+        else:
+            scores = products(self.rows, rows)
+        alive &= scores >= self.floor[:, None]
+        for q in np.flatnonzero(alive.any(axis=1)):
+            some = np.flatnonzero(alive[q])
+            score = scores[q, some]
+            if len(some) > self.k:
+                # The k best and all that tie with the last of them.
+                last = np.partition(score, len(score) - self.k)[len(score) - self.k]
+                some, score = some[score >= last], score[score >= last]
+            new = zip((-score).tolist(), ids[some].tolist(), strict=True)
+            self.best[q] = sorted([*self.best[q], *new])[: self.k]
+            if len(self.best[q]) == self.k:
+                self.floor[q] = max(self.floor[q], -self.best[q][-1][0])
+
+    def _raise_floors(self, bound, alive, ids, rows) -> None:
+        """The exact scores of the k best coarse bounds are a floor before any row is taken."""
+        k = self.k
+        if alive.shape[1] < k:
+            return
+        first = np.argpartition(np.where(alive, -bound, np.inf), k - 1, axis=1)[:, :k]
+        q = np.repeat(np.arange(len(self.ids)), k)
+        scores = row_products(self.rows[q], rows[first.ravel()]).reshape(-1, k)
+        sure = np.take_along_axis(alive, first, axis=1).all(axis=1)
+        self.floor = np.where(sure, np.maximum(self.floor, scores.min(axis=1)), self.floor)
+
+    def found(self):
+        for q, best in enumerate(self.best):
+            for score, vec_id in best:
+                yield q, int(self.ids[q]), vec_id, -score
+
+
+def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """Rows of :func:`whole_vectors` dealt into ``blocks``, each packed into one row."""
+    # A number of its own deals also rows that repeat one id.
+    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+
+    def pack(key, table):
+        dim = key[0].as_py()
+        ids = table["vec_id"].to_numpy().astype(np.int64)
+        matrix = np.array(table["v"].to_pylist(), np.int64).reshape(len(ids), dim)
+        stats = np.concatenate([segment_stats(matrix, s) for s in LEVELS], axis=1)
+        return pa.table(
+            {
+                "dim": pa.array([dim], pa.int32()), "blk": pa.array([key[1].as_py()], pa.int32()),
+                "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([matrix.tobytes()], pa.binary()),
+                "stats": pa.array([stats.tobytes()], pa.binary()),
+            }
+        )
+
+    schema = "dim int, blk int, ids binary, rows binary, stats binary"
+    return queries.withColumn("blk", place).groupBy("dim", "blk").applyInArrow(pack, schema)
 
 
 def exact_topk(
@@ -149,38 +202,50 @@ def exact_topk(
     Repeated rows count each for itself.
     """
     rows = materialize(_blocks(whole_vectors(vectors, vec_id, vector), CANDIDATES), "vectors")
-    asked = materialize(_blocks(whole_vectors(queries, vec_id, vector), QUERIES), "queries")
-    # A lot holds about two blocks; each query block is dealt to every lot.
-    lots = max(1, rows.count() // 2)
-    rows = rows.withColumn("lot", F.pmod(F.xxhash64("ids"), F.lit(lots)).cast("int"))
-    asked = asked.select(
-        "dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "stats")],
-        F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"),
-    )
-    met = rows.join(asked, ["dim", "lot"]).select(
-        "dim", "ids", "rows", "stats", "q_ids", "q_rows", "q_stats"
+    wanted = whole_vectors(queries, vec_id, vector)
+    blocks = max(1, -(-wanted.count() // QUERIES))
+    asked = materialize(query_blocks(wanted, blocks), "queries")
+    lots = max(1, rows.count() // max(LOT, blocks))
+    met = asked.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), F.lit(0).alias("role")
+    ).unionByName(
+        rows.withColumn("lot", F.pmod(F.xxhash64("ids"), F.lit(lots)).cast("int")).select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(1).alias("role")
+        )
     )
+    met = met.withColumn("piece", F.col("blk") * lots + F.col("lot")).repartitionById(blocks * lots, "piece")
 
     def search(batches):
+        here = work = None
+
+        def close():
+            made = list(zip(*work.found(), strict=True)) or [[]] * 4
+            n = len(made[0])
+            columns = [pa.array([v] * n, pa.int32()) for v in here[:2]]
+            columns += [pa.array(made[0], pa.int32()), *(pa.array(v, pa.int64()) for v in made[1:])]
+            return pa.RecordBatch.from_arrays(columns, names=["dim", "blk", "at", "query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, ids, rows, stats, q_ids, q_rows, q_stats = (
-                    v[0] for v in batch.slice(i, 1).to_pydict().values()
-                )
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                levels = [2 * max(1, min(s, dim)) for s in LEVELS]
-                qi, ci, score = best_in_block(
-                    np.frombuffer(q_rows, np.int64).reshape(len(q_ids), dim), q_ids,
-                    np.frombuffer(q_stats).reshape(len(q_ids), -1),
-                    np.frombuffer(rows, np.int64).reshape(len(ids), dim), ids,
-                    np.frombuffer(stats).reshape(len(ids), -1), levels, k,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[qi]), pa.array(ids[ci]), pa.array(score)],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                key = (row["dim"], row["blk"], row["lot"])
+                if key != here:
+                    if work:
+                        yield close()
+                    here, work = key, None
+                ids = np.frombuffer(row["ids"], np.int64)
+                matrix = np.frombuffer(row["rows"], np.int64).reshape(len(ids), row["dim"])
+                stats = np.frombuffer(row["stats"]).reshape(len(ids), -1)
+                if row["role"] == 0:
+                    work = Queries(ids, matrix, stats, [2 * max(1, min(s, row["dim"])) for s in LEVELS], k)
+                elif work:
+                    work.take(ids, matrix, stats)
+        if work:
+            yield close()
+
+    found = met.sortWithinPartitions("dim", "blk", "lot", "role", "ids").mapInArrow(
+        search, "dim int, blk int, at int, query_id long, vec_id long, score long"
+    )
+    order = Window.partitionBy("dim", "blk", "at").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

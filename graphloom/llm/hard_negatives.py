@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.exact_topk import whole_vectors
+from graphloom.llm.exact_topk import products, row_products, whole_vectors
 from graphloom.session import materialize
 
 ANCHORS, CANDIDATES = 512, 2048  # vectors in a block
@@ -57,19 +57,6 @@ def tree_levels(order: np.ndarray, parent: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of the rows of ``a`` with those of ``b``, in doubles where they are exact there."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2.0**53:
-        return a @ b.T
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-
-
-def _single_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if a.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2.0**53:
-        return np.einsum("ij,ij->i", a, b)
-    return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
-
-
 def scores_by_tree(anchors, levels, parent, edge, rows, windows, allowed):
     """Per level of the tree ``(anchor rows, needed, scores)``: a mask of the candidates whose bounds
     meet the anchor's window, and where it holds, the exact score.
@@ -82,7 +69,7 @@ def scores_by_tree(anchors, levels, parent, edge, rows, windows, allowed):
     high = np.zeros((len(anchors), len(rows)))
     for depth, at in enumerate(levels):
         if depth == 0:
-            scores = _products(anchors[at], rows)
+            scores = products(anchors[at], rows)
             low[at] = high[at] = scores
             least, most = windows(at)
             yield at, allowed(at) & (scores >= least) & (scores <= most), scores
@@ -94,11 +81,11 @@ def scores_by_tree(anchors, levels, parent, edge, rows, windows, allowed):
         needed = allowed(at) & (high[at] >= least) & (low[at] <= most)
         scores = np.zeros(needed.shape, np.int64)
         if needed.mean() > _DENSE:
-            scores = _products(anchors[at], rows)
+            scores = products(anchors[at], rows)
             low[at] = high[at] = scores
         else:
             a, c = np.nonzero(needed)
-            scores[a, c] = _single_products(anchors[at[a]], rows[c])
+            scores[a, c] = row_products(anchors[at[a]], rows[c])
             low[at[a], c] = high[at[a], c] = scores[a, c]
         yield at, needed, scores
 

@@ -40,8 +40,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(n: int) -> Column:
-    """crc32 of the document's id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of the document's id as text, modulo n; -1 for a row without id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def taught_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

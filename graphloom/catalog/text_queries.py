@@ -13,12 +13,13 @@ from graphloom.operators import corpus as C
 from graphloom.operators import indexing as I
 from graphloom.operators import infer as M
 from graphloom.operators.stats import value_counts
-from graphloom.plans.corpus_build import evaluation_set, training_table
+from graphloom.plans.corpus_build import evaluation_set, load_corpus, training_table
 from graphloom.plans.generation import generate_graphs, generate_pair_blocks, prepare_sentences
 from graphloom.session import fresh_path
 from graphloom.sources import tables as S
 from graphloom.sources.blocks import read_graph_blocks
 from graphloom.sources.csv_blocks import read_csv_blocks
+from graphloom.streaming import sinks as K
 from graphloom.streaming.incremental import generate_stream, read_drops
 
 
@@ -300,10 +301,8 @@ def positional_split(spark, sf_dir):
 SELECT doc_id, CASE WHEN idx < 120 THEN 'head' ELSE 'tail' END AS part FROM p""",
 )
 def head_tail(spark, sf_dir):
-    indexed = I.with_row_index(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
-    head = I.head_rows(indexed, 120).select("doc_id", F.lit("head").alias("part"))
-    tail = I.tail_rows(indexed, 120).select("doc_id", F.lit("tail").alias("part"))
-    return head.unionByName(tail)
+    head, tail = I.split_at(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 120)
+    return head.withColumn("part", F.lit("head")).unionByName(tail.withColumn("part", F.lit("tail")))
 
 
 @query(
@@ -573,6 +572,46 @@ def incremental_generate(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", "generated_amr")
 
 
+def _streamed_twice(spark, sf_dir, sink, write, rows):
+    """Documents arrive in two drops; the last batch of the stream is then written once more."""
+    drops, checkpoint = fresh_path(spark, "drops"), fresh_path(spark, "progress")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("sentence"))
+    for english in (True, False):
+        part = docs.filter((F.col("lang") == "en") == english)
+        part.write.mode("append").json(drops)
+        made = generate_graphs(read_drops(spark, drops, docs.schema), echo_model)
+        K.write_stream(rows(made), sink, checkpoint, write).awaitTermination()
+    again = rows(generate_graphs(docs.filter("lang <> 'en'"), echo_model))
+    K.write_batch(again, sink, 1, write, K.run_of(checkpoint))
+
+
+@query(
+    "stream_csv_append",
+    f"""SELECT doc_id, '(s / size :value ' ||
+  length({_PROMPT_HEAD} || text || {_PROMPT_MIDDLE}) || ')' AS generated_amr FROM documents""",
+)
+def stream_csv_append(spark, sf_dir):
+    """A stream appended to CSV, with a repeated batch."""
+    sink = fresh_path(spark, "sink")
+    _streamed_twice(spark, sf_dir, sink, S.write_csv, lambda made: made.select("doc_id", "generated_amr"))
+    return K.read_csv_batches(spark, sink, "doc_id long, generated_amr string")
+
+
+@query(
+    "stream_pair_blocks",
+    f"""SELECT '_hu ' || doc_id AS sentence, '(s / size :value ' ||
+  length({_PROMPT_HEAD} || text || {_PROMPT_MIDDLE}) || ')' AS amr_graph FROM documents""",
+)
+def stream_pair_blocks(spark, sf_dir):
+    """A stream appended as pair blocks, with a repeated batch."""
+    sink = fresh_path(spark, "sink")
+    blocks = lambda made: made.select(
+        F.col("doc_id").cast("string").alias("hu_sentence"), F.col("generated_amr").alias("block")
+    )
+    _streamed_twice(spark, sf_dir, sink, S.write_pair_blocks, blocks)
+    return K.read_pair_batches(spark, sink).select("sentence", "amr_graph")
+
+
 @query(
     "csv_roundtrip",
     """SELECT doc_id, text, 'a "quoted", value' || chr(10) || ' next ' || lang AS note,
@@ -591,6 +630,40 @@ def csv_roundtrip(spark, sf_dir):
     return back.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@query(
+    "corpus_from_files",
+    f"""WITH kept AS (SELECT doc_id, lang, {_SPLIT} AS split, md5(coalesce(text, '')) AS snt FROM documents
+  WHERE doc_id % 7 <> 3),
+named AS (SELECT *, CASE WHEN lang = 'de' THEN NULL ELSE 'hu ' || snt END AS hu FROM kept),
+sides AS (SELECT doc_id, 'd' || doc_id AS id, snt AS sentence, split, 'EN' AS lang, 0 AS o FROM named
+  UNION ALL SELECT doc_id, 'd' || doc_id, hu, split, 'HU', 1 FROM named WHERE hu IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY
+    CASE split WHEN 'test' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END, o, lpad(doc_id::VARCHAR, 20, '0')) AS rn FROM sides)
+SELECT id, sentence, '( d / document :id ' || substr(id, 2) || ' )' AS amr_graph, split, lang
+FROM ranked WHERE rn = 1""",
+)
+def corpus_from_files(spark, sf_dir):
+    """Split folders of block files and a folder of translations, read and made a corpus.
+
+    In one record of seven the graph does not start its line, so it is none and its translation stays
+    unused; others have no date, or end with a line of blanks.
+    """
+    docs = table(spark, sf_dir, "documents")
+    folder, name = fresh_path(spark, "annotated"), F.concat(F.lit("d"), "doc_id")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    kind = F.col("doc_id") % 7
+    lines = F.concat(
+        F.lit("# ::id "), name, F.when(kind == 5, "").otherwise(" ::date 2020-01-01"), F.lit("\n# ::snt "), digest,
+        F.when(kind == 3, "\n (").otherwise("\n("), F.lit('d / document :wiki "W"\n  :id '), F.col("doc_id"),
+        F.when(kind == 4, ")\n \t").otherwise(")\n"),
+    )
+    for split in ("training", "dev", "test"):
+        docs.filter(split_of("doc_id") == split).select(lines.alias("value")).write.text(f"{folder}/{split}")
+    hu = F.when(F.col("lang") != "de", F.concat(F.lit("hu "), digest))
+    S.write_csv(docs.select(name.alias("id"), F.lit("x").alias("sentence"), hu.alias("hu_sentence")), f"{folder}/translation")
+    return load_corpus(spark, folder)
+
+
 @query(
     "csv_union",
     """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, CAST(NULL AS VARCHAR) AS item

@@ -58,6 +58,34 @@ def attach_translations(
     return records.join(right, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
+def first_with_translation(
+    records: DataFrame,
+    translations: DataFrame,
+    record_order: Sequence[Column | str],
+    translation_order: Sequence[Column | str],
+    key: str = "id",
+) -> DataFrame:
+    """The first record of each ``key`` with the columns of the key's first translation beside it,
+    null without one; a null key meets a null key.
+
+    Both sides travel as one table and meet in one exchange, after which a key that holds a large
+    part of all rows is one row per task.
+    """
+
+    def side(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+        place = F.struct(*[as_column(c).alias(f"o{i}") for i, c in enumerate(order)])
+        return df.select(F.col(key).alias("__key"), place.alias(f"__{name}_place"), F.struct("*").alias(f"__{name}"))
+
+    rows = side(records, record_order, "record").unionByName(
+        side(translations, translation_order, "translation"), allowMissingColumns=True
+    )
+    first = rows.groupBy("__key").agg(
+        *[F.min_by(f"__{name}", f"__{name}_place").alias(f"__{name}") for name in ("record", "translation")]
+    )
+    new = [c for c in translations.columns if c not in records.columns]
+    return first.filter("__record IS NOT NULL").select("__record.*", *[F.col(f"__translation.{c}") for c in new])
+
+
 def languages_to_rows(
     df: DataFrame,
     english: str = "sentence",

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import as_column, strip_unicode
 from graphloom.operators.validate import checked_broadcast
@@ -94,14 +95,81 @@ def read_numbered_lines(spark, path, name: str = "line_no") -> DataFrame:
     )
 
 
-def head_rows(indexed: DataFrame, n: int, index: str = "idx") -> DataFrame:
-    """The first ``n`` rows."""
-    return indexed.filter(F.col(index) < n)
+_CUTS = 32  # keys that split what is left in one round
+_SORTED = 50_000  # so many keys are sorted to find one
 
 
-def tail_rows(indexed: DataFrame, skip: int, index: str = "idx") -> DataFrame:
-    """All but the first ``skip`` rows."""
-    return indexed.filter(F.col(index) >= skip)
+def _key(order: Sequence[Column | str]) -> Column:
+    return F.struct(*[as_column(c).alias(f"k{i}") for i, c in enumerate(order)])
+
+
+def _literal(key: Row, like: T.StructType) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, like.fields)])
+
+
+def _range_of(key: Column, cuts: list[Column]) -> Column:
+    """Number of the range that holds ``key``, by a search that halves the cuts."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key <= cuts[middle], within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(cuts))
+
+
+def nth_key(df: DataFrame, order: Sequence[Column | str], n: int) -> Column | None:
+    """The key, as a struct of the ``order`` columns, of the ``n``-th row in their order, counted from 1;
+    null sorts first.  None if there are fewer rows.
+
+    Only the order columns are read, and no row is moved: each round counts the rows between some
+    keys drawn by hashes, and the next one looks at the one range that holds the row.
+    """
+    keys = df.select(_key(order).alias("key"))
+    like = keys.schema["key"].dataType
+    left, before = keys, 0
+    total = keys.count()
+    if n < 1 or n > total:
+        return None
+    while total > _SORTED:
+        # Each hash draws one of the different keys, however often one of them repeats; the
+        # smallest is a cut too, so that every round leaves some rows behind.
+        drawn = [F.min_by("key", F.xxhash64("key", F.lit(j))) for j in range(_CUTS - 1)]
+        found = left.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.array(*drawn).alias("drawn"))
+        cuts_of = F.array_sort(F.array_distinct(F.array_append("drawn", F.col("low"))))
+        told = found.select("low", (F.col("low") == F.col("high")).alias("one"), cuts_of.alias("cuts")).first()
+        if told.one:
+            return _literal(told.low, like)
+        cuts = [_literal(key, like) for key in told.cuts]
+        counts = left.groupBy(_range_of(F.col("key"), cuts).alias("at")).count().collect()
+        sizes = {row["at"]: row["count"] for row in counts}
+        at = 0
+        while before + sizes.get(at, 0) < n:
+            before += sizes.get(at, 0)
+            at += 1
+        total = sizes[at]
+        if at > 0:
+            left = left.filter(F.col("key") > cuts[at - 1])
+        if at < len(cuts):
+            left = left.filter(F.col("key") <= cuts[at])
+    last = left.orderBy("key").limit(n - before).orderBy(F.desc("key")).first()
+    return _literal(last.key, like)
+
+
+def split_at(df: DataFrame, order: Sequence[Column | str], n: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows in ``order``, and all others: two filters, for which no row is sorted,
+    moved or written.  ``order`` must tell the ``n``-th row from the next."""
+    if n <= 0:
+        return df.limit(0), df
+    key = nth_key(df, order, n)
+    if key is None:
+        return df, df.limit(0)
+    mine = _key(order)
+    head, tail = df.filter(mine <= key), df.filter(mine > key)
+    if head.count() != n:
+        raise ValueError(f"the order does not tell row {n} from the next")
+    return head, tail
 
 
 def positional_split(

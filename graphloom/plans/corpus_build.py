@@ -9,19 +9,19 @@ from graphloom.constants import ALL_LANGUAGES, HELD_OUT_OFFSET, INSTRUCTION_PROM
 from graphloom.functions.text import render_prompt
 from graphloom.operators.corpus import (
     CORPUS_COLUMNS,
-    attach_translations,
     dedup_by_split,
     exact_sample,
-    keep_first,
+    first_with_translation,
     languages_to_rows,
     shuffle_rows,
     split_views,
     union_with_synthetic,
 )
 from graphloom.operators.graph import normalize_graphs
-from graphloom.operators.indexing import head_rows, in_file_order, tail_rows, with_row_index
+from graphloom.operators.indexing import in_file_order, split_at
 from graphloom.sources.blocks import read_split_folders
-from graphloom.sources.tables import read_csv, read_translations
+from graphloom.sources.csv_blocks import read_csv_blocks
+from graphloom.sources.tables import read_translations
 
 
 def build_corpus(
@@ -37,13 +37,19 @@ def build_corpus(
     Graphs are rewritten last, on the rows that are left.
     """
     record_order = in_file_order(record_order)
-    records = keep_first(records, ["id"], record_order)
-    translations = keep_first(translations, ["id"], in_file_order(translation_order)).select("id", "hu_sentence")
-    rows = languages_to_rows(attach_translations(records, translations))
+    whole = first_with_translation(
+        records, translations.select("id", "hu_sentence", *_named(translations, translation_order)),
+        record_order, in_file_order(translation_order),
+    )
+    rows = languages_to_rows(whole)
     rows = dedup_by_split(rows, ["lang_order", *record_order])
     return normalize_graphs(rows, "amr_graph", remove_wiki).select(*CORPUS_COLUMNS)
 
 
+def _named(df: DataFrame, order: tuple[str, ...]) -> list[str]:
+    return [c for c in order if isinstance(c, str) and c in df.columns and c not in ("id", "hu_sentence")]
+
+
 def load_corpus(spark: SparkSession, folder: str, remove_wiki: bool = True) -> DataFrame:
     """The corpus of a folder with ``training``, ``dev``, ``test`` and ``translation``."""
     folder = folder.rstrip("/")
@@ -95,8 +101,7 @@ def training_table(
     if synthetic is not None:
         synthetic = synthetic_rows(synthetic)
         amount = held_out_offset if synthetic_amount is None else synthetic_amount
-        indexed = with_row_index(synthetic, in_file_order(synthetic_order), "__idx")
-        synthetic = head_rows(indexed, amount, "__idx").drop("__idx")
+        synthetic = split_at(synthetic, in_file_order(synthetic_order), amount)[0]
         synthetic = synthetic.drop("source_file", "row_order")
     union = union_with_synthetic(gold, synthetic, corpus.sparkSession)
     # Generated sentences may repeat without bound.
@@ -131,11 +136,10 @@ def evaluation_set(
     if name == "gold":
         return split_views(corpus, test_language=language)[2]
     if name == "held_out":
-        indexed = with_row_index(synthetic_rows(synthetic), in_file_order(order), "__idx")
-        return tail_rows(indexed, held_out_offset, "__idx").drop("__idx")
+        return split_at(synthetic_rows(synthetic), in_file_order(order), held_out_offset)[1]
     raise ValueError(f"evaluation set is 'gold' or 'held_out', not {name!r}")
 
 
 def read_generated(spark: SparkSession, path: str) -> DataFrame:
     """A generated CSV under the corpus names, with its row order."""
-    return synthetic_rows(read_csv(spark, path, with_order=True))
+    return synthetic_rows(read_csv_blocks(spark, path, with_order=True))

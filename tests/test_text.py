@@ -13,12 +13,6 @@ def values(spark, texts, *columns):
     return [tuple(r)[1:] for r in df.select("i", *columns).orderBy("i").collect()]
 
 
-def random_texts(n, seed):
-    rng = random.Random(seed)
-    alphabet = list('()"/: ab1\n\t-~') + ["–", "é", ":ARG0 ", "(b / c)", '"x y"']
-    return ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(n)]
-
-
 def texts_of_known_depth(n, seed):
     """``text, depth, lowest``: what stands outside quotes and how deep it ends and dips."""
     rng = random.Random(seed)
@@ -34,29 +28,23 @@ def texts_of_known_depth(n, seed):
     return out
 
 
-def plain_linear(text):
-    out, rest = [], text.replace("–", "-")
-    padded = ""
-    while True:
-        start = rest.find('"')
-        end = rest.find('"', start + 2) if start >= 0 else -1
-        if start < 0 or end < 0 or "\n" in rest[start:end]:
-            if start >= 0 and end >= 0:
-                padded += rest[: start + 1]
-                rest = rest[start + 1 :]
-                continue
-            padded += rest
-            break
-        padded += rest[:start] + " " + rest[start : end + 1] + " "
-        rest = rest[end + 1 :]
-    for piece in padded.split():
-        if piece[0] == '"' and piece[-1] == '"':
-            out.append(piece)
-        else:
-            for ch in "()/":
-                piece = piece.replace(ch, f" {ch} ")
-            out += piece.replace(":", " :").split()
-    return " ".join(out)
+# What a piece of text gives in the linear form, for pieces that stand between blanks.
+LINEAR_PIECES = {
+    "(": ["("], ")": [")"], "/": ["/"], "boy": ["boy"], "(b": ["(", "b"], "b)": ["b", ")"], "))": [")", ")"],
+    ":ARG0": [":ARG0"], "x:mod": ["x", ":mod"], "12:30": ["12", ":30"], "a/b": ["a", "/", "b"],
+    ":op1(x": [":op1", "(", "x"], "–": ["-"], "a–b": ["a-b"], '"name"': ['"name"'], '"a(b:c/d)"': ['"a(b:c/d)"'],
+    '"–"': ['"-"'], '"New York"': ['"New', 'York"'], '"a (b) c"': ['"a', "(", "b", ")", 'c"'],
+    '"x 1:2 /"': ['"x', "1", ":2", "/", '"'], "want-01": ["want-01"], "é日本": ["é日本"],
+}
+
+
+def texts_of_known_tokens(n, seed):
+    rng = random.Random(seed)
+    for _ in range(n):
+        pieces = [rng.choice(list(LINEAR_PIECES)) for _ in range(rng.randint(1, 14))]
+        blanks = [rng.choice([" ", "\n", "  ", "\t", "\u2003", "\n    "]) for _ in pieces]
+        text = rng.choice(["", " ", "\n"]) + "".join(p + b for p, b in zip(pieces, blanks))
+        yield text, " ".join(t for p in pieces for t in LINEAR_PIECES[p])
 
 
 def test_parentheses_on_random_texts(spark):
@@ -68,10 +56,10 @@ def test_parentheses_on_random_texts(spark):
 
 
 def test_linearize_on_random_texts(spark):
-    texts = [t for t in random_texts(1500, 2)]
-    got = values(spark, texts, G.linearize("t"))
-    for text, (linear,) in zip(texts, got):
-        assert linear == plain_linear(text), text
+    cases = list(texts_of_known_tokens(1500, 2))
+    got = values(spark, [text for text, _ in cases], G.linearize("t"))
+    for (text, want), (linear,) in zip(cases, got):
+        assert linear == want, text
 
 
 def test_linearize_details(spark):

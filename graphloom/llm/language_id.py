@@ -25,7 +25,6 @@ from graphloom.llm.batches import append_columns, as_bytes, numbered, numbering,
 from graphloom.llm.bpe import Bpe, byte_letters, kept, read_vocabulary
 
 UNKNOWN = "und"
-MAX_PIECE = 8  # bytes; longer pieces of the vocabulary take no part
 PRIOR = 0.02  # added to every count, so that each piece has a probability in each language
 KEPT = 250_000  # distinct chunks and words that a worker keeps before it starts anew
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -38,21 +37,26 @@ def letter_words(text: str) -> list[bytes]:
 
 
 class Pieces:
-    """The vocabulary's pieces up to ``MAX_PIECE`` bytes, as sorted hashes of (bytes, word end)."""
+    """All pieces of the vocabulary: per length in bytes the sorted hashes of (bytes, word end), and
+    where each stands in ``ids``."""
 
     def __init__(self, data: bytes):
         self.bpe = Bpe(data)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        inside, ids = [], []
+        by_size: dict[int, list[tuple[int, int]]] = {}
         for i, token in enumerate(self.bpe.tokens):
             end = token.endswith("</w>")
             letters = token[:-4] if end else token
-            if letters and len(letters) <= MAX_PIECE and all(c in byte_of for c in letters):
-                inside.append((bytes(byte_of[c] for c in letters), end))
-                ids.append(i)
-        hashes = np.array([self._hash(b, e) for b, e in inside], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(ids)[order]
+            if letters and all(c in byte_of for c in letters):
+                value = self._hash(bytes(byte_of[c] for c in letters), end)
+                by_size.setdefault(len(letters), []).append((value, i))
+        self.longest = max(by_size, default=1)
+        self.tables, ids = {}, []
+        for size, found in sorted(by_size.items()):
+            found.sort()
+            self.tables[size] = (np.array([h for h, _ in found], np.uint64), len(ids))
+            ids += [i for _, i in found]
+        self.ids = np.array(ids, np.int64)
 
     @staticmethod
     def _hash(piece: bytes, end: bool) -> int:
@@ -62,16 +66,19 @@ class Pieces:
         return (h ^ (0x5BD1E995 * (len(piece) * 2 + end))) & (2**64 - 1)
 
     def find(self, rolled: np.ndarray, size: int, ends: np.ndarray) -> np.ndarray:
-        """Positions in the sorted table, or -1."""
+        """Positions in ``ids``, or -1."""
+        if size not in self.tables:
+            return np.full(len(rolled), -1)
+        hashes, first = self.tables[size]
         key = rolled ^ (np.uint64(0x5BD1E995) * (np.uint64(2 * size) + ends.astype(np.uint64)))
-        at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == key, at, -1)
+        at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
+        return np.where(hashes[at] == key, at + first, -1)
 
 
 def word_scores(pieces: Pieces, log_p: np.ndarray, words: list[bytes]) -> np.ndarray:
     """ln P(word | language) for each word and language (words x languages).
 
-    ``log_p`` has a row for each entry of the sorted table and a last row for an unknown byte.
+    ``log_p`` has a row for each of ``pieces.ids`` and a last row for an unknown byte.
     The forward pass goes over positions; words are sorted by length, so that the words that
     still have a position stand in front.  Long words keep their scale by a running maximum.
     """
@@ -83,36 +90,38 @@ def word_scores(pieces: Pieces, log_p: np.ndarray, words: list[bytes]) -> np.nda
     begins = starts_of(lengths)
     p = np.exp(log_p)
     longest = int(lengths[0]) if n else 0
-    # alpha[:, j] is the scaled probability of the first (position - j) bytes.
-    alpha = np.zeros((n, MAX_PIECE + 1, languages))
-    alpha[:, 0] = 1.0
+    # alpha[position % ring] is the scaled probability of the first bytes up to the position.
+    ring = min(pieces.longest, longest) + 1
+    alpha = np.zeros((ring, n, languages))
+    alpha[0] = 1.0
     scale = np.zeros((n, languages))
     out = np.zeros((n, languages))
     for end in range(1, longest + 1):
         live = int(np.searchsorted(-lengths, -end, side="right"))
-        alpha = alpha[:live]
-        alpha[:, 1:] = alpha[:, :-1].copy()
-        alpha[:, 0] = 0.0
+        alpha = alpha[:, :live]
+        now = alpha[end % ring]
+        now[:] = 0.0
         at_end = lengths[:live] == end
         rolled = np.zeros(live, np.uint64)
         power = np.ones(1, np.uint64)
-        for size in range(1, min(MAX_PIECE, end) + 1):
+        for size in range(1, min(ring - 1, end) + 1):
             # The hash of the last ``size`` bytes, grown to the left.
             power = power * _MUL
             rolled = rolled + (raw[begins[:live] + (end - size)] + np.uint64(1)) * power
             found = pieces.find(rolled, size, at_end)
+            before = alpha[(end - size) % ring]
             if size == 1:
-                alpha[:, 0] += alpha[:, 1] * p[found]
+                now += before * p[found]
                 continue
             hit = np.flatnonzero(found >= 0)
-            alpha[hit, 0] += alpha[hit, size] * p[found[hit]]
+            now[hit] += before[hit] * p[found[hit]]
         if end % 8 == 0:
-            top = alpha.max(axis=1)
-            alpha /= top[:, None]
+            top = alpha.max(axis=0)
+            alpha /= top
             scale[:live] += np.log(top)
         first = int(np.searchsorted(-lengths, -end, side="left"))
         if first < live:
-            out[first:live] = np.log(alpha[first:live, 0]) + scale[first:live]
+            out[first:live] = np.log(alpha[end % ring, first:live]) + scale[first:live]
     result = np.empty_like(out)
     result[order] = out
     return result

@@ -33,7 +33,7 @@ _FORMAT = (
 )
 _PEM = (
     r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:[A-Za-z0-9+/=\s:,.()\\\"'-]{0,20000}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[A-Za-z0-9+/=\s:,.()\\\"'-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
     r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{20,}+)*+)"
 )
 _PASSWORD = "passw(?:or)?d|passwd|passphrase|pwd"
@@ -48,7 +48,7 @@ _VALUE = rf"[^\s\"'`<>,;(){{}}\[\]\\=:]{_END[:-3]}]{{{SHORT - 2},}}{_END}"
 #: the cheap guards come first.
 _POINTED = "|".join(
     [
-        rf"(?<=[\"'])(?<=(?i:{_PASSWORD}|secret){_TO}[\"'])[^\"'\r\n]{{{SHORT},128}}(?=[\"'])",
+        rf"(?<=[\"'])(?<=(?i:{_PASSWORD}|secret){_TO}[\"'])[^\"'\r\n]{{{SHORT},}}+(?=[\"'])",
         rf"(?<=:)(?<=://[^\s/:@]{{0,64}}:)[^\s/@\"'<>]{{3,}}(?=@)",
         rf"(?<==)(?<={_QUERY})[^\s&\"'<>#]{{{SHORT},}}",
         rf"(?=\S{{{SHORT}}})(?:(?<=\s)(?<=(?i:{_SCHEMES})\s{{1,3}})(?<={_AUTHORIZED})[^\s\"',;<>]{{{SHORT},}}"

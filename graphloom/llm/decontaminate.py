@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.batches import append_columns, as_bytes, numbered, numbering, starts_of
 
@@ -106,7 +107,8 @@ class Windows:
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """``words array<binary>, items array<long>``: one row per distinct window of the benchmark."""
+    """``words binary, items array``: one row per distinct window of the benchmark; ids keep their type."""
+    kind = benchmark.select(F.col(item_id).alias("item")).schema["item"].dataType
 
     def cut(batches):
         for batch in batches:
@@ -117,11 +119,12 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> Da
                     words.append(b" ".join(found[i : i + size]))
                     ids.append(item)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(ids, pa.int64())], names=["words", "item"]
+                [pa.array(words, pa.binary()), pa.array(ids, to_arrow_type(kind))], names=["words", "item"]
             )
 
-    rows = benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string"))
-    windows = rows.filter(F.col(item_id).isNotNull()).mapInArrow(cut, "words binary, item long")
+    rows = benchmark.select(F.col(item_id).alias("item"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("words", T.BinaryType()), T.StructField("item", kind)])
+    windows = rows.filter("item IS NOT NULL").mapInArrow(cut, schema)
     return windows.groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
@@ -134,7 +137,7 @@ def scan_benchmark(
     size: int = WINDOW,
     chunk_windows: int = CHUNK_WINDOWS,
 ) -> DataFrame:
-    """Append ``n_words int, hit_words array<int>, items array<long>`` to each document.
+    """Append ``n_words long, hit_words array<long>, items`` (an array of ids) to each document.
 
     ``hit_words`` are the positions of words inside any occurrence of a window, ascending;
     ``items`` the ids of items with such windows, ascending.  Null or wordless texts have no
@@ -143,10 +146,11 @@ def scan_benchmark(
     """
     windows = item_windows(benchmark, item_id, item_text, size).cache()
     chunks = -(-windows.count() // chunk_windows)
+    kind = windows.schema["items"].dataType.elementType
     fields = [
         T.StructField("n_words", T.LongType()),
         T.StructField("hit_words", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(kind)),
     ]
     context = docs.sparkSession.sparkContext
     out = docs
@@ -174,7 +178,7 @@ def scan_benchmark(
                 return [
                     pa.array(counts, pa.int64()),
                     pa.array(hits, pa.list_(pa.int64())),
-                    pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
+                    pa.array([sorted(s) for s in items], pa.list_(to_arrow_type(kind))),
                 ]
 
             return work

@@ -7,7 +7,7 @@ Parquet below the shared folder and reads them again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encode_texts
@@ -21,10 +21,15 @@ from graphloom.session import materialize
 ROW = "__row"
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A row as one struct, so that no column of it can clash with a new one."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier predicts as good."""
-    scored = score_quality(docs, taught_labels(spark, sf_dir))
-    return scored.filter("predicted = 1").select(docs.columns)
+    rows = docs.select(_whole(docs), "doc_id", "text")
+    return score_quality(rows, taught_labels(spark, sf_dir)).filter("predicted = 1").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +52,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and the length told anew."""
-    seen = scan_secrets(docs).withColumn("text", F.col("redacted"))
-    return seen.withColumn(
-        "n_chars",
-        F.when(F.exists("findings", lambda c: c["secret"]), F.length("text").cast("long")).otherwise(F.col("n_chars")),
-    ).select(docs.columns)
+    rows = docs.select(_whole(docs), "text", "source")
+    found = F.exists("findings", lambda c: c["secret"])
+    new = {"text": F.col("redacted"), "n_chars": F.when(found, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))}
+    return scan_secrets(rows).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

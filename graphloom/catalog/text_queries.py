@@ -82,8 +82,12 @@ def synth_input(spark, sf_dir):
         F.format_string("doc://%s/%d", "source", "doc_id").alias("url"),
         F.col("lang").alias("domain"),
         F.col("text").alias("lead"),
+        F.lit("2020-01-01").alias("date_of_creation"),
+        F.concat("lang", "source").alias("title"),
     )
-    return prepare_sentences(articles, domain="en", n=100, seed=42)
+    path = fresh_path(spark, "articles")
+    articles.write.parquet(path)
+    return prepare_sentences(S.read_articles(spark, path), domain="en", n=100, seed=42)
 
 
 @query("first_sentence_clean", f"WITH {_SENTENCES} SELECT doc_id, sentence FROM firsts")

@@ -17,24 +17,7 @@ from graphloom.constants import BATCH_SIZE
 from graphloom.functions.text import as_column, attention_mask, mask_label_padding, pad_or_truncate
 
 Model = Callable[[list], Sequence]
-
-
-def _worker_model(key: str, load: Callable[[], Model]) -> Model:
-    """The model of ``key`` in this Python worker, loaded if no task has done so before.
-
-    Workers live on over tasks and micro-batches; the latest models stay in a module of the worker's
-    own, which needs no installed package.
-    """
-    import sys
-    import types
-
-    store = sys.modules.setdefault("_worker_models", types.ModuleType("_worker_models"))
-    models = store.__dict__.setdefault("models", {})
-    model = models.pop(key) if key in models else load()
-    models[key] = model  # the latest stands last
-    while len(models) > 4:  # a few, so that old ones do not fill the worker
-        models.pop(next(iter(models)))
-    return model
+KEPT_MODELS = 4  # models that a Python worker keeps, so that old ones do not fill it
 
 
 def batch_infer(
@@ -63,10 +46,23 @@ def batch_infer(
     )
     made_type = to_arrow_type(schema.fields[-1].dataType)
     key = hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
-    model_of = _worker_model
+
+    def worker_model() -> Model:
+        # Workers live on over tasks and micro-batches.  The latest models stay in a module of the
+        # worker's own, so that executors need no installed package.
+        import sys
+        import types
+
+        store = sys.modules.setdefault("_worker_models", types.ModuleType("_worker_models"))
+        models = store.__dict__.setdefault("models", {})
+        model = models.pop(key) if key in models else load_model()
+        models[key] = model  # the latest stands last
+        while len(models) > KEPT_MODELS:
+            models.pop(next(iter(models)))
+        return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(key, load_model)
+        model = worker_model()
 
         def size(value) -> int:
             return sum(len(str(v)) for v in value.values()) if isinstance(value, dict) else len(str(value))

@@ -15,6 +15,7 @@ from graphloom.functions import graph_text as G
 from graphloom.functions.arrays import bound, per_run
 from graphloom.functions.text import newlines_to_blanks
 from graphloom.operators.graph import decode_graphs
+from graphloom.session import materialize
 
 # The order of the checks in the full chain.
 CHECKS = ("parentheses", "decodes", "parses", "frames", "and_or")
@@ -88,8 +89,8 @@ def filter_valid(df: DataFrame, graph_column: str, observation=None) -> DataFram
     return flagged.filter("__valid").drop("__valid")
 
 
-def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples") -> DataFrame:
-    """``keys, predicate, label``: every ``:ARG`` edge with the concept it leaves."""
+def _core_role_pairs(triples: str) -> Column:
+    """The distinct ``predicate, label`` of a graph: ``:ARG`` edges with the concepts they leave."""
     entries = f"""transform(
         filter({triples}, t -> t.kind = 'instance' OR t.kind = 'edge' AND startswith(t.role, ':ARG')),
         t -> named_struct('v', t.source, 'label', if(t.kind = 'edge', substring(t.role, 2), NULL),
@@ -97,7 +98,12 @@ def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples"
     own = """flatten(transform(array_distinct(array_compact(run.label)), label ->
         transform(concepts, c -> named_struct('predicate', c, 'label', label))))"""
     own = bound("concepts", "array_compact(run.predicate)", own)
-    pairs = F.expr(f"array_distinct(flatten({per_run(entries, 'v', own)}))")
+    return F.expr(f"array_distinct(flatten({per_run(entries, 'v', own)}))")
+
+
+def core_roles(decoded: DataFrame, keys: Sequence[str], triples: str = "triples") -> DataFrame:
+    """``keys, predicate, label``: every ``:ARG`` edge with the concept it leaves."""
+    pairs = _core_role_pairs(triples)
     # The pairs of a graph repeat often; distinct ones are enough for a verdict.  An outer
     # generator, because for an inner one the optimizer works the pairs out in a filter too.
     rows = decoded.select(*keys, F.inline_outer(pairs))
@@ -145,8 +151,8 @@ def validate_graphs(
 ) -> DataFrame:
     """Add a flag per check, ``valid`` and ``first_failure`` (null when all pass).
 
-    ``keys`` name the columns that identify a row.  Without a lexicon every predicate is
-    unknown and the frame check passes for decodable graphs.
+    Rows are judged each for itself, whatever their ``keys``.  Without a lexicon every predicate is
+    unknown and the frame check passes for decodable graphs; with one the rows are written once.
     """
     prepared = decode_graphs(df.withColumn("__text", newlines_to_blanks(graph_column)), "__text")
     flagged = (
@@ -158,12 +164,12 @@ def validate_graphs(
     if lexicon is None:
         flagged = flagged.withColumn("frames", F.col("decoded"))
     else:
-        bad = frame_violations(core_roles(prepared, keys), lexicon, keys, max_lexicon_rows)
-        bad = bad.withColumn("__bad", F.lit(True))
-        # Null keys are keys too.
-        bad = bad.select(*[F.col(k).alias(f"__bad_{k}") for k in keys], "__bad")
-        same = [F.col(k).eqNullSafe(F.col(f"__bad_{k}")) for k in keys]
-        flagged = flagged.drop("triples").join(bad, same, "left")
+        # Decoded once: verdicts and pairs are written, and the pairs that fail come back by row.
+        told = flagged.withColumns({"__pairs": _core_role_pairs("triples"), "__row": F.monotonically_increasing_id()})
+        told = materialize(told.drop("triples", "__text"), "verdicts")
+        roles = told.select("__row", F.inline("__pairs"))
+        bad = frame_violations(roles, lexicon, ["__row"], max_lexicon_rows).withColumn("__bad", F.lit(True))
+        flagged = told.drop("__pairs").join(bad, "__row", "left")
         flagged = flagged.withColumn("frames", F.col("decoded") & F.col("__bad").isNull())
     flagged = flagged.select(
         *df.columns, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in CHECKS]

@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,9 @@ from graphloom.constants import CSV_NULL_TOKENS
 from graphloom.operators.validate import checked_broadcast
 from graphloom.session import materialize
 
+# What runs in tasks travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _RECORD = "file string, row_order long, record string"
 _EDGE = "file string, block long, opens boolean, row_order long, record string"
 

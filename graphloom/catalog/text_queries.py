@@ -12,6 +12,7 @@ from graphloom.functions import text as X
 from graphloom.operators import corpus as C
 from graphloom.operators import indexing as I
 from graphloom.operators import infer as M
+from graphloom.operators import sentences as SE
 from graphloom.operators.stats import value_counts
 from graphloom.plans.corpus_build import evaluation_set, load_corpus, training_table
 from graphloom.plans.generation import generate_graphs, generate_pair_blocks, prepare_sentences
@@ -104,6 +105,28 @@ def sentence_split_counts(spark, sf_dir):
     return value_counts(rows, "sentence", "sentence")
 
 
+@query(
+    "abbreviation_counts",
+    r"""WITH tokens AS (SELECT t, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS i
+  FROM (SELECT regexp_split_to_array(text, '\s+') AS t FROM documents)),
+bare AS (SELECT lower(regexp_replace(regexp_replace(token, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}.]+$', '')) AS b,
+  coalesce(regexp_matches(t[i + 1], '^\p{Ll}'), false) AS inside FROM tokens),
+seen AS (SELECT regexp_replace(b, '\.+$', '') AS word, suffix(b, '.') AS dot, inside FROM bare),
+counts AS (SELECT word, count(*) AS n, count_if(dot) AS n_dot, count_if(dot AND inside) AS n_inside
+  FROM seen WHERE word <> '' GROUP BY word),
+share AS (SELECT sum(n_dot) / sum(n) AS q FROM counts),
+scored AS (SELECT *, n_dot / n AS p,
+  CASE WHEN n_dot > 0 THEN n_dot * ln(n_dot / n / q) ELSE 0 END
+  + CASE WHEN n > n_dot THEN (n - n_dot) * ln((1 - n_dot / n) / (1 - q)) ELSE 0 END AS r FROM counts, share)
+SELECT word, n, CAST(n_dot AS BIGINT) AS n_dot, CAST(n_inside AS BIGINT) AS n_inside,
+  round(CASE WHEN p > q THEN 2 * r ELSE 0 END, 4) AS score FROM scored""",
+)
+def abbreviation_counts(spark, sf_dir):
+    """Words of all documents with their full stops, and how unlikely these are by chance."""
+    counts = SE.abbreviation_counts(documents(spark, sf_dir))
+    return counts.withColumn("score", F.round("score", 4))
+
+
 @query(
     "priority_dedup",
     f"""WITH {_SENTENCES}, ranked AS (

@@ -11,9 +11,10 @@ Documents with the same shingle set count once.  Then
    its group has at least so many tokens that other groups hold; sets below the bound are done.
    For the rest the bound is taken over all their tokens, against each other, until no more
    sets leave.
-3. *Opening.*  What is left looks up partners by its rarest tokens.  A set meets a group only
-   if such a token is in the group; it is opened, and its sets compared, if the set's overlap
-   with the group's token union can reach the bound.
+3. *Opening.*  What is left is cut into groups of similar sets once more, each packed in one row with
+   its token union.  A set goes to the groups that hold one of its prefix tokens; its
+   overlap with the union bounds its overlap with any member, and only a group that can reach
+   the least overlap is opened.  Of two groups of linked sets the smaller one asks.
 
 Nothing is sampled or capped: links missed by step 1 are found by 2 and 3.  Set rows are spread
 by document or token, and tokens of all documents are never kept at once.
@@ -25,19 +26,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import as_bytes, numbered, numbering, slices
 from graphloom.llm.components import components
 from graphloom.llm.decontaminate import mixed, window_hashes, word_codes
+from graphloom.operators.indexing import with_row_index
 from graphloom.session import materialize
 
 WORDS, LIKE = 5, 75  # words in a shingle; the least similarity in hundredths
 TURNS = 3  # rounds of first comparisons; what they miss is found later
 KEYS = 4  # minimal hashes that vote for a set's group
 BROADCAST_ROWS = 400_000  # some 100 bytes each; longer tables are joined by a shuffle
-PER_LOT = 128  # sets compared with a group in one piece of work
+PER_LOT = 128  # sets compared with a voted set in one piece of work
+PER_GROUP, LONG_SET = 1024, 1 << 16  # sets packed into one group to be opened; bytes of a long one, which counts 16
+PER_OPENING = 2048  # sets that meet a group in one piece of work
 BUCKET_TOKENS = 2_000_000
 
 
@@ -210,7 +214,10 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
     grp)``, how many stand also among those of a set in another group.
 
     Tokens travel in packed blocks: per block and bucket the sets' numbers, groups and counts,
-    and 48 bits of each token; a collision can only keep a set that could have left.
+    and 48 bits of each token; a collision can only keep a set that could have left.  A token
+    that several groups of a block hold is counted there, and only two of its sets tell others of
+    it, so a passage that most texts share is no hot key.  Answers are packed per block too,
+    and added up there.
     """
 
     def pack(batches):
@@ -221,9 +228,23 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
             numbers = np.array([(r, g) for r, g, _ in held], np.int64).reshape(-1, 2)
             owner = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])
             flat = np.concatenate([t for _, _, t in held])
+            order = np.argsort(flat)
+            flat, owner = flat[order], owner[order]
+            group = numbers[owner, 1]
+            begins = np.flatnonzero(np.diff(flat, prepend=flat[:1] + np.uint64(1)) != 0)
+            times = np.diff(begins, append=len(flat))
+            ends = [np.repeat(f.reduceat(group, begins), times) for f in (np.minimum, np.maximum)]
+            apart = ends[0] != ends[1]
+            here = np.bincount(owner[apart], minlength=len(held))
+            told, run = ~apart, np.repeat(np.arange(len(begins)), times)
+            for end in ends:  # the first set of each end's group
+                some = np.flatnonzero(apart & (group == end))
+                told[some[np.diff(run[some], prepend=-1) != 0]] = True
+            owner, flat, known = owner[told], flat[told], apart[told]
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((owner, bucket))
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            block = int(numbers[0, 0])
             for b in np.flatnonzero(np.diff(bounds)):
                 mine = order[bounds[b] : bounds[b + 1]]
                 short = flat[mine] >> np.uint64(16)
@@ -232,13 +253,26 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(b)], pa.int32()),
+                        pa.array([block], pa.int64()),
                         pa.array([numbers[who].tobytes()], pa.binary()),
                         pa.array([np.diff(begins, append=len(mine)).astype(np.uint32).tobytes()], pa.binary()),
                         pa.array([short.astype(np.uint32).tobytes()], pa.binary()),
                         pa.array([(short >> np.uint64(32)).astype(np.uint16).tobytes()], pa.binary()),
+                        pa.array([np.packbits(known[mine]).tobytes()], pa.binary()),
                     ],
-                    names=["bucket", "sets", "counts", "low", "high"],
+                    names=["bucket", "block", "sets", "counts", "low", "high", "known"],
                 )
+            # What the block knows by itself goes to no bucket.
+            some = np.flatnonzero(here)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1], pa.int32()), pa.array([block], pa.int64()),
+                    pa.array([numbers[some, 0].tobytes()], pa.binary()),
+                    pa.array([here[some].astype(np.uint32).tobytes()], pa.binary()),
+                    *(pa.array([b""], pa.binary()) for _ in range(3)),
+                ],
+                names=["bucket", "block", "sets", "counts", "low", "high", "known"],
+            )
 
         for batch in batches:
             for part in slices(batch, 0):
@@ -252,43 +286,63 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
                 if size > BUCKET_TOKENS:
                     yield from close()
                     held, size = [], 0
-        if held:
+        if size:
             yield from close()
 
     def count(batches):
-        sets, counts, low, high = [], [], [], []
+        names, parts = ["block", "sets", "counts"], []
         for batch in batches:
             for b in range(batch.num_rows):
-                row = [batch.column(i)[b].as_py() for i in range(1, 5)]
-                sets.append(np.frombuffer(row[0], np.int64).reshape(-1, 2))
-                counts.append(np.frombuffer(row[1], np.uint32))
-                low.append(np.frombuffer(row[2], np.uint32))
-                high.append(np.frombuffer(row[3], np.uint16))
-        if not sets:
+                bucket, block, *row = (batch.column(i)[b].as_py() for i in range(7))
+                if bucket < 0:
+                    values = [pa.array([block], pa.int64()), *(pa.array([v], pa.binary()) for v in row[:2])]
+                    yield pa.RecordBatch.from_arrays(values, names=names)
+                    continue
+                numbers = np.frombuffer(row[0], np.int64).reshape(-1, 2)
+                counts = np.frombuffer(row[1], np.uint32)
+                token = np.frombuffer(row[2], np.uint32).astype(np.uint64)
+                token |= np.frombuffer(row[3], np.uint16).astype(np.uint64) << np.uint64(32)
+                known = np.unpackbits(np.frombuffer(row[4], np.uint8), count=len(token)).astype(bool)
+                parts.append((block, numbers, counts, token, known))
+        if not parts:
             return
-        numbers = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(numbers)), np.concatenate(counts))
-        token = np.concatenate(low).astype(np.uint64)
-        token |= np.concatenate(high).astype(np.uint64) << np.uint64(32)
+        token = np.concatenate([p[3] for p in parts])
+        known = np.concatenate([p[4] for p in parts])
+        group = np.concatenate([np.repeat(p[1][:, 1], p[2]) for p in parts])
         order = np.argsort(token)
-        token, owner = token[order], owner[order]
-        begins = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)) != 0)
-        group = numbers[owner, 1]
+        ordered = token[order]
+        begins = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0)
+        group = group[order]
         apart = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
-        many = np.repeat(apart, np.diff(begins, append=len(token)))
-        shared = np.bincount(owner[many], minlength=len(numbers))
-        some = np.flatnonzero(shared)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers[some, 0]), pa.array(shared[some], pa.int64())], names=["rn", "shared"]
-        )
+        many = np.zeros(len(token), bool)
+        many[order] = np.repeat(apart, np.diff(begins, append=len(token)))
+        many &= ~known  # counted at home
+        at = 0
+        for block, numbers, counts, tokens, _ in parts:
+            mine = many[at : at + len(tokens)]
+            at += len(tokens)
+            shared = np.bincount(np.repeat(np.arange(len(numbers)), counts)[mine], minlength=len(numbers))
+            some = np.flatnonzero(shared)
+            if len(some):
+                values = [numbers[some, 0].tobytes(), shared[some].astype(np.uint32).tobytes()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=names
+                )
+
+    def add(key, table):
+        numbers = np.concatenate([np.frombuffer(v, np.int64) for v in table["sets"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(v, np.uint32) for v in table["counts"].to_pylist()])
+        rn, at = np.unique(numbers, return_inverse=True)
+        return pa.table({"rn": rn, "shared": np.bincount(at, counts, len(rn)).astype(np.int64)})
 
     wanted = sets.select(F.col("rep").alias("doc_id"), "digest", "rn", "grp")
     rows = _with_texts(docs, wanted).select("text", "digest", "rn", "grp")
-    schema = "bucket int, sets binary, counts binary, low binary, high binary"
-    blocks = rows.mapInArrow(pack, schema).repartitionById(buckets, "bucket")
-    return blocks.mapInArrow(count, "rn long, shared long").groupBy("rn").agg(
-        F.sum("shared").alias("shared")
-    )
+    schema = "bucket int, block long, sets binary, counts binary, low binary, high binary, known binary"
+    # A block's own counts are dealt anywhere.
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    blocks = rows.mapInArrow(pack, schema).withColumn("place", place).repartitionById(buckets, "place").drop("place")
+    answers = blocks.mapInArrow(count, "block long, sets binary, counts binary")
+    return answers.groupBy("block").applyInArrow(add, "rn long, shared long")
 
 
 def _still_open(docs: DataFrame, sets: DataFrame, length, need) -> DataFrame:  # functions of n
@@ -302,58 +356,133 @@ def _still_open(docs: DataFrame, sets: DataFrame, length, need) -> DataFrame:  #
     return materialize(kept.drop("shared"), "open-sets")
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, like: int) -> tuple[DataFrame, DataFrame]:
-    """``q, g`` and ``m, g``: sets with the groups that hold one of their rarest tokens, and the
-    groups' members, in parts."""
+def _opened(docs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
+    """``a, b``: groups of ``sets`` with sets that link, found by opening packed groups."""
     wanted = sets.select(F.col("rep").alias("doc_id"), "digest", "rn", "grp")
+    # Groups ask larger ones only; ``rank`` orders them.
+    ranked = wanted.join(
+        sets.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).select(
+            "grp", F.struct("size", "grp").alias("rank")
+        ), "grp",
+    )
+    ranked = materialize(ranked.select("doc_id", "digest", "rn", "grp", "rank.size"), "open-ranks")
 
     def tokens(batches):
+        names = ["rn", "grp", "size", "first", "tokens"]
         for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
+            for part in slices(batch, 0):
                 found = token_sets(as_bytes(part.column(0)))
-                right = [digest(t) == d for t, d in zip(found, as_bytes(part.column(1)), strict=True)]
-                found = [t if ok else t[:0] for t, ok in zip(found, right, strict=True)]
-                n = np.fromiter(map(len, found), np.int64, len(found))
-                flat = np.concatenate(found).view(np.int64)
-                columns = [np.repeat(part.column(i).to_numpy(), n) for i in (2, 3)]
+                right = pa.array([digest(t) == d for t, d in zip(found, as_bytes(part.column(1)), strict=True)])
+                first = pa.array([int(t[0]) >> 1 if len(t) else 0 for t in found], pa.int64())
+                value = pa.array([t.tobytes() for t in found], pa.binary())
+                out = pa.RecordBatch.from_arrays([*part.columns[2:5], first, value], names=names)
+                yield out.filter(right)
+
+    rows = _with_texts(docs, ranked).select("text", "digest", "rn", "grp", "size")
+    open_sets = rows.mapInArrow(tokens, "rn long, grp long, size long, first long, tokens binary")
+    open_sets = materialize(open_sets, "open-tokens")
+    # Similar sets mostly have the same smallest token; a group's sets stay together.
+    lead = open_sets.groupBy("grp").agg(F.min("first").alias("lead"))
+    near = open_sets.join(lead, "grp").withColumn("long", F.octet_length("tokens") > LONG_SET)
+    placed = with_row_index(near, ["long", "lead", "grp", "rn"], "place")
+    many = F.when(F.col("long"), F.lit(PER_GROUP // 16)).otherwise(F.lit(PER_GROUP))
+    pack_of = F.struct("long", F.floor(F.col("place") / many))
+
+    def packed(key, table):
+        ids = np.stack([table[c].to_numpy().astype(np.int64) for c in ("rn", "grp", "size")], axis=1)
+        parts = [np.frombuffer(v, np.uint64) for v in table["tokens"].to_pylist()]
+        flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(t) for t in parts])
+        order = np.argsort(flat, kind="stable")
+        size, grp = max((int(s), int(g)) for _, g, s in ids)
+        values = [ids, np.array([len(t) for t in parts], np.int64), flat[order], owner[order].astype(np.uint16)]
+        columns = [pa.array([int(ids[0, 0])], pa.int64()), *(pa.array([v], pa.int64()) for v in (size, grp))]
+        columns += [pa.array([v.tobytes()], pa.binary()) for v in values]
+        return pa.Table.from_arrays(columns, names=["g", "size", "grp", "ids", "sizes", "tokens", "owners"])
+
+    packs = placed.select(pack_of.alias("pack"), "rn", "grp", "size", "tokens").groupBy("pack").applyInArrow(
+        packed, "g long, size long, grp long, ids binary, sizes binary, tokens binary, owners binary"
+    )
+    packs = materialize(packs, "open-groups")
+
+    def prefixes(batches):
+        for batch in batches:
+            for rn, grp, size, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.frombuffer(value, np.int64)
+                mine = mine[: len(mine) - least_overlap(len(mine), like) + 1]
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), pa.array(np.repeat(n, n)), pa.array(flat)],
-                    names=["rn", "grp", "n", "token"],
+                    [*(pa.array(np.full(len(mine), v)) for v in (rn, size, grp)), pa.array(mine)],
+                    names=["rn", "size", "grp", "token"],
                 )
 
-    rows = _with_texts(docs, wanted).select("text", "digest", "rn", "grp")
-    held = rows.mapInArrow(tokens, "rn long, grp long, n long, token long").distinct()
-    held = materialize(held, "open-tokens")
-    groups = held.groupBy("token").agg(
-        F.count(F.lit(1)).alias("sets"), (F.min("grp") != F.max("grp")).alias("apart")
-    )
-    seen = held.join(groups, "token").withColumn("rarity", F.when(F.col("apart"), F.col("sets")).otherwise(0))
-    own = Window.partitionBy("rn")
-    seen = seen.withColumn("place", F.row_number().over(own.orderBy("rarity", "token")))
-    seen = seen.withColumn("alone", F.sum(F.when(F.col("apart"), 0).otherwise(1)).over(own))
-    # With ``alone`` tokens of its own a set can only link with sets up to this size.
-    seen = seen.withColumn("most", F.floor((F.col("n") - F.col("alone")) * 100 / like) - F.col("alone"))
-    prefix = seen.filter(F.col("apart") & (F.col("place") <= F.col("n") - least_overlap_column(like) + 1))
-    prefix = materialize(prefix.select("token", "rn", "grp", "n", "most"), "open-prefixes")
-    # A group meets queries in parts of about 64 members.
-    sizes = sets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / 64).alias("parts"))
-    members = sets.join(sizes, "grp").select(
-        F.col("rn").alias("m"), F.xxhash64("grp", F.pmod(F.xxhash64("rn"), F.col("parts"))).alias("g")
+    def held_prefixes(batches):
+        for batch in batches:
+            for g, size, grp, sizes, tokens, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens, owners = np.frombuffer(tokens, np.uint64), np.frombuffer(owners, np.uint16)
+                n = np.frombuffer(sizes, np.int64)
+                # Sorted by owner, tokens keep their order: the place of each in its own set.
+                order = np.argsort(owners, kind="stable")
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+                some = np.unique(tokens[order][place <= np.repeat(n - least_overlap(n, like), n)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(some), v)) for v in (g, size, grp)), pa.array(some)],
+                    names=["g", "most_size", "most_grp", "token"],
+                )
+
+    asks = open_sets.select("rn", "grp", "size", "tokens").mapInArrow(prefixes, "rn long, size long, grp long, token long")
+    holds = packs.select("g", "size", "grp", "sizes", "tokens", "owners").mapInArrow(
+        held_prefixes, "g long, most_size long, most_grp long, token long"
     )
-    members = materialize(members, "open-members")
-    rows = prefix.join(members, prefix["rn"] == members["m"]).groupBy("token", "g").agg(
-        F.first("grp").alias("b_grp"), F.min("n").alias("b_n"), F.max("most").alias("b_most")
+    larger = F.struct("most_size", "most_grp") > F.struct("size", "grp")
+    met = asks.join(holds, "token").filter(larger).select("rn", "g").distinct()
+    met = materialize(met, "open-meetings")
+    lots = met.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PER_OPENING).alias("lots"))
+    queries = met.join(lots, "g").join(open_sets, "rn").select(
+        "g", F.pmod(F.xxhash64("rn"), F.col("lots")).alias("lot"), F.lit(1).alias("role"), "rn", F.col("grp").alias("q_grp"), F.col("size").alias("q_size"),
+        F.col("tokens").alias("q_tokens"),
     )
-    # Of two linked sets one has a ``most`` of at least its own size: the query.
-    met = prefix.filter("most >= n").join(rows, "token").filter(
-        (F.col("grp") != F.col("b_grp")) & (F.col("b_n") <= F.col("most")) & (F.col("n") <= F.col("b_most"))
-    )
-    queries = materialize(met.select(F.col("rn").alias("q"), "g").distinct(), "open-queries")
-    return queries, members
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")
+    groups = packs.drop("size", "grp").join(lots, "g").select("*", every, F.lit(0).alias("role")).drop("lots")
+    meeting = groups.unionByName(queries, allowMissingColumns=True)
+
+    def compare(batches):
+        here = None
+        for batch in batches:
+            left, right = [], []
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if row["role"] == 0:
+                    here = row["g"]
+                    ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 3)
+                    sizes, tokens = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["tokens"], np.uint64)
+                    owners = np.frombuffer(row["owners"], np.uint16).astype(np.int64)
+                    continue
+                if row["g"] != here:
+                    raise ValueError("a set came without its group")
+                mine = np.frombuffer(row["q_tokens"], np.uint64)
+                begin = np.searchsorted(tokens, mine, side="left")
+                many = np.searchsorted(tokens, mine, side="right") - begin
+                # The overlap with the group's union bounds that with any member.
+                if np.count_nonzero(many) * 100 < like * len(mine):
+                    continue
+                both = np.bincount(owners[gather_places(begin, many)], minlength=len(ids))
+                linked = 100 * both >= like * (len(mine) + sizes - both)
+                for other in np.unique(ids[linked, 1]).tolist():
+                    if other != row["q_grp"]:
+                        left.append(row["q_grp"])
+                        right.append(other)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
+            )
+
+    ordered = meeting.repartition("g", "lot").sortWithinPartitions("g", "lot", "role", "rn")
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
-def least_overlap_column(like: int):
-    return F.ceil(F.col("n") * like / 100)
+def gather_places(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``begins[i], begins[i] + 1, …``, ``counts[i]`` of them for each i."""
+    upto = np.cumsum(counts)
+    total = int(upto[-1]) if len(upto) else 0
+    return np.repeat(begins - (upto - counts), counts) + np.arange(total)
 
 
 def near_copies(
@@ -379,6 +508,7 @@ def near_copies(
         found = materialize(verified(docs, sets, alike.select("q", "g"), members, like), "links")
         links = found if links is None else links.union(found)
         grouped = _grouped(sets, links)
+    links = docs.sparkSession.createDataFrame([], "a long, b long") if links is None else links
     still = grouped.drop("keys")
     still = _still_open(docs, still, prefix_length, lambda n: 1 + F.floor(F.ceil(n * like / 100) / 8))
     left = still.count()
@@ -388,8 +518,7 @@ def near_copies(
         if left > 0.9 * before:
             break
     if left:
-        queries, members = _candidates(docs, still, like)
-        grouped = _grouped(sets, links.union(verified(docs, sets, queries, members, like)))
+        grouped = _grouped(sets, links.union(materialize(_opened(docs, still, like), "links")))
     smallest = grouped.groupBy("grp").agg(F.min("rep").alias("component_id"))
     classes = grouped.join(smallest, "grp").select("digest", "component_id")
     # The same id with several texts: its smallest component holds for all of them.

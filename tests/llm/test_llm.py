@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm import rans
+from graphloom.llm import ngram_join, rans
 from graphloom.llm.attention_lm import Model, windows
 from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.chat import link_calls
@@ -339,3 +339,47 @@ def test_pipeline(spark):
     for r in kept:
         ids = np.array(library.encode(r["text"], add_special_tokens=False).ids, "<u4")
         assert hashlib.sha256(ids.tobytes()).digest() == hashlib.sha256(r["ids"]).digest()
+
+
+@pytest.mark.parametrize("turns", [0, 3])
+def test_near_copies_around_one_hot_passage(spark, monkeypatch, turns):
+    """Texts around one passage, near copies that only chains link; without votes, links come
+    from opened groups alone."""
+    monkeypatch.setattr(ngram_join, "TURNS", turns)
+    monkeypatch.setattr(ngram_join, "PER_GROUP", 30)
+    monkeypatch.setattr(ngram_join, "PER_OPENING", 50)
+    draw = random.Random(3)
+    hot = [f"h{i}" for i in range(60)]
+    rows = []
+    for i in range(260):
+        own = [draw.choice("abcdefgh") + str(draw.randrange(50)) for _ in range(draw.randrange(4, 30))]
+        rows.append((i, " ".join(own[:2] + hot + own[2:])))
+    base = [f"b{i}" for i in range(80)]
+    for i in range(260, 420):
+        copy = list(base)
+        for _ in range(draw.randrange(4)):
+            copy[draw.randrange(80)] = f"x{draw.randrange(1000)}"
+        rows.append((i, " ".join(copy)))
+    draw.shuffle(rows)
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, n long, rn string, digest string")
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    want = {i: (len(sets[i]), root(i)) for i in ids}
+    assert len({c for _, c in want.values()}) > 20
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_copies(docs).collect()} == want

@@ -301,6 +301,61 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+_DEDUP_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words)
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, s + k AS place
+  FROM windows JOIN firsts USING (h), unnest(range(50)) AS u(k) WHERE first < doc_id
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM words)
+  ANTI JOIN gone USING (doc_id, place)
+  GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
+def _benchmark_words(column: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = f"translate(coalesce({column}, ''), '{upper}', '{upper.lower()}')"
+    return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_BENCHMARK_SQL = f"""
+WITH docs AS (SELECT doc_id, {_benchmark_words("text")} AS w FROM documents),
+items AS (SELECT item_id, {_benchmark_words("text")} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, size, md5(array_to_string(w[s : s + size - 1], ' ')) AS h
+  FROM (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s
+        FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, s, size, md5(array_to_string(w[s : s + size - 1], ' ')) AS h
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM docs, sizes)
+), hits AS (
+  SELECT d.doc_id, d.s, d.size, i.item_id FROM doc_windows d JOIN item_windows i ON i.size = d.size AND i.h = d.h
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT s + k) AS n FROM hits, unnest(range(size)) AS u(k) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(i.listed, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN hit_items i ON i.doc_id = d.doc_id
+"""
+
 _TOPK_SQL = """
 WITH good AS (
   SELECT vec_id, embedding FROM embeddings
@@ -338,8 +393,10 @@ QUERIES = {
 }
 #: The others have no SQL here: tests hold them against plain code on small tables.
 CHECKS = {
+    "op4_decontaminate": _BENCHMARK_SQL,
     "op5_chat": _CHAT_SQL,
     "op9_exact_topk": _TOPK_SQL,
     "op11_hard_negatives": _HARD_SQL,
     "op12_merkle": _MERKLE_SQL,
+    "op13_substring_dedup": _DEDUP_SQL,
 }

@@ -301,6 +301,33 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+_NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[s : s + size - 1], ' ')) AS h
+  FROM (SELECT doc_id, w, least(5, len(w)) AS size, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s
+        FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)
+), reached AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT w.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.other), w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN reached r ON r.doc_id = w.doc_id
+GROUP BY w.doc_id
+"""
+
 _DEDUP_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -393,6 +420,7 @@ QUERIES = {
 }
 #: The others have no SQL here: tests hold them against plain code on small tables.
 CHECKS = {
+    "op3_ngram_join": _NEAR_SQL,
     "op4_decontaminate": _BENCHMARK_SQL,
     "op5_chat": _CHAT_SQL,
     "op9_exact_topk": _TOPK_SQL,

@@ -112,13 +112,14 @@ class Model:
         tables = self.tables()
         f = self.forward(tables, inputs, targets)
         real = targets != self.size
-        dp = np.where(real, -1 / np.maximum(f["p"], 1e-20), 0) / max(1, real.sum())
+        dp = np.where(real, -1 / np.maximum(f["p"], np.float32(1e-20)), np.float32(0))
+        dp *= np.float32(1 / max(1, real.sum()))
         dmixed = dp[..., None] * f["given"]
         dgiven = dp[..., None] * f["mixed"]
         dweight = np.matmul(dmixed, f["v"].transpose(0, 2, 1))
         dv = np.matmul(f["weight"].transpose(0, 2, 1), dmixed)
         dscore = f["weight"] * (dweight - (dweight * f["weight"]).sum(axis=2, keepdims=True))
-        dq = np.matmul(dscore, f["k"]) / np.sqrt(KEY)
+        dq = np.matmul(dscore, f["k"]) * np.float32(1 / np.sqrt(KEY))
         dk = np.matmul(dscore.transpose(0, 2, 1), f["q"])
         per_cell = np.where(_FUTURE, 0, dscore.sum(axis=0))
         state = tables["state"][:-1]
@@ -139,7 +140,7 @@ class Model:
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         begin = np.flatnonzero(np.diff(ids, prepend=-1))
-        out = np.zeros((self.size + 1, values.shape[1]))
+        out = np.zeros((self.size + 1, values.shape[1]), np.float32)
         out[ids[begin]] = np.add.reduceat(values[order], begin, axis=0)
         return out[:-1]
 
@@ -149,14 +150,18 @@ class Trainer:
 
     def __init__(self, model: Model, rate: float = 0.03):
         self.model, self.rate, self.steps = model, rate, 0
-        self.first = {k: np.zeros(v.shape) for k, v in model.parts.items()}
-        self.second = {k: np.zeros(v.shape) for k, v in model.parts.items()}
+        self.first = {k: np.zeros(v.shape, np.float32) for k, v in model.parts.items()}
+        self.second = {k: np.zeros(v.shape, np.float32) for k, v in model.parts.items()}
 
     def step(self, inputs: np.ndarray, targets: np.ndarray) -> None:
         self.steps += 1
+        rate = np.float32(self.rate / (1 - 0.9**self.steps))
         for k, g in self.model.gradients(inputs, targets).items():
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
-            up = self.first[k] / (1 - 0.9**self.steps)
-            scale = np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-8
-            self.model.parts[k] -= (self.rate * up / scale).astype(np.float32)
+            first, second = self.first[k], self.second[k]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g
+            second *= np.float32(0.99)
+            second += np.float32(0.01) * (g * g)
+            scale = np.sqrt(second * np.float32(1 / (1 - 0.99**self.steps)))
+            scale += np.float32(1e-8)
+            self.model.parts[k] -= (rate * first / scale).astype(np.float32)

@@ -6,15 +6,12 @@ subword ids, and nothing else.
 
 The ``FREQUENT`` most frequent words travel to the tasks as a table; all others meet their counts
 in a join, so no vocabulary has to fit anywhere.  The attention model trains on every window of
-every training text: tasks train copies on batches of the windows that stream by, ``STEPS`` batches
-at least, and their average starts the next round.  Long tables give each round its share of the
-windows, so that each window teaches once; short ones give every round all.
+every training text: blocks of texts are dealt to rounds, and in a round tasks train copies on
+batches of the windows that stream by, ``STEPS`` batches at least; their average starts the next round.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +24,7 @@ from graphloom.session import materialize
 
 MERGES = 4000  # subword merges of the vocabulary that the model uses
 FREQUENT = 150_000  # words of some 100 bytes in a task
-ROUNDS, STEPS, BATCH, RATE = 4, 150, 512, 0.1
+ROUNDS, STEPS, BATCH, RATE = 4, 100, 4096, 0.1
 HELD = STEPS * BATCH  # windows that a task holds, and trains on in a round if there are so many
 BLOCK = 1 << 18  # bytes of texts whose ids travel as one row
 ADDERS = 8
@@ -120,12 +117,15 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
 
     rows = materialize(docs.select("text").mapInArrow(cut, "ids binary, counts binary, n long"), "ids")
     many = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks, shares = max(1, many // (ROUNDS * HELD)), ROUNDS if many > ROUNDS * HELD else 1
-    rows = materialize(rows.drop("n").repartition(tasks), "ids") if many else rows.drop("n")
+    tasks = max(1, many // (ROUNDS * HELD))
+    rows = rows.drop("n").withColumn("turn", F.pmod(F.xxhash64("ids"), F.lit(ROUNDS)))
+    rows = materialize(rows.repartition(tasks), "ids") if many else rows
     for turn in range(ROUNDS):
         start = context.broadcast(model.vector())
         rate = RATE / (1 + turn)
 
+        share = rows.filter(F.col("turn") == turn).drop("turn")
+
         def learn(batches, start=start, rate=rate, turn=turn):
             mine = Model(end + 1)
             mine.load(start.value)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
                     some = flat[order[i : i + BATCH]].astype(np.int32)
                     trainer.step(some[:, : 2 * HALF], some[:, 2 * HALF :])
 
-            for held in _streamed(batches, end, turn % shares, shares):
+            for held in _streamed(batches, end):
                 seen += len(held)
                 teach(held)
             while seen and trainer.steps < STEPS:  # then ``held`` is all there is
@@ -149,13 +149,13 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
             value = np.append(mine.vector() * seen, seen)
             yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()])], names=["vector"])
 
-        total = _summed(rows.mapInArrow(learn, "vector binary"), len(start.value) + 1)
+        total = _summed(share.mapInArrow(learn, "vector binary"), len(start.value) + 1)
         if total[-1] > 0:
             model.load(total[:-1] / total[-1])
     return model
 
 
-def _streamed(batches, end: int, turn: int, shares: int):
+def _streamed(batches, end: int, turn: int = 0, shares: int = 1):
     """The windows of blocks of ids whose number has the remainder ``turn`` by ``shares``, as rows of
     inputs and targets: ``HELD`` at a time or a little more, the last ones as they are."""
     held, size, number = [], 0, 0

@@ -229,3 +229,18 @@ def test_checks_inside_large_graphs(spark):
     roles = sorted(map(tuple, V.core_roles(decoded, ["i"]).filter("i IN (0, 2)").collect()))
     large = [(0, f"part-{i}", label) for i in range(1, n) for label in ("ARG1", "ARG2")]
     assert roles == sorted([*large, (2, "x", "ARG0"), (2, "y", "ARG0"), (2, "and", "ARG3")])
+
+
+def test_closing_parentheses_are_no_steps_of_their_own(spark):
+    texts = ["(a / b :c (d / e))", "( a / b :c ( d / e ) )", "(a / b :c (d / e\n)\t)", "(a / b :c d))", "() (a / b)"]
+    df = decode(spark, texts).withColumn("n", F.size(F.split(G.mark_steps("t"), "\x1e")) - 1)
+    rows = df.orderBy("i").collect()
+    assert [r.n for r in rows[:3]] == [2, 2, 2]
+    assert [r.decoded for r in rows] == [True, True, True, False, False]
+    assert rows[0].triples == rows[1].triples == rows[2].triples
+
+
+def test_deep_graphs(spark):
+    deep = "(r / x" + "".join(f" :a (v{i} / x" for i in range(5000)) + " )" * 5001
+    row = decode(spark, [deep]).first()
+    assert row.decoded and row.triples[-1].depth == 5001 and row.triples[-2].source == "v4998"

@@ -244,3 +244,21 @@ def test_deep_graphs(spark):
     deep = "(r / x" + "".join(f" :a (v{i} / x" for i in range(5000)) + " )" * 5001
     row = decode(spark, [deep]).first()
     assert row.decoded and row.triples[-1].depth == 5001 and row.triples[-2].source == "v4998"
+
+
+def test_orders_are_spread_over_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from graphloom.catalog import order_graphs as O
+
+    monkeypatch.setattr(O, "_ORDERS_PER_TASK", 10)
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    orders = [(i % 290 if i % 50 else None, i % 7, "OFP"[i % 3], float(i), "1-URGENT") for i in range(300)]
+    spark.createDataFrame(orders, columns).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, f"c{i}") for i in range(7)], "c_custkey long, c_name string").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    facts = O.order_facts(spark, str(tmp_path))
+    assert facts.rdd.getNumPartitions() == 30
+    assert facts.count() == 300
+    placed = facts.select("gid", F.spark_partition_id().alias("task"))
+    places = placed.groupBy("gid").agg(F.count_distinct("task").alias("n"))
+    assert places.filter("n > 1").count() == 0

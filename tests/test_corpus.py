@@ -294,3 +294,22 @@ def test_corpus_from_files(spark, tmp_path):
     }
     text = P.training_text(got.filter("id = 't2'"), eos="</s>").first()["text"]
     assert text.endswith("### AMR Graph\n( b / boy :mod ( s1 / small ) )</s>")
+
+
+def test_records_inside_a_block_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Records of 50 sentences in one block, some with two graphs: only those under the first and the
+    last sentence are dealt out again.  The result does not hang on how many lines a task adds up."""
+    lines = []
+    for i in range(50):
+        lines += [f"# ::id i{i}", f"# ::snt s{i}", f"(a{i} / a", "  :b c)", ""] + [f"(z{i} / z)", ""] * (i % 2)
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    runs = B._runs(B._classified(B.read_lines(spark, str(tmp_path))), False).collect()
+    assert len(runs) == 75 and sum(not r.whole for r in runs) == 2  # under the last sentence
+    expected = [
+        (f"i{i}", f"s{i}", "\n".join([f"(a{i} / a", "  :b c)", f"(z{i} / z)"][: 2 + k]))
+        for i in range(50) for k in range(1 + i % 2)
+    ]
+    assert read_back(spark, tmp_path, keep_unterminated=True) == expected
+    for held in (1, 3):
+        monkeypatch.setattr(B, "_HELD", held)
+        assert read_back(spark, tmp_path, keep_unterminated=True) == expected

@@ -17,6 +17,7 @@ from graphloom.constants import BATCH_SIZE
 from graphloom.functions.text import as_column, attention_mask, mask_label_padding, pad_or_truncate
 
 Model = Callable[[list], Sequence]
+ROWS_HELD = 256  # rows, or one batch of the model, whose inputs and outputs are Python values at a time
 KEPT_MODELS = 4  # models that a Python worker keeps, so that old ones do not fill it
 
 
@@ -46,6 +47,7 @@ def batch_infer(
     )
     made_type = to_arrow_type(schema.fields[-1].dataType)
     key = hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
+    step = batch_size * max(1, ROWS_HELD // batch_size)
 
     def worker_model() -> Model:
         # Workers live on over tasks and micro-batches.  The latest models stay in a module of the
@@ -67,21 +69,34 @@ def batch_infer(
         def size(value) -> int:
             return sum(len(str(v)) for v in value.values()) if isinstance(value, dict) else len(str(value))
 
-        def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def given(rows: pa.Table) -> list:
             columns = [rows.column(n).to_pylist() for n in names]
-            given = columns[0] if single else [dict(zip(names, v)) for v in zip(*columns)]
-            order = list(range(len(given)))
+            return columns[0] if single else [dict(zip(names, v)) for v in zip(*columns)]
+
+        def called(values: list) -> list:
+            made = list(model(values))
+            if len(made) != len(values):
+                raise ValueError(f"model gave {len(made)} outputs for {len(values)} inputs")
+            return made
+
+        def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            # Inputs are Python values for some rows at a time only, whatever an Arrow batch holds.
+            parts = [rows.slice(i, step) for i in range(0, rows.num_rows, step)]
             if by_length:
-                order.sort(key=lambda i: size(given[i]))
-            out = [None] * len(given)
-            for start in range(0, len(given), batch_size):
-                places = order[start : start + batch_size]
-                made = list(model([given[i] for i in places]))
-                if len(made) != len(places):
-                    raise ValueError(f"model gave {len(made)} outputs for {len(places)} inputs")
-                for i, value in zip(places, made):
-                    out[i] = value
-            yield from rows.append_column(output, pa.array(out, made_type)).combine_chunks().to_batches()
+                lengths = [size(v) for part in parts for v in given(part)]
+                order = sorted(range(rows.num_rows), key=lengths.__getitem__)
+                out = [None] * len(order)
+                for start in range(0, len(order), batch_size):
+                    places = order[start : start + batch_size]
+                    for i, value in zip(places, called(given(rows.take(pa.array(places, pa.int64()))))):
+                        out[i] = value
+                yield from rows.append_column(output, pa.array(out, made_type)).combine_chunks().to_batches()
+                return
+            for part in parts:
+                values, out = given(part), []
+                for start in range(0, len(values), batch_size):
+                    out += called(values[start : start + batch_size])
+                yield from part.append_column(output, pa.array(out, made_type)).combine_chunks().to_batches()
 
         held = None
         for batch in batches:
@@ -90,7 +105,9 @@ def batch_infer(
             whole = held.num_rows - held.num_rows % batch_size
             if whole:
                 yield from answer(held.slice(0, whole))
-                held = held.slice(whole)
+                # A copy of the few rows left, so that the Arrow batch they came in can go.
+                held = held.take(pa.array(range(whole, held.num_rows), pa.int64()))
+            del batch, new
         if held is not None and held.num_rows:
             yield from answer(held)
 

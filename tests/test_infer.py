@@ -100,3 +100,22 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         ).awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("sentence", "generated_amr").collect())
     assert got == [("s1", "(s / size :n 1)"), ("s2", "(s / size :n 1)")]
+
+
+def test_few_inputs_are_python_values_at_a_time(spark):
+    """However many rows an Arrow batch has, a task turns only some of them into Python values at once."""
+
+    def load():
+        import gc
+
+        def count(batch):
+            alive = sum(isinstance(x, list) and len(x) > 1000 and isinstance(x[0], str) and x[0].startswith("~~")
+                        for x in gc.get_objects())
+            return [alive] * len(batch)
+
+        return count
+
+    df = spark.range(0, 5000, numPartitions=1).withColumn("s", F.concat(F.lit("~~"), "id"))
+    for by_length in (False, True):
+        rows = batch_infer(df, load, "s", "n", output_type="int", batch_size=500, by_length=by_length).collect()
+        assert [r.id for r in rows] == list(range(5000)) and {r.n for r in rows} == {0}

@@ -131,20 +131,22 @@ def completion_labels(ids: Column | str, templates: list[list[int]], ignore: int
     that ends last counts.  Without a template in it a row is left out of the loss as a whole.
     """
     ids = as_column(ids)
+    size = F.size(ids)
 
-    def ends(template: list[int]) -> Column:
-        wanted = F.array(*map(F.lit, template))
-        # The first id decides for nearly all places.
-        return F.transform(
-            F.filter(
-                F.sequence(F.lit(0), F.size(ids) - 1),
-                lambda i: (F.get(ids, i) == template[0]) & (F.slice(ids, i + 1, len(template)) == wanted),
-            ),
-            lambda i: i + len(template),
-        )
-
-    last = F.array_max(F.concat(*[ends(t) for t in templates if t]))
-    # One-element transform: the search runs once, not for every id.
-    found = F.get(F.transform(F.array(last), lambda end: F.transform(
-        ids, lambda x, i: F.when(end.isNull() | (i < end), ignore).otherwise(x))), 0)
-    return F.when(F.size(ids) > 0, found).otherwise(ids)
+    def bound(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)  # worked out once, however often it is used
+
+    def left(text: Column, template: list[int]) -> Column:
+        """Ids behind the last place of the template: blanks behind it; more than all ids without one."""
+        tail = F.substring_index(text, f" {' '.join(map(str, template))} ", -1)
+        return bound(tail, lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))))
+
+    def least(text: Column) -> Column:
+        return F.array_min(F.array(size + 1, *[left(text, t) for t in templates if t]))
+
+    # The search is one of bytes: ids as text, each between blanks.
+    blank = F.lit(" ")
+    text = F.concat(blank, F.array_join(ids.cast("array<string>"), " ", "_"), blank)
+    found = bound(bound(text, least), lambda n: F.when(n > size, F.array_repeat(F.lit(ignore), size)).otherwise(
+        F.concat(F.array_repeat(F.lit(ignore), size - n), F.slice(ids, size - n + 1, n))))
+    return F.when(size > 0, found).otherwise(ids)

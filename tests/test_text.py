@@ -159,3 +159,14 @@ def test_completion_labels(spark):
         0: [n] * 6 + [3, 4], 1: [n, n], 2: [n] * 3, 3: [], 4: None, 5: [n, n, n, 9], 6: [n] * 5, 7: [n] * 5 + [2],
         8: [n, n],
     }
+
+
+def test_completion_labels_look_at_no_id_by_itself(spark):
+    """The search is one of bytes, without a function called for each id."""
+    rows = [(0, [7, None, 8, 7, 8, None, 9]), (1, [None, None]), (2, [7, 7, 7, 78, 8]), (3, [17, 8, 7, 81])]
+    df = spark.createDataFrame(rows, "i int, ids array<int>")
+    made = df.select("i", X.completion_labels("ids", [[7, 8], [7, 7]]).alias("v"))
+    n = -100
+    assert {r.i: r.v for r in made.collect()} == {0: [n] * 5 + [None, 9], 1: [n, n], 2: [n, n, n, 78, 8], 3: [n] * 4}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "filter(" not in plan

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +139,19 @@ class PieceCache:
         if len(self.table) > self.limit:
             self.clear()
         known = len(self.table)
-        parts = [numbered(self.table, items) for items in lists]
+        sizes = []
+
+        def measured():
+            for items in lists:
+                sizes.append(len(items))
+                yield items
+
+        # One pass over all items: lists are short and many where chunks are cut into words.
+        flow = chain.from_iterable(measured())
+        words = np.fromiter(map(self.table.__getitem__, flow), np.int64)
         if len(self.table) > known:
             self._add(list(islice(self.table, known, None)), known)
-        words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         counts = self.counts[words]
-        bounds = starts_of(np.fromiter(map(len, parts), np.int64, len(parts)))
+        bounds = starts_of(np.array(sizes, np.int64))
         total = starts_of(counts)
         return gather(self.flat, self.begins[words], counts), np.diff(total[bounds])

@@ -27,6 +27,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 # How the vocabulary's tokenizer cuts a normalised text into words.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _WORD_END = "</w>"
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))  # words by themselves behind letters
 
 
 def byte_letters() -> list[str]:
@@ -156,6 +157,11 @@ def chunk_cache(words, specials: dict[str, int], chunks=60_000, kept_words=60_00
         return [w.encode() for w in _WORD.findall(form)]
 
     def cut(chunk: bytes) -> list:
+        # Most new chunks are ASCII letters, alone or before one mark: these need no pattern.
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[:-1].isalpha() and chunk[-1:] in _MARKS:
+            return [chunk[:-1].lower(), chunk[-1:]]
         text = chunk.decode()
         if "<|" not in text:
             return plain(text)

@@ -33,6 +33,7 @@ from graphloom.llm.bpe import chunk_cache, kept, read_vocabulary
 from graphloom.session import fresh_path, materialize
 
 BLOCK_IDS = 1 << 18
+LINE = 256
 _BLOCK = (
     "shard int, block int, start long, doc_ids array<long>, lengths array<long>, lanes int, "
     "words binary, states binary, offsets array<long>, crc long"
@@ -48,14 +49,35 @@ def library_cache(data: bytes) -> PieceCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    last = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)  # ids that end a word
+    for token, i in tokenizer.get_vocab().items():
+        last[i] = token.endswith("</w>")
+
+    def one_by_one(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+
     def encode(items: list) -> tuple[np.ndarray, np.ndarray]:
-        texts = [(i if isinstance(i, bytes) else i[0]).decode() for i in items]
-        ids = []
-        for at in range(0, len(texts), 4096):  # the library's own results are large
-            found = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            ids += [e.ids for e in found]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+        """Words go to the library as lines of ``LINE`` words, since a call costs more than a word; where a line
+        has not as many word ends as words, and for raw chunks, each goes by itself."""
+        parts, sizes = [], []
+        for at in range(0, len(items), 16 * LINE):  # the library's own results are large
+            lines = [items[i : i + LINE] for i in range(at, min(at + 16 * LINE, len(items)), LINE)]
+            texts = [[i if isinstance(i, bytes) else i[0] for i in x] for x in lines]
+            made = tokenizer.encode_batch_fast([b" ".join(x).decode() for x in texts], add_special_tokens=False)
+            for line, words, encoding in zip(lines, texts, made, strict=True):
+                ids = np.array(encoding.ids, np.int32)
+                ends = np.flatnonzero(last[ids])
+                if all(isinstance(i, bytes) for i in line) and len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                    counts = np.diff(ends, prepend=-1)
+                else:
+                    ids, counts = one_by_one([w.decode() for w in words])
+                parts.append(ids)
+                sizes.append(counts)
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate(parts), np.concatenate(sizes)
 
     specials = {a["content"]: a["id"] for a in json.loads(data).get("added_tokens", [])}
     return chunk_cache(encode, specials, 600_000, 400_000)

@@ -82,3 +82,23 @@ def test_pipeline_stages_keep_columns_that_clash(spark):
         kept = out.filter("doc_id IS NOT NULL").select(*[f"`{n}`" for n in names]).distinct().collect()
         assert [tuple(r) for r in kept] == [tuple(f"own {n}" for n in names)]
         assert stage(spark, docs.filter("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_words_go_to_the_library_in_lines(monkeypatch):
+    """Ids do not hang on how many words share a call; raw chunks and marks behind words are cut as before."""
+    import public_tokenizers
+
+    from graphloom.llm import token_files
+    from graphloom.llm.bpe import read_vocabulary
+
+    data = read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"w{i}x Word{i}. don't K: a;b İx été? <|endoftext|>.".encode() for i in range(90)] + [b"", b". ..."]
+    made = []
+    for line in (1, 7, 256):
+        monkeypatch.setattr(token_files, "LINE", line)
+        made.append([x.tolist() for x in token_files.library_cache(data).texts(texts)])
+    assert made[0] == made[1] == made[2] and made[0][1][-2] == 0
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_str(data.decode()).encode_batch([t.decode() for t in texts], add_special_tokens=False)
+    assert made[0][0] == [i for e in whole for i in e.ids] and made[0][1] == [len(e.ids) for e in whole]

@@ -18,6 +18,8 @@ import numpy as np
 from graphloom.llm.batches import starts_of
 
 HALF, KEY, STATES = 8, 8, 32
+WIDTH = STATES + 2 * KEY
+SOME = 256  # windows that are worked on at a time, so that a processor's cache holds their arrays
 _D = HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)[None, :]  # distance back to each key
 _FUTURE = _D < 0
 _AT = np.where(_FUTURE, 0, _D)
@@ -81,68 +83,105 @@ class Model:
             at += n
 
     def tables(self) -> dict:
-        """Lookup tables with a last row for places without a token."""
-        pad = lambda x: np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        out = softmax(self.parts["out"])
+        """Lookup tables with a last row for places without a token.  A row of ``inputs`` has the
+        id's states, its key and its query."""
+        parts = self.parts
+        query = parts["query"] / np.float32(np.sqrt(KEY))
+        inputs = np.concatenate([softmax(parts["state"]), parts["key"], query], axis=1)
+        out = np.ones((self.size + 1, STATES), np.float32)
+        out[:-1] = softmax(parts["out"]).T
         return {
-            "query": pad(self.parts["query"]) / np.float32(np.sqrt(KEY)),
-            "key": pad(self.parts["key"]),
-            "state": pad(softmax(self.parts["state"])),
-            "out": np.concatenate([out.T, np.ones((1, STATES), np.float32)]).astype(np.float32),
+            "inputs": np.concatenate([inputs, np.zeros((1, WIDTH), np.float32)]),
+            "out": out,
+            "distance": np.where(_FUTURE, np.float32(-1e9), parts["distance"][_AT]),
         }
 
-    def forward(self, tables: dict, inputs: np.ndarray, targets: np.ndarray) -> dict:
-        q = tables["query"][inputs[:, HALF:]]
-        k = tables["key"][inputs]
-        v = tables["state"][inputs]
-        score = np.matmul(q, k.transpose(0, 2, 1))
-        score += np.where(_FUTURE, np.float32(-1e9), self.parts["distance"][_AT])
+    def forward(self, tables: dict, inputs: np.ndarray, targets: np.ndarray, work: Work | None = None) -> dict:
+        """What the windows come to; arrays of ``work`` hold it until it is used again."""
+        n = len(inputs)
+        work = work or Work(n, tables)
+        found, score, mixed, given = work.found[:n], work.score[:n], work.mixed[:n], work.given[:n]
+        tables["inputs"].take(inputs.astype(np.intp), axis=0, out=found, mode="clip")
+        tables["out"].take(targets.astype(np.intp), axis=0, out=given, mode="clip")
+        v, k, q = found[..., :STATES], found[..., STATES:-KEY], found[:, HALF:, -KEY:]
+        np.matmul(q, k.transpose(0, 2, 1), out=score)
+        score += tables["distance"]
         score += np.where(inputs == self.size, np.float32(-1e9), np.float32(0))[:, None, :]
         # Places without a token see only such places; their outcome is not used.
-        score -= score.max(axis=2, keepdims=True)
+        score -= work.of_each_row(np.maximum, score)
         np.exp(score, out=score)
-        score /= score.sum(axis=2, keepdims=True)
-        mixed = np.matmul(score, v)
-        given = tables["out"][targets]
+        score /= work.of_each_row(np.add, score)
+        np.matmul(score, v, out=mixed)
         p = np.einsum("nik,nik->ni", mixed, given)
         return {"q": q, "k": k, "v": v, "weight": score, "mixed": mixed, "given": given, "p": p}
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
         """Of the mean negative ln probability of the targets."""
         tables = self.tables()
-        f = self.forward(tables, inputs, targets)
-        real = targets != self.size
-        dp = np.where(real, -1 / np.maximum(f["p"], np.float32(1e-20)), np.float32(0))
-        dp *= np.float32(1 / max(1, real.sum()))
-        dmixed = dp[..., None] * f["given"]
-        dgiven = dp[..., None] * f["mixed"]
-        dweight = np.matmul(dmixed, f["v"].transpose(0, 2, 1))
-        dv = np.matmul(f["weight"].transpose(0, 2, 1), dmixed)
-        dscore = f["weight"] * (dweight - (dweight * f["weight"]).sum(axis=2, keepdims=True))
-        dq = np.matmul(dscore, f["k"]) * np.float32(1 / np.sqrt(KEY))
-        dk = np.matmul(dscore.transpose(0, 2, 1), f["q"])
-        per_cell = np.where(_FUTURE, 0, dscore.sum(axis=0))
-        state = tables["state"][:-1]
-        dstate = self._rows(inputs, dv)
-        out = tables["out"][:-1].T
-        dout = self._rows(targets, dgiven).T
+        share = np.float32(1 / max(1, (targets != self.size).sum()))
+        work = Work(min(SOME, len(inputs)), tables)
+        by_input, by_target = Sums(self.size + 1, WIDTH), Sums(self.size + 1, STATES)
+        per_cell = np.zeros(_AT.shape)
+        for i in range(0, len(inputs), SOME):
+            some, aims = inputs[i : i + SOME], targets[i : i + SOME]
+            f = self.forward(tables, some, aims, work)
+            n, weight = len(some), f["weight"]
+            dp = np.where(aims != self.size, -share / np.maximum(f["p"], np.float32(1e-20)), np.float32(0))
+            dmixed, dscore, rows = work.dmixed[:n], work.dscore[:n], work.rows[:n]
+            np.multiply(dp[..., None], f["given"], out=dmixed)
+            np.matmul(dmixed, f["v"].transpose(0, 2, 1), out=dscore)
+            # Of each row the sum of weight times dweight, which is what dp times p is.
+            dscore -= (dp * f["p"])[..., None]
+            dscore *= weight
+            np.matmul(weight.transpose(0, 2, 1), dmixed, out=rows[..., :STATES])
+            np.matmul(dscore.transpose(0, 2, 1), f["q"], out=rows[..., STATES:-KEY])
+            np.matmul(dscore, f["k"], out=rows[:, HALF:, -KEY:])
+            by_input.add(some, rows)
+            by_target.add(aims, np.multiply(dp[..., None], f["mixed"], out=dmixed))
+            per_cell += dscore.sum(axis=0)
+        sums, state = by_input.rows[:-1], tables["inputs"][:-1, :STATES]
+        dstate = sums[:, :STATES]
+        out, dout = tables["out"][:-1].T, by_target.rows[:-1].T
         return {
-            "query": self._rows(inputs[:, HALF:], dq),
-            "key": self._rows(inputs, dk),
-            "distance": np.bincount(_AT.ravel(), per_cell.ravel(), 2 * HALF),
+            "query": sums[:, -KEY:] * np.float32(1 / np.sqrt(KEY)),
+            "key": sums[:, STATES:-KEY],
+            "distance": np.bincount(_AT.ravel(), np.where(_FUTURE, 0, per_cell).ravel(), 2 * HALF),
             "state": state * (dstate - (dstate * state).sum(axis=1, keepdims=True)),
             "out": out * (dout - (dout * out).sum(axis=1, keepdims=True)),
         }
 
-    def _rows(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Sums of the value rows of each id; places without a token fall away."""
-        ids, values = ids.ravel(), values.reshape(ids.size, -1)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        begin = np.flatnonzero(np.diff(ids, prepend=-1))
-        out = np.zeros((self.size + 1, values.shape[1]), np.float32)
-        out[ids[begin]] = np.add.reduceat(values[order], begin, axis=0)
-        return out[:-1]
+
+class Work:
+    """Arrays for ``n`` windows that parts of a batch use one after another: new ones for each part
+    would take the system longer than the arithmetic."""
+
+    def __init__(self, n: int, tables: dict):
+        kind = tables["inputs"].dtype
+        self.found, self.rows = np.empty((n, 2 * HALF, WIDTH), kind), np.zeros((n, 2 * HALF, WIDTH), kind)
+        self.score, self.dscore = np.empty((n, HALF, 2 * HALF), kind), np.empty((n, HALF, 2 * HALF), kind)
+        self.mixed, self.dmixed = np.empty((n, HALF, STATES), kind), np.empty((n, HALF, STATES), kind)
+        self.given = np.empty((n, HALF, STATES), np.float32)
+        self.halves = [np.empty(self.score.size >> i, kind) for i in range(1, (2 * HALF).bit_length())]
+
+    def of_each_row(self, op, score: np.ndarray) -> np.ndarray:
+        """``op`` over the keys of each query, two neighbours at a time."""
+        flat = score.reshape(-1)
+        for half in self.halves:
+            flat = op(flat[0::2], flat[1::2], out=half[: len(flat) // 2])
+        return flat.reshape(-1, HALF, 1)
+
+
+class Sums:
+    """Sums of rows by id, in single precision; two numbers are added at a time, as a complex one."""
+
+    def __init__(self, size: int, width: int):
+        self.rows = np.zeros((size, width), np.float32)
+        self.places = np.arange(size * width // 2).reshape(size, -1)
+
+    def add(self, ids: np.ndarray, values: np.ndarray) -> None:
+        places = self.places.take(ids.ravel(), axis=0).reshape(-1)
+        pairs = values.astype(np.float32, copy=False).reshape(-1).view(np.complex64)
+        np.add.at(self.rows.reshape(-1).view(np.complex64), places, pairs)
 
 
 class Trainer:

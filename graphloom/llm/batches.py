@@ -136,6 +136,10 @@ class PieceCache:
 
     def lists(self, lists: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all lists, ids per list)."""
+        return self.of(*self.numbers(lists))
+
+    def numbers(self, lists: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all items, items per list); they hold until the next call."""
         if len(self.table) > self.limit:
             self.clear()
         known = len(self.table)
@@ -151,7 +155,10 @@ class PieceCache:
         words = np.fromiter(map(self.table.__getitem__, flow), np.int64)
         if len(self.table) > known:
             self._add(list(islice(self.table, known, None)), known)
+        return words, np.array(sizes, np.int64)
+
+    def of(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids of all lists, ids per list) of what :meth:`numbers` gave."""
         counts = self.counts[words]
-        bounds = starts_of(np.array(sizes, np.int64))
         total = starts_of(counts)
-        return gather(self.flat, self.begins[words], counts), np.diff(total[bounds])
+        return gather(self.flat, self.begins[words], counts), np.diff(total[starts_of(sizes)])

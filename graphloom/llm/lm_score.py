@@ -8,16 +8,20 @@ The ``FREQUENT`` most frequent words travel to the tasks as a table; all others
 in a join, so no vocabulary has to fit anywhere.  The attention model trains on every window of
 every training text: blocks of texts are dealt to rounds, and in a round tasks train copies on
 batches of the windows that stream by, ``STEPS`` batches at least; their average starts the next round.
+
+Texts are cut into words and encoded once: blocks of ids serve the training and the scores.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.attention_lm import HALF, Model, Trainer, windows
+from graphloom.llm.attention_lm import HALF, SOME, Model, Trainer, Work, windows
 from graphloom.llm.batches import PieceCache, as_bytes, numbered, numbering, slices, starts_of
 from graphloom.llm.bpe import Bpe, kept, read_vocabulary
 from graphloom.session import materialize
@@ -30,6 +34,8 @@ BLOCK = 1 << 18  # bytes of texts whose ids travel as one row
 ADDERS = 8
 KEPT = 250_000
 END = b" "  # no word between white space can be this
+#: What a block has of each row that asks for a score.
+ASKED = {"row": "long", "doc_id": "long", "n_tokens": "long", "base": "double", "known": "double"}
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -74,20 +80,103 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
     return total
 
 
-def _encoder(path: str, data) -> PieceCache:
-    return kept(("lm", path), lambda: PieceCache(Bpe(data.value, MERGES).words, KEPT))
+def _bpe(path: str, data) -> Bpe:
+    return kept(("lm-bpe", path), lambda: Bpe(data.value, MERGES))
+
+
+class Words(PieceCache):
+    """Encodes words and tells their counts in the training texts; -1: not among the frequent ones."""
+
+    def __init__(self, encode, frequent: dict, limit: int):
+        self.frequent = frequent
+        super().__init__(encode, limit)
 
+    def clear(self) -> None:
+        super().clear()
+        self.names, self.known = [], np.zeros(1 << 14, np.int64)
 
-def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
-    """The attention model of the training texts ``docs(text)`` with their word counts."""
-    context = docs.sparkSession.sparkContext
+    def _add(self, chunks: list[bytes], at: int) -> None:
+        super()._add(chunks, at)
+        self.names += chunks
+        if len(self.names) > len(self.known):
+            self.known = np.resize(self.known, len(self.begins))
+        self.known[at : len(self.names)] = [self.frequent.get(w, -1) for w in chunks]
+
+
+def encoded(texts: DataFrame, counts: DataFrame, path: str) -> DataFrame:
+    """Blocks of the rows of ``texts(doc_id, text, learned, asked)``, learned ones and others apart.
+
+    ``n`` windows; ``ids`` and ids per text (``counts``); and of each asked row a number of its own, its id,
+    its tokens, how many are known and the sum of log10(c + 1), without the words in ``rare``.
+    """
+    context = texts.sparkSession.sparkContext
+    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT + 1).collect()  # a bounded number
+    all_frequent = len(top) <= FREQUENT
+    frequent = context.broadcast({bytes(r["word"]): int(r["c"]) for r in top[:FREQUENT]})
+    data = context.broadcast(read_vocabulary(path))
+
+    def block(cache, part, first):
+        lists = [t.lower().split() for t in as_bytes(part.column(1))]
+        numbers, words = cache.numbers(lists)
+        flat, per_text = cache.of(numbers, words)
+        asked = np.asarray(part.column(3).to_pylist(), bool)
+        # The tokens of a text are its words and one end.
+        owner = np.repeat(np.arange(len(words)), words + 1)
+        is_word = np.ones(len(owner), bool)
+        is_word[np.cumsum(words + 1) - 1] = False
+        number = np.full(len(owner), -1)
+        number[is_word] = numbers
+        c = np.full(len(owner), cache.frequent.get(END, -1))
+        c[is_word] = cache.known[numbers]
+        c = np.maximum(c, 0) if all_frequent else c
+        sure = c >= 0
+        # Whole numbers come back where nothing is counted.
+        base = np.bincount(owner[sure], np.log10(c[sure] + 1.0), len(words)).astype(float)
+        seen = np.bincount(owner[sure], c[sure] > 0, len(words)).astype(float)
+        rest = np.flatnonzero(~sure & asked[owner])
+        bounds = np.searchsorted(owner[rest], np.append(np.flatnonzero(asked), len(words)))
+        names = [cache.names[i] if i >= 0 else END for i in number[rest].tolist()]
+        rare = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(names, pa.binary()))
+        row = first + np.arange(asked.sum())
+        doc_id = part.column(0).filter(pa.array(asked))
+        found = [pa.array(row), doc_id, *(pa.array(x[asked]) for x in (words + 1, base, seen)), rare]
+        whole = pa.array([0, len(row)], pa.int32())
+        arrays = [
+            pa.array([part.column(2)[0].as_py()], pa.bool_()),
+            pa.array([int((-(-(per_text + 1) // HALF)).sum())], pa.int64()),
+            pa.array([flat.astype(np.uint16).tobytes()], pa.binary()),
+            pa.array([per_text.astype(np.int64).tobytes()], pa.binary()),
+            *(pa.ListArray.from_arrays(whole, values) for values in found),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["learned", "n", "ids", "counts", *ASKED, "rare"])
+
+    def run(batches):
+        cache, first = None, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            # Of this task alone: later stages have no use for it.
+            cache = cache or Words(_bpe(path, data).words, frequent.value, KEPT)
+            for learned in (True, False):
+                some = batch.filter(pc.equal(batch.column(2), learned))
+                for part in slices(some, 1, BLOCK):
+                    yield block(cache, part, first)
+                    first += part.num_rows
+
+    kinds = ", ".join(f"{name} array<{kind}>" for name, kind in ASKED.items())
+    rows = texts.select("doc_id", "text", "learned", "asked")
+    schema = f"learned boolean, n long, ids binary, counts binary, {kinds}, rare array<array<binary>>"
+    return materialize(rows.mapInArrow(run, schema), "ids")
+
+
+def train(blocks: DataFrame, counts: DataFrame, path: str) -> Model:
+    """The attention model of the learned ``blocks`` of :func:`encoded` and the word counts."""
+    context = blocks.sparkSession.sparkContext
     raw = read_vocabulary(path)
     data = context.broadcast(raw)
     end = Bpe(raw, MERGES).product.max(initial=511) + 1
     model = Model(int(end) + 1)
 
     def ids_of_words(batches):
-        bpe = kept(("lm-bpe", path), lambda: Bpe(data.value, MERGES))
+        bpe = _bpe(path, data)
         total = np.zeros(end + 1)
         for batch in batches:
             words, n = as_bytes(batch.column(0)), np.asarray(batch.column(1), float)
@@ -100,22 +189,7 @@ def train(docs: DataFrame, counts: DataFrame, path: str) -> Model:
     uses = _summed(counts.select("word", "c").mapInArrow(ids_of_words, "vector binary"), end + 1) + 0.5
     model.parts["out"] += np.log(uses / uses.sum()).astype(np.float32)
 
-    def cut(batches):
-        cache = _encoder(path, data)
-        for batch in batches:
-            for part in slices(batch, 0, BLOCK):
-                flat, per_text = cache.texts([t.lower() for t in as_bytes(part.column(0))])
-                n = int((-(-(np.asarray(per_text) + 1) // HALF)).sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([np.asarray(flat).astype(np.uint16).tobytes()], pa.binary()),
-                        pa.array([np.asarray(per_text).astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([n], pa.int64()),
-                    ],
-                    names=["ids", "counts", "n"],
-                )
-
-    rows = materialize(docs.select("text").mapInArrow(cut, "ids binary, counts binary, n long"), "ids")
+    rows = blocks.filter("learned").select("ids", "counts", "n")
     many = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, many // (ROUNDS * HELD))
     rows = rows.drop("n").withColumn("turn", F.pmod(F.xxhash64("ids"), F.lit(ROUNDS)))
@@ -174,84 +248,53 @@ def _streamed(batches, end: int, turn: int = 0, shares: int = 1):
         yield np.concatenate(held)
 
 
-def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"):
+def score_texts(
+    docs: DataFrame, train_docs: DataFrame | Column, path: str, doc_id: str = "doc_id", text: str = "text"
+):
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
-    Tokens are lower-cased (A-Z) words between ASCII white space and one end per text; null counts
+    ``train_docs`` is a table of its own or a condition on ``docs``, whose rows are then encoded once
+    for both.  Tokens are lower-cased (A-Z) words between ASCII white space and one end per text; null counts
     as empty.  ``base_score`` is the sum of log10((c + 1) / (N + V + 1)), ``score`` the log10
     probability by the attention model alone.  Without training texts all counts are 0 and the model is its
     random start.  Repeated rows are scored each for itself; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    learned = train_docs.select(F.col(text).alias("text"))
-    counts = materialize(word_counts(learned), "word-counts")
+    ids, learned = F.col(doc_id).cast("long").alias("doc_id"), F.lit(False)
+    if isinstance(train_docs, Column):
+        learned = F.coalesce(train_docs, F.lit(False))
+    rows = docs.select(ids, F.col(text).alias("text"), learned.alias("learned"), F.lit(True).alias("asked"))
+    if not isinstance(train_docs, Column):
+        more = [F.lit(None).cast("long"), F.col(text), F.lit(True), F.lit(False)]
+        rows = rows.union(train_docs.select(*more))
+    counts = materialize(word_counts(rows.filter("learned")), "word-counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    model = train(learned, counts, path)
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # a bounded number
-    frequent = {bytes(r["word"]): int(r["c"]) for r in top}
-    context = spark.sparkContext
-    data = context.broadcast(read_vocabulary(path))
-    shared = context.broadcast((model, frequent))
-    all_frequent = distinct <= FREQUENT
+    blocks = encoded(rows, counts, path)
+    shared = docs.sparkSession.sparkContext.broadcast(train(blocks, counts, path))
 
     def run(batches):
-        model, frequent = shared.value
+        model = shared.value
         tables = model.tables()
-        cache = _encoder(path, data)
-        end = model.size - 1
+        work = Work(SOME, tables)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
-                texts = [t.lower() for t in as_bytes(part.column(1))]
-                flat, per_text = cache.texts(texts)
-                table = numbering()
-                found = [numbered(table, t.split()) for t in texts]
-                words = np.fromiter(map(len, found), np.int64, len(found))
-                log_p = _token_log10(model, tables, flat, per_text, end)
-                # Sums over each word's ids; the last token of a text is its end.
-                pieces = np.array([cache.counts[cache.table[w]] for w in table], np.int64)
-                lists = [np.append(pieces[f], 1) for f in found]
-                sizes = np.concatenate(lists)
-                word_log = np.add.reduceat(log_p, starts_of(sizes)[:-1])
-                end_code = table[END]
-                code = np.concatenate([np.append(f, end_code) for f in found])
-                c = np.fromiter((frequent.get(w, -1) for w in table), np.int64, len(table))
-                known = c[code] if not all_frequent else np.maximum(c[code], 0)
-                owner = np.repeat(np.arange(len(texts)), words + 1)
-                sure = known >= 0
-                base, model_sum, seen = (
-                    np.bincount(owner[at], v[at], len(texts))
-                    for at, v in (
-                        (sure, np.log10(np.maximum(known, 0) + 1.0)),
-                        (slice(None), word_log),
-                        (sure, (known > 0).astype(float)),
-                    )
-                )
-                rest = np.flatnonzero(~sure)
-                bounds = pa.array(np.searchsorted(owner[rest], np.arange(len(texts) + 1)).astype(np.int32))
-                names = list(table)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(words + 1),
-                        *map(pa.array, (base, model_sum, seen)),
-                        pa.ListArray.from_arrays(
-                            bounds, pa.array([names[i] for i in code[rest]], pa.binary())
-                        ),
-                    ],
-                    names=["doc_id", "n_tokens", "base", "model", "known", "rare"],
-                )
-
-    schema = "doc_id long, n_tokens long, base double, model double, known double, rare array<binary>"
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode("rare").alias("word"))
+            for i in range(batch.num_rows):
+                flat, per_text = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((0, np.uint16), (1, np.int64)))
+                log_p = _token_log10(model, tables, work, flat, per_text)
+                sums = np.add.reduceat(log_p, starts_of(per_text + 1)[:-1])
+                found = [batch.column(k)[i].values for k in range(2, 2 + len(ASKED))]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(sums)], names=[*ASKED, "model"])
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in ASKED.items()) + ", model double"
+    asked = blocks.filter(F.size("row") > 0)
+    rows = asked.select("ids", "counts", *ASKED).mapInArrow(run, schema)
+    each = asked.select(F.explode(F.arrays_zip("row", "rare")).alias("of"))
+    rare = each.select(F.col("of.row").alias("row"), F.explode("of.rare").alias("word"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("row").agg(
         F.sum(F.log10(F.col("c") + 1.0)).alias("base2"),
         F.sum((F.col("c") > 0).cast("long")).alias("known2"),
     )
-    out = rows.drop("rare").join(more, "row", "left")
+    out = rows.join(more, "row", "left")
     zero = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(
         "doc_id", "n_tokens",
@@ -262,11 +305,11 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, path: str, doc_id: str =
     )
 
 
-def _token_log10(model: Model, tables: dict, flat, per_text, end) -> np.ndarray:
+def _token_log10(model: Model, tables: dict, work: Work, flat, per_text) -> np.ndarray:
     """log10 probabilities of all ids and ends, text by text."""
-    inputs, targets, _ = windows(flat, per_text, end)
+    inputs, targets, _ = windows(flat.astype(np.int32), per_text, model.size - 1)
     out = np.zeros(targets.shape)
-    for i in range(0, len(inputs), 1024):
-        p = model.forward(tables, inputs[i : i + 1024], targets[i : i + 1024])["p"]
-        out[i : i + 1024] = np.log10(np.maximum(p.astype(float), 1e-30))
+    for i in range(0, len(inputs), SOME):
+        p = model.forward(tables, inputs[i : i + SOME], targets[i : i + SOME], work)["p"]
+        out[i : i + SOME] = np.log10(np.maximum(p.astype(float), 1e-30))
     return out[targets != model.size]

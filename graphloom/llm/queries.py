@@ -149,7 +149,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of every document, learned from those whose remainder by 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(7) == 2
-    scored = score_texts(docs, docs.filter(~held_out), WORD_BPE)
+    scored = score_texts(docs, ~held_out, WORD_BPE)
     return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
 
 

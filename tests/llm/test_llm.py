@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import ngram_join, rans
+from graphloom.llm import lm_score, ngram_join, rans
 from graphloom.llm.attention_lm import Model, windows
 from graphloom.llm.bpe import decode_ids, encode_texts
 from graphloom.llm.chat import link_calls
@@ -200,6 +202,39 @@ def test_lm_context_moves_frequent_words(spark):
     assert got[0]["score"] > got[1]["score"] + 0.5 * got[0]["n_tokens"]
 
 
+def test_lm_condition_is_a_table(docs):
+    """Rows that teach may be named by a condition; other rows, also repeated ones, are scored as well."""
+    taught = F.col("doc_id") < 9
+    want, got = (
+        sorted(map(repr, score_texts(docs, by, WORD_BPE).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6)).collect()))
+        for by in (docs.filter(taught), taught)
+    )
+    assert got == want and len(got) == docs.count()
+
+
+def test_lm_rare_words_meet_their_counts(spark, monkeypatch):
+    """With hardly any word in the tasks' table the rest comes by the join, each row's for itself."""
+    monkeypatch.setattr(lm_score, "FREQUENT", 1)
+    docs = spark.createDataFrame([(1, "a b b"), (1, "a b b"), (2, "c"), (None, "a zz")], "doc_id long, text string")
+    rows = score_texts(docs, F.col("doc_id") < 3, WORD_BPE).collect()  # 4 a and b, 2 a, 1 c, 3 ends: N 10, V 4
+    log = lambda *c: sum(math.log10((x + 1) / 15) for x in c)
+    want = {1: (4, 4, log(2, 4, 4, 3)), 2: (2, 2, log(1, 3)), None: (3, 2, log(2, 0, 3))}
+    assert len(rows) == 4
+    for r in rows:
+        assert (r["n_tokens"], r["n_known"], r["base_score"]) == pytest.approx(want[r["doc_id"]])
+
+
+def test_lm_step_takes_bounded_memory():
+    """A step of 4,096 windows holds the arrays of a part of them."""
+    model, rng = Model(500), np.random.default_rng(5)
+    x, y = rng.integers(0, 500, (4096, 16)), rng.integers(0, 500, (4096, 8))
+    tracemalloc.start()
+    model.gradients(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+
+
 def test_lm_gradients():
     model = Model(30)
     rng = np.random.default_rng(2)

@@ -39,6 +39,35 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def values_of(pieces: pa.StringArray) -> list[bytes]:
+    """The values of a column without nulls and blanks: all as one, then cut, not a scalar for each."""
+    if not len(pieces):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return pc.binary_join(whole, " ")[0].as_buffer().to_pybytes().split(b" ")
+
+
+def chunks(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Pieces of texts between ASCII white space: (number of each piece, pieces per text, distinct pieces).
+
+    Null counts as empty; ``lower`` makes A-Z small.
+    """
+    texts = pc.fill_null(column.cast(pa.binary()), b"").view(pa.string())
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+    pieces = found.flatten().dictionary_encode()
+    numbers, names = pieces.indices.to_numpy(zero_copy_only=False), pieces.dictionary
+    distinct = values_of(names)
+    empty = pc.index(names, "").as_py()  # white space at an end of a text leaves an empty piece there
+    if empty >= 0:
+        gone = numbers == empty
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[gone], minlength=len(sizes))
+        numbers = numbers[~gone]
+        numbers = numbers - (numbers > empty)
+        del distinct[empty]
+    return numbers, sizes, distinct
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -54,10 +83,12 @@ def append_columns(
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
     n = len(kept)
-    # The first input decides the slices, so it has to be text or binary.
+    # An input that passes through travels once.
+    more = [c for c in dict.fromkeys(inputs) if c not in kept]
+    at = [([*kept, *more]).index(c) for c in inputs]
     wide = df.select(
         *[F.col(f"`{c}`") for c in kept],
-        *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)],
+        *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(more)],
     )
     schema = T.StructType([*wide.schema.fields[:n], *fields])
     names = [f.name for f in schema.fields]
@@ -65,9 +96,10 @@ def append_columns(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in slices(batch, n, limit):
+            # The first input decides the slices, so it has to be text or binary.
+            for part in slices(batch, at[0], limit):
                 work = work or make()
-                made = work(part.columns[n:])
+                made = work([part.columns[i] for i in at])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)
 
     return wide.mapInArrow(run, schema)
@@ -130,9 +162,20 @@ class PieceCache:
         self.begins[at:end] = self.used + starts_of(counts)[:-1]
         self.used += len(ids)
 
-    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all texts, ids per text); items are the chunks between ASCII white space."""
-        return self.lists(t.split() for t in texts)
+        return self.of(*self.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())))
+
+    def cut(self, texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the chunks of all texts, chunks per text); they hold until the next call."""
+        if len(self.table) > self.limit:
+            self.clear()
+        known = len(self.table)
+        found, sizes, items = chunks(texts, lower)
+        numbers = numbered(self.table, items)
+        if len(self.table) > known:
+            self._add(list(islice(self.table, known, None)), known)
+        return numbers[found], sizes
 
     def lists(self, lists: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all lists, ids per list)."""

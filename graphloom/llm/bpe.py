@@ -15,11 +15,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import PieceCache, append_columns, as_bytes, gather, starts_of
+from graphloom.llm.batches import PieceCache, append_columns, as_bytes, gather, starts_of, values_of
 
 SLICE = 1 << 20  # bytes of texts or ids worked on at a time
 _NONE = np.int32(2**31 - 1)
@@ -27,7 +28,9 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 # How the vocabulary's tokenizer cuts a normalised text into words.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _WORD_END = "</w>"
-_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))  # words by themselves behind letters
+_MARKS = ".,;:!?"  # words by themselves behind letters
+# Letters whose normal form is one small letter, then at most one mark.
+_PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+[.,;:!?]?\z"
 
 
 def byte_letters() -> list[str]:
@@ -157,11 +160,6 @@ def chunk_cache(words, specials: dict[str, int], chunks=60_000, kept_words=60_00
         return [w.encode() for w in _WORD.findall(form)]
 
     def cut(chunk: bytes) -> list:
-        # Most new chunks are ASCII letters, alone or before one mark: these need no pattern.
-        if chunk.isalpha():
-            return [chunk.lower()]
-        if chunk[:-1].isalpha() and chunk[-1:] in _MARKS:
-            return [chunk[:-1].lower(), chunk[-1:]]
         text = chunk.decode()
         if "<|" not in text:
             return plain(text)
@@ -184,7 +182,31 @@ def chunk_cache(words, specials: dict[str, int], chunks=60_000, kept_words=60_00
         return gather(np.concatenate([ids, extra]), begins, size), size
 
     inner = PieceCache(encode, kept_words)
-    return PieceCache(lambda new: inner.lists(map(cut, new)), chunks)
+
+    def encode_chunks(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Latin letters, alone or before one mark, become words without a function for each chunk."""
+        column = pa.array(new, pa.binary()).view(pa.string())
+        plain = pc.match_substring_regex(column, _PLAIN)
+        letters = pc.utf8_lower(column.filter(plain))
+        stems = pc.ascii_rtrim(letters, _MARKS)
+        marked = pc.not_equal(pc.binary_length(letters), pc.binary_length(stems))
+        marks = pc.utf8_slice_codeunits(letters.filter(marked), -1)
+        names = pa.concat_arrays([stems, marks]).dictionary_encode()
+        plain, marked = (x.to_numpy(zero_copy_only=False) for x in (plain, marked))
+        rest = [cut(new[i]) for i in np.flatnonzero(~plain).tolist()]
+        numbers, sizes = inner.numbers([values_of(names.dictionary), *rest])
+        found = numbers[names.indices.to_numpy(zero_copy_only=False)]
+        pieces = np.ones(len(new), np.int64)
+        pieces[plain] += marked
+        pieces[~plain] = sizes[1:]
+        at, whole = starts_of(pieces), np.repeat(plain, pieces)
+        words = np.zeros(at[-1], np.int64)
+        words[at[:-1][plain]] = found[: len(stems)]
+        words[at[:-1][plain][marked] + 1] = found[len(stems) :]
+        words[~whole] = numbers[sizes[0] :]
+        return inner.of(words, pieces)
+
+    return PieceCache(encode_chunks, chunks)
 
 
 _KEPT: dict = {}
@@ -220,7 +242,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
         cache = kept(("bpe", path), cache_of)
 
         def work(columns):
-            flat, counts = cache.texts(as_bytes(columns[0]))
+            flat, counts = cache.texts(columns[0])
             raw = flat.astype("<u4").tobytes()
             offsets = pa.py_buffer((starts_of(counts) * 4).astype(np.int32).tobytes())
             out = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(raw)])

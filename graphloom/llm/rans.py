@@ -11,8 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 SCALE = 20  # the frequencies of a table add up to 2 ** SCALE
-_LOW = np.uint64(1 << 31)
-_WORD = np.uint64(32)
+# States lie in [2 ** 31, 2 ** 63), so signed numbers hold them, and index arrays without a conversion.
+_LOW = np.int64(1 << 31)
+_WORD = np.int64(32)
 STRIDE = 256
 
 
@@ -51,9 +52,9 @@ class Table:
     """Frequencies with their cumulative sums and the symbol of each slot."""
 
     def __init__(self, frequencies: np.ndarray):
-        self.freq = frequencies.astype(np.uint64)
-        self.base = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies)
+        self.freq = frequencies.astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.int64)
+        self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.int32), frequencies)
 
 
 def lanes_for(n: int) -> int:
@@ -70,30 +71,34 @@ def encode(symbols: np.ndarray, table: Table) -> dict:
     padded[:n] = symbols
     freq = table.freq[padded].reshape(steps, lanes)
     base = table.base[padded].reshape(steps, lanes)
+    limit, rest = freq << np.int64(31 - SCALE + 32), np.int64(1 << SCALE) - freq
     state = np.full(lanes, _LOW)
-    limit_shift = np.uint64(31 - SCALE + 32)
-    scale = np.uint64(SCALE)
     emitted: list[np.ndarray] = []
     sizes = np.zeros(steps + 1, np.int64)
     states = []
-    for step in range(steps - 1, -1, -1):
-        used = n - step * lanes if step == steps - 1 else lanes
-        f, x = freq[step, :used], state[:used]
-        full = x >= (f << limit_shift)
-        emitted.append(x[full].astype(np.uint32))
+    for step, f, most, r, b in zip(range(steps - 1, -1, -1), freq[::-1], limit[::-1], rest[::-1], base[::-1]):
+        x = state
+        if step == steps - 1:
+            used = n - step * lanes
+            x, f, most, r, b = (y[:used] for y in (x, f, most, r, b))
+        full = x >= most
+        emitted.append(x[full])
         sizes[step] = len(emitted[-1])
-        x = np.where(full, x >> _WORD, x)
+        np.right_shift(x, _WORD, out=x, where=full)
+        # The quotient times 2 ** SCALE, the remainder and the base.
         quotient = x // f
-        state[:used] = (quotient << scale) + (x - quotient * f) + base[step, :used]
+        quotient *= r
+        x += quotient
+        x += b
         if step % STRIDE == 0:
             states.append(state.copy())
-    words = np.concatenate(emitted[::-1]) if emitted else np.zeros(0, np.uint32)
+    words = np.concatenate(emitted[::-1]).astype(np.uint32) if emitted else np.zeros(0, np.uint32)
     before = np.concatenate([[0], np.cumsum(sizes[:-1])])
     return {
         "n": n,
         "lanes": lanes,
         "words": words,
-        "states": np.array(states[::-1], np.uint64).reshape(-1, lanes),
+        "states": np.array(states[::-1], np.int64).astype(np.uint64).reshape(-1, lanes),
         "offsets": before[0:steps:STRIDE].astype(np.int64),
     }
 
@@ -105,27 +110,30 @@ def decode(n, lanes, words, states, offsets, table: Table) -> np.ndarray:
     steps = -(-n // lanes)
     stretches = len(offsets)
     out = np.zeros((stretches, STRIDE, lanes), np.uint32)
-    state = states.copy()  # stretches x lanes
+    state = states.astype(np.int64)  # stretches x lanes
     at = np.asarray(offsets, np.int64).copy()
-    mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
-    words = np.concatenate([words, np.zeros(1, np.uint32)])
+    mask, scale = np.int64((1 << SCALE) - 1), np.int64(SCALE)
+    words = np.asarray(words).astype(np.int64)
     rest = steps - (stretches - 1) * STRIDE  # steps of the last stretch
     tail = n - (steps - 1) * lanes  # lanes in use in the last step
     for k in range(min(STRIDE, steps)):
         live = stretches if k < rest else stretches - 1
         x = state[:live]
+        idle = x[-1, tail:].copy() if k == rest - 1 and tail < lanes else None
         slot = x & mask
-        symbol = table.symbol[slot]
+        symbol = table.symbol.take(slot)
         out[:live, k] = symbol
-        if k == rest - 1 and tail < lanes:
-            moved = table.freq[symbol] * (x >> scale) + slot - table.base[symbol]
-            moved[-1, tail:] = x[-1, tail:]  # they hold no symbol in this step
-        else:
-            moved = table.freq[symbol] * (x >> scale) + slot - table.base[symbol]
-        need = moved < _LOW
+        x >>= scale
+        x *= table.freq.take(symbol)
+        x += slot
+        x -= table.base.take(symbol)
+        if idle is not None:
+            x[-1, tail:] = idle  # they hold no symbol in this step
+        need = x < _LOW
         counts = need.sum(axis=1)
-        place = at[:live, None] + np.cumsum(need, axis=1) - 1
-        fetched = (moved << _WORD) | words[np.where(need, place, -1)]
-        state[:live] = np.where(need, fetched, moved)
+        flat, short = x.reshape(-1), np.flatnonzero(need)
+        before = np.cumsum(counts) - counts
+        place = np.arange(len(short)) + np.repeat(at[:live] - before, counts)
+        flat[short] = (flat[short] << _WORD) | words.take(place)
         at[:live] += counts
     return out.reshape(-1, lanes)[:steps].reshape(-1)[:n]

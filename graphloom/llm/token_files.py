@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import rans
-from graphloom.llm.batches import PieceCache, append_columns, as_bytes, slices, starts_of
+from graphloom.llm.batches import PieceCache, append_columns, slices, starts_of
 from graphloom.llm.bpe import chunk_cache, kept, read_vocabulary
 from graphloom.session import fresh_path, materialize
 
@@ -80,7 +80,7 @@ def library_cache(data: bytes) -> PieceCache:
         return np.concatenate(parts), np.concatenate(sizes)
 
     specials = {a["content"]: a["id"] for a in json.loads(data).get("added_tokens", [])}
-    return chunk_cache(encode, specials, 600_000, 400_000)
+    return chunk_cache(encode, specials, 450_000, 300_000)
 
 
 _PACK = pa.Codec("zstd", 1)
@@ -112,12 +112,12 @@ def tokenize(
         cache = kept(("library", path), lambda: library_cache(data.value))
 
         def work(columns):
-            flat, counts = cache.texts(as_bytes(columns[0]))
-            bounds = starts_of(counts)
-            out = []
-            for i in range(len(counts)):
-                ids = np.append(flat[bounds[i] : bounds[i + 1]], np.int32(end_id))
-                out.append(packed(ids))
+            flat, counts = cache.texts(columns[0])
+            at = starts_of(counts + 1)
+            ids, inside = np.full(at[-1], end_id, np.int32), np.ones(at[-1], bool)
+            inside[at[1:] - 1] = False
+            ids[inside] = flat
+            out = [packed(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             return [pa.array(counts + 1, pa.int64()), pa.array(out, pa.binary())]
 
         return work

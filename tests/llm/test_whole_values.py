@@ -102,3 +102,36 @@ def test_words_go_to_the_library_in_lines(monkeypatch):
 
     whole = Tokenizer.from_str(data.decode()).encode_batch([t.decode() for t in texts], add_special_tokens=False)
     assert made[0][0] == [i for e in whole for i in e.ids] and made[0][1] == [len(e.ids) for e in whole]
+
+
+def test_chunks_are_those_between_white_space():
+    """As ``bytes.split`` cuts, for nulls, white space at the ends and bytes that only look like it."""
+    import pyarrow as pa
+
+    from graphloom.llm.batches import chunks
+
+    texts = [" a\tB\n c ", None, "", "  ", "é\xa0x\x0bq\x1cz\x85 k", "a B", "c\r\nc", "İ K a"]
+    for some in (texts, texts[1:3], ["", "x"], ["x", None], []):
+        for lower in (False, True):
+            raw = [(t or "").encode() for t in some]
+            numbers, sizes, pieces = chunks(pa.array(some, pa.string()), lower)
+            want = [(t.lower() if lower else t).split() for t in raw]
+            assert sizes.tolist() == [len(w) for w in want] and len(set(pieces)) == len(pieces)
+            assert [pieces[i] for i in numbers.tolist()] == [c for w in want for c in w]
+
+
+def test_latin_words_need_no_pattern(monkeypatch):
+    """Letters, alone or before one mark, were cut one by one by the pattern if they were not ASCII."""
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import bpe, token_files
+
+    texts = ["Été, straße. ŁÓDŹ naïve! Ǆ ȺB? Plain word: x;", "été Été étÉ,"]
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "_WORD", None)
+    data = read_vocabulary(WORD_BPE)
+    coder = bpe.Bpe(data)
+    for cache in (token_files.library_cache(data), bpe.chunk_cache(coder.raw_or_words, coder.specials)):
+        flat, counts = cache.texts([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want

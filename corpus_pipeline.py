@@ -28,8 +28,12 @@ def _whole(docs: DataFrame) -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier predicts as good."""
-    rows = docs.select(_whole(docs), "doc_id", "text")
-    return score_quality(rows, taught_labels(spark, sf_dir)).filter("predicted = 1").select("row.*")
+    # By place, so that no name can clash with a new one; the text travels once.
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    labels = taught_labels(spark, sf_dir).withColumnRenamed("doc_id", names["doc_id"])
+    good = score_quality(rows, labels, names["doc_id"], names["text"]).filter("predicted = 1")
+    return good.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

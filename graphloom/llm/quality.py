@@ -22,6 +22,7 @@ from graphloom.session import materialize
 
 FEATURES, RIDGE, SEED, BINS, FOLDS = 256, 1e-3, 7, 2000, 4
 THRESHOLD = 0.7
+SLICE = 1 << 19  # bytes of texts worked on at a time: some 30 bytes of arrays for each
 ADDERS = 32  # tasks of the second round of sums
 _CLASS = np.zeros(256, np.int64)
 for _name, _codes in enumerate(
@@ -82,7 +83,7 @@ def with_statistics(df: DataFrame, text: str, out: str = "statistics") -> DataFr
 
         return work
 
-    return append_columns(df, [text], [T.StructField(out, T.ArrayType(T.DoubleType()))], make)
+    return append_columns(df, [text], [T.StructField(out, T.ArrayType(T.DoubleType()))], make, SLICE)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -239,4 +240,4 @@ def score_quality(
         return work
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return append_columns(docs, [text], fields, make)
+    return append_columns(docs, [text], fields, make, SLICE)

@@ -135,3 +135,24 @@ def test_latin_words_need_no_pattern(monkeypatch):
     for cache in (token_files.library_cache(data), bpe.chunk_cache(coder.raw_or_words, coder.specials)):
         flat, counts = cache.texts([t.encode() for t in texts])
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+
+
+def test_texts_travel_once(spark, monkeypatch):
+    """Texts went to the tasks twice, and three times in the first stage of the pipeline."""
+    import corpus_pipeline
+
+    from graphloom.llm.bpe import encode_texts
+    from graphloom.llm.quality import with_statistics
+
+    docs = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_chars long")
+    for out in (encode_texts(docs, WORD_BPE), with_statistics(docs, "text")):
+        assert "__in" not in out._jdf.queryExecution().analyzed().toString()
+    seen = []
+
+    def score(rows, labels, *names):
+        seen.append([f.dataType.simpleString() for f in rows.schema.fields])
+        return rows.withColumn("predicted", F.lit(1))
+
+    monkeypatch.setattr(corpus_pipeline, "score_quality", score)
+    got = corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001")
+    assert seen == [["bigint", "string", "bigint"]] and got.collect() == docs.collect()

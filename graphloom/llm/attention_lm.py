@@ -100,20 +100,21 @@ class Model:
         """What the windows come to; arrays of ``work`` hold it until it is used again."""
         n = len(inputs)
         work = work or Work(n, tables)
-        found, score, mixed, given = work.found[:n], work.score[:n], work.mixed[:n], work.given[:n]
+        found, both, weight = work.found[:n], work.both[:n], work.weight[:n]
         tables["inputs"].take(inputs.astype(np.intp), axis=0, out=found, mode="clip")
-        tables["out"].take(targets.astype(np.intp), axis=0, out=given, mode="clip")
-        v, k, q = found[..., :STATES], found[..., STATES:-KEY], found[:, HALF:, -KEY:]
-        np.matmul(q, k.transpose(0, 2, 1), out=score)
-        score += tables["distance"]
-        score += np.where(inputs == self.size, np.float32(-1e9), np.float32(0))[:, None, :]
+        given = tables["out"].take(targets.astype(np.intp), axis=0, out=work.given[:n], mode="clip")
+        # Queries against keys and targets against states in one product: a product costs more than its sums.
+        both[:, :HALF, STATES:] = found[:, HALF:, -KEY:]
+        both[:, HALF:, :STATES] = given
+        made = np.matmul(both, found[..., :-KEY].transpose(0, 2, 1), out=work.made[:n])
+        np.add(made[:, :HALF], tables["distance"], out=weight)
+        weight += np.where(inputs == self.size, np.float32(-1e9), np.float32(0))[:, None, :]
         # Places without a token see only such places; their outcome is not used.
-        score -= work.of_each_row(np.maximum, score)
-        np.exp(score, out=score)
-        score /= work.of_each_row(np.add, score)
-        np.matmul(score, v, out=mixed)
-        p = np.einsum("nik,nik->ni", mixed, given)
-        return {"q": q, "k": k, "v": v, "weight": score, "mixed": mixed, "given": given, "p": p}
+        weight -= work.of_each_row(np.maximum, weight)
+        np.exp(weight, out=weight)
+        weight /= work.of_each_row(np.add, weight)
+        p = np.einsum("nij,nij->ni", weight, made[:, HALF:])
+        return {"found": found, "both": both, "weight": weight, "of_state": made[:, HALF:], "p": p}
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
         """Of the mean negative ln probability of the targets."""
@@ -127,17 +128,16 @@ class Model:
             f = self.forward(tables, some, aims, work)
             n, weight = len(some), f["weight"]
             dp = np.where(aims != self.size, -share / np.maximum(f["p"], np.float32(1e-20)), np.float32(0))
-            dmixed, dscore, rows = work.dmixed[:n], work.dscore[:n], work.rows[:n]
-            np.multiply(dp[..., None], f["given"], out=dmixed)
-            np.matmul(dmixed, f["v"].transpose(0, 2, 1), out=dscore)
-            # Of each row the sum of weight times dweight, which is what dp times p is.
-            dscore -= (dp * f["p"])[..., None]
-            dscore *= weight
-            np.matmul(weight.transpose(0, 2, 1), dmixed, out=rows[..., :STATES])
-            np.matmul(dscore.transpose(0, 2, 1), f["q"], out=rows[..., STATES:-KEY])
-            np.matmul(dscore, f["k"], out=rows[:, HALF:, -KEY:])
+            down, rows, back = work.down[:n], work.rows[:n], work.back[:n]
+            np.multiply(weight, dp[..., None], out=down[:, HALF:])
+            np.subtract(f["of_state"], f["p"][..., None], out=down[:, :HALF])
+            down[:, :HALF] *= down[:, HALF:]
+            np.matmul(down.transpose(0, 2, 1), f["both"], out=rows[..., :-KEY])
+            np.matmul(down, f["found"][..., :-KEY], out=back)
+            rows[:, HALF:, -KEY:] = back[:, :HALF, STATES:]
             by_input.add(some, rows)
-            by_target.add(aims, np.multiply(dp[..., None], f["mixed"], out=dmixed))
+            by_target.add(aims, back[:, HALF:, :STATES])
+            dscore = down[:, :HALF]
             per_cell += dscore.sum(axis=0)
         sums, state = by_input.rows[:-1], tables["inputs"][:-1, :STATES]
         dstate = sums[:, :STATES]
@@ -158,10 +158,12 @@ class Work:
     def __init__(self, n: int, tables: dict):
         kind = tables["inputs"].dtype
         self.found, self.rows = np.empty((n, 2 * HALF, WIDTH), kind), np.zeros((n, 2 * HALF, WIDTH), kind)
-        self.score, self.dscore = np.empty((n, HALF, 2 * HALF), kind), np.empty((n, HALF, 2 * HALF), kind)
-        self.mixed, self.dmixed = np.empty((n, HALF, STATES), kind), np.empty((n, HALF, STATES), kind)
         self.given = np.empty((n, HALF, STATES), np.float32)
-        self.halves = [np.empty(self.score.size >> i, kind) for i in range(1, (2 * HALF).bit_length())]
+        self.weight = np.empty((n, HALF, 2 * HALF), kind)
+        # Upper half for queries and keys, lower one for targets and states; the rest of ``both`` stays 0.
+        self.both, self.back = np.zeros((n, 2 * HALF, WIDTH - KEY), kind), np.empty((n, 2 * HALF, WIDTH - KEY), kind)
+        self.made, self.down = np.empty((n, 2 * HALF, 2 * HALF), kind), np.empty((n, 2 * HALF, 2 * HALF), kind)
+        self.halves = [np.empty(self.weight.size >> i, kind) for i in range(1, (2 * HALF).bit_length())]
 
     def of_each_row(self, op, score: np.ndarray) -> np.ndarray:
         """``op`` over the keys of each query, two neighbours at a time."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.attention_lm import HALF, SOME, Model, Trainer, Work, windows
-from graphloom.llm.batches import PieceCache, as_bytes, numbered, numbering, slices, starts_of
+from graphloom.llm.batches import PieceCache, as_bytes, chunks, numbered, numbering, slices, starts_of
 from graphloom.llm.bpe import Bpe, kept, read_vocabulary
 from graphloom.session import materialize
 
@@ -50,10 +50,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, 0):
-                found = [numbered(table, t.lower().split()) for t in as_bytes(part.column(0))]
-                end = np.full(len(found), table[END])
-                n = np.bincount(np.concatenate([*found, end]), minlength=len(table))
-                n[: len(total)] += total
+                found, _, pieces = chunks(part.column(0), lower=True)
+                words = numbered(table, [*pieces, END])
+                n = np.zeros(len(table), np.int64)
+                n[: len(total)] = total
+                n[words] += np.append(np.bincount(found, minlength=len(pieces)), part.num_rows)
                 total = n
                 if len(table) > KEPT:
                     yield flush()
@@ -115,9 +116,7 @@ def encoded(texts: DataFrame, counts: DataFrame, path: str) -> DataFrame:
     frequent = context.broadcast({bytes(r["word"]): int(r["c"]) for r in top[:FREQUENT]})
     data = context.broadcast(read_vocabulary(path))
 
-    def block(cache, part, first):
-        lists = [t.lower().split() for t in as_bytes(part.column(1))]
-        numbers, words = cache.numbers(lists)
+    def block(cache, part, numbers, words, first):
         flat, per_text = cache.of(numbers, words)
         asked = np.asarray(part.column(3).to_pylist(), bool)
         # The tokens of a text are its words and one end.
@@ -157,9 +156,13 @@ def encoded(texts: DataFrame, counts: DataFrame, path: str) -> DataFrame:
             cache = cache or Words(_bpe(path, data).words, frequent.value, KEPT)
             for learned in (True, False):
                 some = batch.filter(pc.equal(batch.column(2), learned))
-                for part in slices(some, 1, BLOCK):
-                    yield block(cache, part, first)
-                    first += part.num_rows
+                for part in slices(some, 1):
+                    numbers, words = cache.cut(part.column(1), lower=True)
+                    at = row = 0
+                    for x in slices(part, 1, BLOCK):
+                        mine = words[row : row + x.num_rows]
+                        yield block(cache, x, numbers[at : at + mine.sum()], mine, first)
+                        row, at, first = row + x.num_rows, at + mine.sum(), first + x.num_rows
 
     kinds = ", ".join(f"{name} array<{kind}>" for name, kind in ASKED.items())
     rows = texts.select("doc_id", "text", "learned", "asked")
@@ -289,7 +292,7 @@ def score_texts(
     rows = asked.select("ids", "counts", *ASKED).mapInArrow(run, schema)
     each = asked.select(F.explode(F.arrays_zip("row", "rare")).alias("of"))
     rare = each.select(F.col("of.row").alias("row"), F.explode("of.rare").alias("word"))
-    met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = rare.join(counts.hint("shuffle_hash"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("row").agg(
         F.sum(F.log10(F.col("c") + 1.0)).alias("base2"),
         F.sum((F.col("c") > 0).cast("long")).alias("known2"),

@@ -156,3 +156,23 @@ def test_texts_travel_once(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "score_quality", score)
     got = corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001")
     assert seen == [["bigint", "string", "bigint"]] and got.collect() == docs.collect()
+
+
+def test_lm_words_are_looked_up_once_for_a_slice(monkeypatch):
+    """Each occurrence of a word went through the table of words; now each distinct one of a slice does."""
+    import pyarrow as pa
+
+    from graphloom.llm import batches
+
+    seen = []
+
+    def numbered(table, items):
+        seen.append(len(items))
+        return np.array([table[i] for i in items], np.int64)
+
+    monkeypatch.setattr(batches, "numbered", numbered)
+    cache = batches.PieceCache(lambda words: (np.arange(len(words), dtype=np.int32), np.ones(len(words), np.int64)))
+    numbers, sizes = cache.cut(pa.array(["A b a " * 50, None, "c"]), lower=True)
+    assert seen == [3] and sizes.tolist() == [150, 0, 1] and numbers[:4].tolist() == [0, 1, 0, 0]
+    flat, counts = cache.of(numbers, sizes)
+    assert counts.tolist() == [150, 0, 1] and flat[-1] == 2

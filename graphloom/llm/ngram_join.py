@@ -12,7 +12,7 @@ Documents with the same shingle set count once.  Then
    For the rest the bound is taken over all their tokens, against each other, until no more
    sets leave.
 3. *Opening.*  What is left is cut into groups of similar sets once more, each packed in one row with
-   its token union.  A set goes to the groups that hold one of its prefix tokens; its
+   its token union.  A set goes to the groups that hold one of its rarest tokens among theirs; its
    overlap with the union bounds its overlap with any member, and only a group that can reach
    the least overlap is opened.  Of two groups of linked sets the smaller one asks.
 
@@ -23,22 +23,24 @@ by document or token, and tokens of all documents are never kept at once.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import as_bytes, numbered, numbering, slices
 from graphloom.llm.components import components
 from graphloom.llm.decontaminate import mixed, window_hashes, word_codes
 from graphloom.operators.indexing import with_row_index
-from graphloom.session import materialize
+from graphloom.session import append, fresh_path, materialize, remove
 
 WORDS, LIKE = 5, 75  # words in a shingle; the least similarity in hundredths
 TURNS = 3  # rounds of first comparisons; what they miss is found later
 KEYS = 4  # minimal hashes that vote for a set's group
-BROADCAST_ROWS = 400_000  # some 100 bytes each; longer tables are joined by a shuffle
+BROADCAST_ROWS = 400_000  # some 100 bytes each; of longer tables a range of rows at a time
 PER_LOT = 128  # sets compared with a voted set in one piece of work
 PER_GROUP, LONG_SET = 1024, 1 << 16  # sets packed into one group to be opened; bytes of a long one, which counts 16
 PER_OPENING = 2048  # sets that meet a group in one piece of work
@@ -80,13 +82,13 @@ def prefix_length(n, like: int = LIKE):
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, digest, keys`` of ``docs(doc_id, text)``: one row per row."""
+    """``doc_id, row, n, digest, keys`` of ``docs(doc_id, row, text)``: one row per row."""
     seeds = mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = token_sets(as_bytes(part.column(1)))
+            for part in slices(batch, 2):
+                sets = token_sets(as_bytes(part.column(2)))
                 keys = [
                     [int(mixed(s ^ k).min().astype(np.int64)) for k in seeds] if len(s) else []
                     for s in sets
@@ -94,23 +96,42 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "digest", "keys"],
+                    names=["doc_id", "row", "n", "digest", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, digest binary, keys array<long>")
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the documents in ``wanted(doc_id, ...)``: broadcast if it is short, else a shuffle."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    else:
-        wanted = wanted.hint("shuffle_hash")
-    return docs.join(wanted, "doc_id")
+def _from_texts(
+    docs: DataFrame, wanted: DataFrame, columns: Sequence[str], work: Callable, schema: str, spent: list[str]
+) -> DataFrame:
+    """What ``work`` makes of ``text`` and ``columns`` of the rows in ``wanted(row, ...)``.
+
+    Texts are never shuffled: ``wanted`` is broadcast.  If it is long, a range of rows goes after the
+    other, and what is made of them is gathered in a table, whose path is added to ``spent``.
+    """
+
+    def made(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(wanted), "row").select("text", *columns).mapInArrow(work, schema)
+
+    many = wanted.count()
+    if many <= BROADCAST_ROWS:
+        return made(docs, wanted)
+    parts = -(-many // BROADCAST_ROWS)
+    cuts = wanted.agg(F.percentile_approx("row", [k / parts for k in range(1, parts)], 100 * parts)).first()[0]
+    path = fresh_path(docs.sparkSession, "from-texts")
+    for low, high in pairwise([None, *sorted(set(cuts)), None]):
+        # Rows lie in the order of their numbers, so a range reads its own part of the texts.
+        here = F.lit(True) if low is None else F.col("row") > low
+        here = here if high is None else here & (F.col("row") <= high)
+        append(made(docs.filter(here), wanted.filter(here)), path)
+    spent.append(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def _votes(sets: DataFrame, like: int, turn: int) -> DataFrame:
@@ -136,7 +157,7 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def verified(
-    docs: DataFrame, sets: DataFrame, queries: DataFrame, members: DataFrame, like: int
+    docs: DataFrame, sets: DataFrame, queries: DataFrame, members: DataFrame, like: int, spent: list[str]
 ) -> DataFrame:
     """``a, b``: the pairs of a query and a member of a group that link, from ``queries(q, g)``
     and ``members(m, g)``.
@@ -150,7 +171,7 @@ def verified(
     )
     lots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")
     members = members.join(sizes, "g").select(F.col("m").alias("rn"), "g", lots, F.lit(0).alias("role"))
-    known = sets.select("rn", F.col("rep").alias("doc_id"), "digest")
+    known = sets.select("rn", "row", "digest")
     wanted = materialize(members.unionByName(queries).join(known, "rn"), "destinations")
 
     def tokens(batches):
@@ -158,15 +179,15 @@ def verified(
         for batch in batches:
             for part in slices(batch, 0):
                 digests, sets = as_bytes(part.column(1)), token_sets(as_bytes(part.column(0)))
-                # A document id that stands for several texts: only the right one counts.
+                # A row number that stands for several texts: only the right one counts.
                 right = pa.array([digest(s) == d for s, d in zip(sets, digests, strict=True)])
                 value = pa.array([s.tobytes() for s in sets], pa.binary())
                 out = pa.RecordBatch.from_arrays([*part.columns[2:], value], names=names)
                 yield out.filter(right)
 
     schema = "g long, lot long, role int, rn long, tokens binary"
-    rows = _with_texts(docs, wanted).select("text", "digest", "g", "lot", "role", "rn")
-    spread = rows.mapInArrow(tokens, schema).repartition("g", "lot")
+    rows = _from_texts(docs, wanted, ["digest", "g", "lot", "role", "rn"], tokens, schema, spent)
+    spread = rows.repartition("g", "lot")
 
     def compare(batches):
         here, members, union = None, {}, None
@@ -209,8 +230,8 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> DataFrame:
-    """``rn, shared``: of the first ``length(n)`` tokens of each set of ``sets(rep, digest, rn,
+def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int, spent: list[str]) -> DataFrame:
+    """``rn, shared``: of the first ``length(n)`` tokens of each set of ``sets(row, digest, rn,
     grp)``, how many stand also among those of a set in another group.
 
     Tokens travel in packed blocks: per block and bucket the sets' numbers, groups and counts,
@@ -335,12 +356,12 @@ def _outside_counts(docs: DataFrame, sets: DataFrame, length, buckets: int) -> D
         rn, at = np.unique(numbers, return_inverse=True)
         return pa.table({"rn": rn, "shared": np.bincount(at, counts, len(rn)).astype(np.int64)})
 
-    wanted = sets.select(F.col("rep").alias("doc_id"), "digest", "rn", "grp")
-    rows = _with_texts(docs, wanted).select("text", "digest", "rn", "grp")
+    wanted = sets.select("row", "digest", "rn", "grp")
     schema = "bucket int, block long, sets binary, counts binary, low binary, high binary, known binary"
     # A block's own counts are dealt anywhere.
     place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    blocks = rows.mapInArrow(pack, schema).withColumn("place", place).repartitionById(buckets, "place").drop("place")
+    packs = _from_texts(docs, wanted, ["digest", "rn", "grp"], pack, schema, spent)
+    blocks = packs.withColumn("place", place).repartitionById(buckets, "place").drop("place")
     answers = blocks.mapInArrow(count, "block long, sets binary, counts binary")
     return answers.groupBy("block").applyInArrow(add, "rn long, shared long")
 
@@ -351,21 +372,57 @@ def _still_open(docs: DataFrame, sets: DataFrame, length, need) -> DataFrame:  #
     total = length(int(total))  # near enough for the sum of the prefixes
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, int(total) // BUCKET_TOKENS + 1)
-    counts = _outside_counts(docs, sets, length, buckets)
+    spent: list[str] = []
+    counts = _outside_counts(docs, sets, length, buckets, spent)
     kept = sets.join(counts, "rn").filter(F.col("shared") >= need(F.col("n")))
-    return materialize(kept.drop("shared"), "open-sets")
+    return _written(kept.drop("shared"), "open-sets", spent)
+
+
+def _written(df: DataFrame, label: str, spent: list[str]) -> DataFrame:
+    """``df`` as a table, without those at ``spent``, which only ``df`` read."""
+    table = materialize(df, label)
+    for path in spent:
+        remove(df.sparkSession, path)
+    return table
+
+
+def _rare_prefixes(open_sets: DataFrame, like: int) -> DataFrame:
+    """``rn, token``: of each set of ``open_sets(rn, tokens)`` so many of its rarest tokens that two sets
+    which link have one of them in common.
+
+    A passage that many sets hold brings none of them together: its tokens come last.  A token of a single
+    set stands before all others and meets nothing, so it is counted and left out.
+    """
+
+    def tokens(batches):
+        for batch in batches:
+            for rn, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.frombuffer(value, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(mine), v)) for v in (rn, len(mine))] + [pa.array(mine)],
+                    names=["rn", "n", "token"],
+                )
+
+    flat = open_sets.select("rn", "tokens").mapInArrow(tokens, "rn long, n long, token long")
+    many = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    shared = flat.withColumn("many", many).filter("many > 1")
+    listed = F.array_sort(F.collect_list(F.struct("many", "token"))).alias("listed")
+    whole = shared.groupBy("rn").agg(F.first("n").alias("n"), listed)
+    length = F.size("listed") - F.ceil(F.col("n") * like / 100) + 1
+    first = F.slice("listed", 1, F.greatest(length, F.lit(0)).cast("int"))
+    return whole.select("rn", F.explode(first.getField("token")).alias("token"))
 
 
 def _opened(docs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
     """``a, b``: groups of ``sets`` with sets that link, found by opening packed groups."""
-    wanted = sets.select(F.col("rep").alias("doc_id"), "digest", "rn", "grp")
+    wanted = sets.select("row", "digest", "rn", "grp")
     # Groups ask larger ones only; ``rank`` orders them.
     ranked = wanted.join(
         sets.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).select(
             "grp", F.struct("size", "grp").alias("rank")
         ), "grp",
     )
-    ranked = materialize(ranked.select("doc_id", "digest", "rn", "grp", "rank.size"), "open-ranks")
+    ranked = materialize(ranked.select("row", "digest", "rn", "grp", "rank.size"), "open-ranks")
 
     def tokens(batches):
         names = ["rn", "grp", "size", "first", "tokens"]
@@ -378,9 +435,10 @@ def _opened(docs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([*part.columns[2:5], first, value], names=names)
                 yield out.filter(right)
 
-    rows = _with_texts(docs, ranked).select("text", "digest", "rn", "grp", "size")
-    open_sets = rows.mapInArrow(tokens, "rn long, grp long, size long, first long, tokens binary")
-    open_sets = materialize(open_sets, "open-tokens")
+    spent: list[str] = []
+    schema = "rn long, grp long, size long, first long, tokens binary"
+    open_sets = _from_texts(docs, ranked, ["digest", "rn", "grp", "size"], tokens, schema, spent)
+    open_sets = open_sets if spent else materialize(open_sets, "open-tokens")
     # Similar sets mostly have the same smallest token; a group's sets stay together.
     lead = open_sets.groupBy("grp").agg(F.min("first").alias("lead"))
     near = open_sets.join(lead, "grp").withColumn("long", F.octet_length("tokens") > LONG_SET)
@@ -404,34 +462,19 @@ def _opened(docs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
     )
     packs = materialize(packs, "open-groups")
 
-    def prefixes(batches):
-        for batch in batches:
-            for rn, grp, size, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = np.frombuffer(value, np.int64)
-                mine = mine[: len(mine) - least_overlap(len(mine), like) + 1]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(len(mine), v)) for v in (rn, size, grp)), pa.array(mine)],
-                    names=["rn", "size", "grp", "token"],
-                )
-
-    def held_prefixes(batches):
+    def members(batches):
         for batch in batches:
-            for g, size, grp, sizes, tokens, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens, owners = np.frombuffer(tokens, np.uint64), np.frombuffer(owners, np.uint16)
-                n = np.frombuffer(sizes, np.int64)
-                # Sorted by owner, tokens keep their order: the place of each in its own set.
-                order = np.argsort(owners, kind="stable")
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-                some = np.unique(tokens[order][place <= np.repeat(n - least_overlap(n, like), n)]).view(np.int64)
+            for g, size, grp, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rn = np.frombuffer(ids, np.int64).reshape(-1, 3)[:, 0]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(len(some), v)) for v in (g, size, grp)), pa.array(some)],
-                    names=["g", "most_size", "most_grp", "token"],
+                    [pa.array(rn), *(pa.array(np.full(len(rn), v)) for v in (g, size, grp))],
+                    names=["rn", "g", "most_size", "most_grp"],
                 )
 
-    asks = open_sets.select("rn", "grp", "size", "tokens").mapInArrow(prefixes, "rn long, size long, grp long, token long")
-    holds = packs.select("g", "size", "grp", "sizes", "tokens", "owners").mapInArrow(
-        held_prefixes, "g long, most_size long, most_grp long, token long"
-    )
+    prefixes = materialize(_rare_prefixes(open_sets, like), "open-prefixes")
+    asks = prefixes.join(ranked.select("rn", "grp", "size"), "rn")
+    held = packs.select("g", "size", "grp", "ids").mapInArrow(members, "rn long, g long, most_size long, most_grp long")
+    holds = prefixes.join(held, "rn").drop("rn").distinct()
     larger = F.struct("most_size", "most_grp") > F.struct("size", "grp")
     met = asks.join(holds, "token").filter(larger).select("rn", "g").distinct()
     met = materialize(met, "open-meetings")
@@ -486,7 +529,7 @@ def gather_places(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def near_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: int = LIKE
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: int = LIKE, row: str | None = None
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
@@ -494,18 +537,26 @@ def near_copies(
     ``component_id`` is the smallest id that links reach.  Null, empty and wordless texts have an
     empty set and link with nothing.  Rows with the same id are one document with all its texts;
     rows without id get no component and link nothing.  An empty table gives no rows.
+
+    ``row`` names a column of numbers, no two equal, in whose order a written table lies.  Without it
+    a long table is copied once with such numbers.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    number = F.col(doc_id if row is None else row).cast("long").alias("row")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), number, F.col(text).alias("text"))
+    if row is None and docs.count() > BROADCAST_ROWS:
+        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
     rows = materialize(shingle_sets(docs), "shingle-sets")
     sets = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
     sets = materialize(sets.withColumn("rn", F.monotonically_increasing_id()), "sets")
     grouped, links = sets.withColumn("grp", F.col("rn")), None
     for turn in range(TURNS):
         alike = materialize(_votes(grouped, like, turn), "votes")
         members = alike.select("m", "g").distinct()
-        found = materialize(verified(docs, sets, alike.select("q", "g"), members, like), "links")
+        spent: list[str] = []
+        found = verified(docs, sets, alike.select("q", "g"), members, like, spent)
+        found = _written(found, "links", spent)
         links = found if links is None else links.union(found)
         grouped = _grouped(sets, links)
     links = docs.sparkSession.createDataFrame([], "a long, b long") if links is None else links

@@ -43,7 +43,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     whatever its id is."""
     keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    groups = near_copies(keyed, doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = near_copies(keyed, doc_id=ROW, row=ROW).select(F.col("doc_id").alias(ROW), "component_id")
     ranked = groups.join(keyed.select(ROW, "doc_id"), ROW)
     first = ranked.groupBy("component_id").agg(F.min_by(ROW, place).alias(ROW)).select(ROW)
     return keyed.join(first, ROW, "left_semi").select(docs.columns)

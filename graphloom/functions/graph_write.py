@@ -22,6 +22,8 @@ def _reached() -> str:
     step = bound("chosen", "if(exists(new, x -> x.open), filter(new, x -> x.open), new)", first)
     step = bound("new", new, f"if(size(new) = 0, st, {step})")
     none = "transform(__names, (n, v) -> if(v = 0, named_struct('p', -1, 'r', 0), NULL))"
+    # Most graphs are done after a few rounds.
+    step = f"if(exists(st, x -> x IS NULL), {step}, st)"
     return f"aggregate(sequence(1, size(__names)), {none}, (st, round) -> {step})"
 
 
@@ -57,12 +59,17 @@ def writing_steps(triples: str) -> list[dict[str, str]]:
         AND get(__triples, i + 1).kind = 'instance'
         AND get(__triples, i + 1).source = if(t.inverted, t.source, t.target)"""
     text = """transform(__names, (n, v) -> if(get(__reach, v).r = round,
-        concat('(', n, ' / ', get(__concepts, v), aggregate(get(__inside, v), '', (sum, x) ->
+        concat('(', n, ' / ', get(concepts, v), aggregate(get(inside, v), '', (sum, x) ->
             concat(sum, ' ', x.role, ' ', if(x.child >= 0, get(texts, x.child), x.value))), ')'),
         get(texts, v)))"""
     usable = """size(__names) > 0 AND size(array_distinct(__names)) = size(__names)
         AND NOT exists(__s, x -> x < 0) AND NOT exists(__reach, x -> x IS NULL)"""
     node = "filter(__triples, t -> t.kind = 'instance')"
+    written = f"""get(aggregate(sequence(array_max(__reach.r), 0, -1),
+        transform(__names, n -> ''), (texts, round) -> {text}), 0)"""
+    # Bound outside the lambdas: the optimizer puts a column that is read once in the place where it is
+    # read, and there it would be worked out for each node in each round.
+    written = bound("concepts", "__concepts", bound("inside", "__inside", written))
     return [
         {"__triples": triples},
         {"__names": f"{node}.source", "__concepts": f"{node}.target"},
@@ -78,8 +85,5 @@ def writing_steps(triples: str) -> list[dict[str, str]]:
         {"__reach": f"if(size(__names) > 0, {_reached()}, array())"},
         {"__usable": usable},
         {"__inside": f"if(__usable, {_parts()}, NULL)"},
-        {
-            "__written": f"""if(__usable, get(aggregate(sequence(array_max(__reach.r), 0, -1),
-                transform(__names, n -> ''), (texts, round) -> {text}), 0), NULL)"""
-        },
+        {"__written": f"if(__usable, {written}, NULL)"},
     ]

@@ -74,3 +74,13 @@ def test_a_long_chain_and_a_wide_node(spark):
     wide = "(a / and " + " ".join(f":op{i} (p{i} / part)" for i in range(n)) + ")"
     out = GR.encode_triples(flat(spark, [chain, wide]), ["i"]).orderBy("i").collect()
     assert [r["graph"] for r in out] == [chain, wide]
+
+
+def test_parts_of_a_graph_are_listed_once(spark):
+    """A column that is read once, in a lambda, would be worked out for each node in each round."""
+    chain = "(a / x" + "".join(f" :r{i} (b{i} / y" for i in range(40)) + ")" * 41
+    decoded = GR.decode_graphs(spark.createDataFrame([(1, chain)], "gid int, graph string"), "graph")
+    written = GR.encode_triples(GR.explode_triples(decoded).drop("graph", "decoded"), ["gid"])
+    plan = written._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda inside" in plan and "lambda concepts" in plan
+    assert written.first()["graph"] == chain
